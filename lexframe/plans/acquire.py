@@ -1,2 +1,251 @@
-"""acquire group."""
+"""Acquire group: seeds, URL and path keys, links, JSON lines, raw-page store."""
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import urls
+from ..functions.text import slug
+from ..operators.shred import joined_cell_text, page_body, page_links, shred_rows
+from ..sinks.tables import keep_first, latest_per_key
+from ..sources import testdata as td
+from ..sources.jsonl import keyed_items, parse_json_lines
+from ..sources.seed import year_seed_from
+from .registry import register
+from .sqlviews import LAWS, cell_text, clean, decode, element_re, strip, with_  # noqa: F401
+
+BASE = "https://statutes.example.org"
+
+
+def _laws(spark, sf):
+    return td.laws(spark, sf)
+
+
+def _eli(url_col, year_col):
+    """ELI print URL of a page: host of the page URL + its number + year."""
+    host = F.regexp_extract(url_col, r"^(https?://[^/]+)", 1)
+    num = F.regexp_extract(url_col, r"/[a-z]{2}/([0-9]+)", 1)
+    return F.when(num != "", F.concat(host, F.lit("/eli/"), year_col.cast("string"), F.lit("/act/"),
+                                      num, F.lit("/enacted/en/print.html"))).otherwise(url_col)
+
+
+_ELI_SQL = ("CASE WHEN regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) <> '' THEN "
+            "regexp_extract(url, '^(https?://[^/]+)', 1) || '/eli/' || CAST(2000 + page_id % 25 AS VARCHAR)"
+            " || '/act/' || regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) || '/enacted/en/print.html' "
+            "ELSE url END")
+
+
+@register("year_seed", f"""
+WITH y AS (SELECT min(2000 + page_id % 25) AS lo, max(2000 + page_id % 25) AS hi FROM pages)
+SELECT CAST(year AS INTEGER) AS year, '{BASE}/eli/' || year || '/act/' AS url
+FROM y, LATERAL (SELECT unnest(range(lo, hi + 1)) AS year)""")
+def q_year_seed(spark, sf):
+    """SRC5: one index URL per year from the first to the last year of the laws."""
+    return year_seed_from(_laws(spark, sf).select("year"), BASE)
+
+
+@register("url_key", f"""
+SELECT page_id, eli,
+  CAST(nullif(regexp_extract(eli, '/eli/(\\d+)/act/(\\d+)/', 1), '') AS INTEGER) AS year,
+  CAST(nullif(regexp_extract(eli, '/eli/(\\d+)/act/(\\d+)/', 2), '') AS INTEGER) AS act_number,
+  string_split(eli, '/')[-3] AS path_year
+FROM (SELECT page_id, {_ELI_SQL} AS eli FROM pages)""")
+def q_url_key(spark, sf):
+    """SCL1 + SCL4: (year, act number) from ELI URLs, and the year by position."""
+    pages = td.table(spark, sf, "pages")
+    year = (F.lit(td.FIRST_YEAR) + F.col("page_id") % td.YEAR_SPAN)
+    e = pages.select("page_id", _eli(F.col("url"), year).alias("eli"))
+    return e.select("page_id", "eli", urls.url_year("eli").alias("year"),
+                    urls.url_act_number("eli").alias("act_number"),
+                    urls.url_path_year("eli").alias("path_year"))
+
+
+@register("path_key", with_(LAWS) + r"""
+SELECT law_id, html_path,
+  CAST(nullif(regexp_extract(html_path, '[/\\](\d{4})[/\\]act_(\d+)\.html$', 1), '') AS INTEGER) AS year,
+  CAST(nullif(regexp_extract(html_path, '[/\\](\d{4})[/\\]act_(\d+)\.html$', 2), '') AS INTEGER) AS act_number,
+  CASE WHEN regexp_matches(coalesce(html_path, ''), '[/\\](\d{4})[/\\]act_(\d+)\.html$') THEN 'ok'
+       ELSE 'error:path' END AS status
+FROM laws""")
+def q_path_key(spark, sf):
+    """SCL2: (year, act number) from raw-page paths; no match -> error row."""
+    laws = _laws(spark, sf)
+    y = urls.path_year("html_path")
+    return laws.select("law_id", "html_path", y.alias("year"),
+                       urls.path_act_number("html_path").alias("act_number"),
+                       F.when(y.isNull(), F.lit("error:path")).otherwise(F.lit("ok")).alias("status"))
+
+
+@register("link_transform", f"""
+SELECT page_id, link,
+  CASE WHEN regexp_extract(link, '/(\\d+)/index\\.html$', 1) <> '' THEN
+    '{BASE}/eli/' || CAST(2000 + page_id % 25 AS VARCHAR) || '/act/'
+    || CAST(CAST(regexp_extract(link, '/(\\d+)/index\\.html$', 1) AS INTEGER) AS VARCHAR)
+    || '/enacted/en/print.html' END AS print_url
+FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '/index.html' AS link FROM pages)""")
+def q_link_transform(spark, sf):
+    """SCL3: index links -> absolute print URLs (leading zeros dropped)."""
+    pages = td.table(spark, sf, "pages")
+    link = F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/index.html"))
+    year = (F.lit(td.FIRST_YEAR) + F.col("page_id") % td.YEAR_SPAN)
+    p = pages.select("page_id", link.alias("link"), year.alias("_y"))
+    return p.select("page_id", "link", urls.link_transform(F.col("link"), F.col("_y"), BASE).alias("print_url"))
+
+
+_A_RE = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+
+
+@register("page_links", f"""
+WITH b AS (SELECT page_id, regexp_extract({clean('html')}, '{element_re('nav')}', 1) AS block FROM pages),
+z AS (SELECT page_id,
+        list_zip(list_transform(regexp_extract_all(block, '{_A_RE}', 2),
+                                lambda x: {decode("regexp_replace(x, '<[^>]*>', '', 'g')")}),
+                 regexp_extract_all(block, '{_A_RE}', 1)) AS pairs FROM b),
+f AS (SELECT page_id, list_filter(pairs, lambda p: ends_with(p[2], '.')) AS kept FROM z)
+SELECT page_id, CAST(i - 1 AS BIGINT) AS link_no, kept[i][1] AS name, kept[i][2] AS href
+FROM f, LATERAL (SELECT unnest(range(1, len(kept) + 1)) AS i)""")
+def q_page_links(spark, sf):
+    """SCL6 + JN9: (name, href) pairs of the nav links whose href ends with '.'."""
+    return page_links(td.table(spark, sf, "pages"), container="nav", keep_suffix=".")
+
+
+@register("page_body", r"""
+SELECT page_id,
+  CAST(length(regexp_extract(html, '(?is)<body[^>]*>.*</body>', 0)) AS BIGINT) AS body_chars,
+  nullif(""" + decode(r"regexp_extract(html, '(?is)<body[^>]*>([^<]*)', 1)") + """, '') AS first_text
+FROM pages""")
+def q_page_body(spark, sf):
+    """SCL7: body HTML size and the first text right after ``<body>``."""
+    pages = td.table(spark, sf, "pages")
+    body, first = page_body(F.col("html"))
+    return pages.select("page_id", F.length(body).cast("bigint").alias("body_chars"), first.alias("first_text"))
+
+
+@register("shred_rows", f"""
+WITH r AS (
+  SELECT page_id, regexp_extract_all(regexp_extract({clean('html')}, '{element_re('article')}', 1),
+                                     '{element_re('p')}', 1) AS rows FROM pages)
+SELECT page_id AS law_id, CAST(i - 1 AS BIGINT) AS row_no, CAST(1 AS BIGINT) AS n_cells,
+       {cell_text('rows[i]')} AS c2
+FROM r, LATERAL (SELECT unnest(range(1, len(rows) + 1)) AS i)""")
+def q_shred_rows(spark, sf):
+    """SCL12: row elements of the first container, cell text per row
+    (pages have no tables: container ``article``, rows ``p``, one cell each)."""
+    pages = td.table(spark, sf, "pages").withColumnRenamed("page_id", "law_id")
+    r = shred_rows(pages, container="article", row="p", cell=None, min_cells=1)
+    return r.select("law_id", "row_no", "n_cells", "c2")
+
+
+@register("cell_text", f"""
+SELECT page_id,
+  replace(array_to_string(list_transform(regexp_extract_all({clean('html')}, '{element_re('li')}', 1),
+          lambda x: {decode("regexp_replace(x, '<[^>]*>', '', 'g')")}), ' '), chr(10), ' ') AS plain_text
+FROM pages""")
+def q_cell_text(spark, sf):
+    """SCL8: text of every cell element (here ``li``) joined by a space."""
+    pages = td.table(spark, sf, "pages")
+    return pages.select("page_id", joined_cell_text(F.col("html"), "li").alias("plain_text"))
+
+
+_LINE_SQL = ("CASE WHEN url LIKE '%#%' THEN substr(j, 1, length(j) // 2) ELSE j END")
+
+
+@register("src_jsonl", f"""
+WITH items AS (
+  SELECT page_id, CAST(json_object('name', name, 'year', CAST(year AS VARCHAR),
+                              'url', CASE WHEN url LIKE '%?%' THEN '' ELSE eli END,
+                              'full_text', html, 'plain_text', NULL) AS VARCHAR) AS j, url
+  FROM (SELECT page_id, html, url, 2000 + page_id % 25 AS year, {_ELI_SQL} AS eli,
+               {strip(decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS name FROM pages)
+), lines AS (SELECT page_id, {_LINE_SQL} AS line FROM items),
+parsed AS (
+  SELECT page_id, json_valid(line) AS ok,
+    CASE WHEN json_valid(line) THEN line->>'$.name' END AS name,
+    CASE WHEN json_valid(line) THEN line->>'$.year' END AS year,
+    CASE WHEN json_valid(line) THEN line->>'$.url' END AS url,
+    CASE WHEN json_valid(line) THEN line->>'$.full_text' END AS full_text
+  FROM lines)
+SELECT page_id, name, year, url,
+  CASE WHEN NOT ok THEN 'error:json'
+       WHEN coalesce(url, '') = '' OR coalesce(full_text, '') = '' THEN 'error:empty'
+       WHEN regexp_extract(url, '/eli/(\\d+)/act/(\\d+)/', 1) = '' THEN 'error:no_key'
+       ELSE 'ok' END AS status,
+  CAST(nullif(regexp_extract(url, '/eli/(\\d+)/act/(\\d+)/', 2), '') AS INTEGER) AS act_number
+FROM parsed""")
+def q_src_jsonl(spark, sf):
+    """SRC1 + SCL5: tolerant JSON-lines parse with a status per line.
+
+    Lines are the pages as scraped items; pages whose URL has a fragment are
+    cut in half (broken JSON), those with a query string lose their URL.
+    """
+    pages = td.table(spark, sf, "pages")
+    year = (F.lit(td.FIRST_YEAR) + F.col("page_id") % td.YEAR_SPAN)
+    item = F.struct(td.page_title(F.col("html")).alias("name"), year.cast("string").alias("year"),
+                    F.when(F.col("url").contains("?"), F.lit("")).otherwise(_eli(F.col("url"), year)).alias("url"),
+                    F.col("html").alias("full_text"), F.lit(None).cast("string").alias("plain_text"))
+    j = F.to_json(item)
+    line = F.when(F.col("url").contains("#"), j.substr(F.lit(1), F.floor(F.length(j) / 2).cast("int"))) \
+            .otherwise(j)
+    lines = pages.select("page_id", line.alias("value"))
+    items = keyed_items(parse_json_lines(lines, "value"))
+    return items.select("page_id", "name", "year", "url", "status", "act_number")
+
+
+@register("write_once_keep", with_(LAWS) + """
+, old AS (SELECT year, act_number, law_id FROM laws WHERE url LIKE 'https%' AND act_number IS NOT NULL),
+old1 AS (SELECT year, act_number, min(law_id) AS law_id FROM old GROUP BY year, act_number),
+batch AS (SELECT year, act_number, min(law_id) AS law_id FROM laws WHERE act_number IS NOT NULL
+          GROUP BY year, act_number)
+SELECT year, act_number, law_id, 'kept' AS origin FROM old1
+UNION ALL
+SELECT b.year, b.act_number, b.law_id, 'written' FROM batch b
+WHERE NOT EXISTS (SELECT 1 FROM old1 o WHERE o.year = b.year AND o.act_number = b.act_number)""")
+def q_write_once_keep(spark, sf):
+    """SNK1/WIN8/JN8: first writer per (year, number) wins, existing pages stay.
+
+    The store holds the https pages; the batch is every page in arrival
+    (page id) order.
+    """
+    laws = _laws(spark, sf).filter(F.col("act_number").isNotNull())
+    old = keep_first(laws.filter(F.col("url").startswith("https")), ["year", "act_number"], "law_id")
+    batch = laws
+    new = keep_first(batch, ["year", "act_number"], "law_id").join(
+        old.select("year", "act_number"), ["year", "act_number"], "left_anti")
+    cols = ["year", "act_number", "law_id"]
+    return old.select(*cols, F.lit("kept").alias("origin")).unionByName(
+        new.select(*cols, F.lit("written").alias("origin")))
+
+
+@register("acts_from_pages", with_(LAWS) + r"""
+SELECT law_id, html_path AS path,
+  CAST(nullif(regexp_extract(html_path, '[/\\](\d{4})[/\\]act_(\d+)\.html$', 1), '') AS INTEGER) AS year,
+  CAST(nullif(regexp_extract(html_path, '[/\\](\d{4})[/\\]act_(\d+)\.html$', 2), '') AS INTEGER) AS act_number,
+  CAST(length(html) AS BIGINT) AS html_chars
+FROM laws JOIN pages ON pages.page_id = laws.law_id""")
+def q_acts_from_pages(spark, sf):
+    """SRC3 + SCL2 stand-in: each page as a raw act file at its path."""
+    laws = _laws(spark, sf)
+    pages = td.table(spark, sf, "pages").select(F.col("page_id").alias("law_id"), "html")
+    j = laws.select("law_id", F.col("html_path").alias("path")).join(pages, "law_id")
+    return j.select("law_id", "path", urls.path_year("path").alias("year"),
+                    urls.path_act_number("path").alias("act_number"),
+                    F.length("html").cast("bigint").alias("html_chars"))
+
+
+@register("act_text_by_slug", f"""
+WITH t AS (
+  SELECT page_id, lower(regexp_replace(name, '[^\\pL\\pN_]+', '_', 'g')) AS slug,
+    replace(array_to_string(list_transform(regexp_extract_all({clean('html')}, '{element_re('p')}', 1),
+            lambda x: {decode("regexp_replace(x, '<[^>]*>', '', 'g')")}), ' '), chr(10), ' ') AS text
+  FROM (SELECT page_id, html,
+          {strip(decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS name FROM pages))
+SELECT slug, max(page_id) AS page_id, CAST(length(arg_max(text, page_id)) AS BIGINT) AS n_chars
+FROM t WHERE length(slug) > 1 GROUP BY slug""")
+def q_act_text_by_slug(spark, sf):
+    """SNK5 + SCL8/SCL10/SCL11: one text per slug, the latest page wins;
+    slugs of length 0 or 1 are rejected."""
+    pages = td.table(spark, sf, "pages")
+    t = pages.select("page_id", slug(td.page_title(F.col("html"))).alias("slug"),
+                     joined_cell_text(F.col("html"), "p").alias("text"))
+    t = t.filter(F.length("slug") > 1)
+    last = latest_per_key(t, ["slug"], "page_id")
+    return last.select("slug", "page_id", F.length("text").cast("bigint").alias("n_chars"))

@@ -156,3 +156,49 @@ def with_(*ctes: str) -> str:
 def sections_sql() -> str:
     """CTE chain documents -> ... -> sections."""
     return with_(STATUTE_ROWS, GATED, CLASSIFIED.replace("{src}", "gated"), SECTIONS)
+
+
+def decode(x: str) -> str:
+    """DuckDB twin of ``functions.text.decode_entities``."""
+    out = x
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                    ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{ent}', '{ch}')"
+    return out
+
+
+NOISE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
+
+
+def clean(x: str) -> str:
+    return f"regexp_replace({x}, '{NOISE}', '', 'g')"
+
+
+def pieces(x: str) -> str:
+    """Stripped, non-empty text nodes of an HTML fragment (list)."""
+    return (f"list_filter(list_transform(regexp_split_to_array({x}, '<[^>]*>'), "
+            f"lambda p: {strip(decode('p'))}), lambda p: p <> '')")
+
+
+def cell_text(x: str, sep: str = " ") -> str:
+    return f"array_to_string({pieces(x)}, '{sep}')"
+
+
+def element_re(tag: str) -> str:
+    return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
+
+
+# pages -> laws stand-in
+LAWS = r"""
+laws AS (
+  SELECT page_id AS law_id,
+    """ + strip(decode(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")) + r""" AS name,
+    CAST(2000 + page_id % 25 AS INTEGER) AS year,
+    CAST(nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') AS INTEGER) AS act_number,
+    url,
+    CASE WHEN nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') IS NOT NULL THEN
+      'raw_html/' || CAST(2000 + page_id % 25 AS VARCHAR) || '/act_'
+      || CAST(CAST(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS INTEGER) AS VARCHAR) || '.html'
+    END AS html_path
+  FROM pages
+)"""
