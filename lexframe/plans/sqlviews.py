@@ -202,3 +202,31 @@ laws AS (
     END AS html_path
   FROM pages
 )"""
+
+
+EVALS = r"""
+evals AS (
+  SELECT CAST(u.conv_id * 100 + u.turn AS BIGINT) AS id, u.conv_id, u.text AS query_text, a.text AS llm_response,
+    CASE WHEN a.text IS NOT NULL THEN list_transform(string_split(a.text, chr(10)),
+                                                      lambda s: length(s) / 100.0) END AS scores,
+    'unrated' AS rating, 5 AS top_k,
+    TIMESTAMP '2024-01-01 00:00:00' + to_seconds(u.conv_id * 60 + u.turn) AS created_at,
+    CAST(NULL AS TIMESTAMP) AS rated_at
+  FROM conversations u
+  LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'
+),
+ratings AS (
+  SELECT e.id, r.rating, r.arrival FROM (
+    SELECT doc_id AS conv_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS rating, 0 AS arrival FROM labels
+    UNION ALL SELECT doc_id, 'bad', 1 FROM labels WHERE toxic = 1) r
+  JOIN evals e ON e.conv_id = r.conv_id
+),
+rated AS (
+  SELECT e.id, e.conv_id, e.query_text, e.llm_response, e.scores,
+    coalesce(l.rating, e.rating) AS rating, e.top_k, e.created_at,
+    CASE WHEN l.rating IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE e.rated_at END AS rated_at
+  FROM evals e
+  LEFT JOIN (SELECT id, arg_max(rating, arrival) AS rating FROM ratings
+             WHERE rating IN ('good', 'bad') GROUP BY id) l ON l.id = e.id
+)"""

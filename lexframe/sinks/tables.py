@@ -88,10 +88,14 @@ def upsert_laws(existing: DataFrame, batch: DataFrame, arrival: str,
     return out.unionByName(unkeyed)
 
 
-def replace_sections(existing: DataFrame, batch: DataFrame, key: str = "law_id") -> DataFrame:
-    """SNK3/SNK4: every law in the batch loses all its old rows and gets the
-    new ones; other laws are untouched (re-running is a no-op)."""
-    touched = batch.select(key).distinct()
+def replace_sections(existing: DataFrame, batch: DataFrame, key: str = "law_id",
+                     laws: DataFrame | None = None) -> DataFrame:
+    """SNK3/SNK4: every re-ingested law loses all its old rows and gets the
+    new ones; other laws are untouched (re-running is a no-op).
+
+    ``laws`` lists the re-ingested ids (a law may come back with no rows);
+    by default the ids present in ``batch``."""
+    touched = (laws if laws is not None else batch).select(key).distinct()
     return existing.join(touched, key, "left_anti").unionByName(batch)
 
 

@@ -104,3 +104,46 @@ def laws(spark: SparkSession, sf_dir: str) -> DataFrame:
         act.alias("act_number"),
         F.col("url"),
         F.when(act.isNotNull(), F.format_string("raw_html/%d/act_%d.html", year, act)).alias("html_path"))
+
+
+EVAL_EPOCH = "2024-01-01 00:00:00"
+
+
+def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``eval_results`` stand-in: each user turn with the next assistant turn.
+
+    ``id = conv_id * 100 + turn``; the answer is the assistant text of turn
+    ``turn + 1`` (equi-join on (conv_id, turn), so a long conversation never
+    becomes one window partition); ``scores`` are the answer's sentence
+    lengths / 100; rows start ``unrated``.
+    """
+    conv = table(spark, sf_dir, "conversations")
+    u = conv.filter(F.col("role") == "user").alias("u")
+    a = conv.filter(F.col("role") == "assistant").alias("a")
+    j = u.join(a, (F.col("a.conv_id") == F.col("u.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1), "left")
+    scores = F.transform(F.split(F.col("a.text"), "\n"), lambda s: F.length(s).cast("double") / 100.0)
+    return j.select(
+        (F.col("u.conv_id") * 100 + F.col("u.turn")).cast("bigint").alias("id"),
+        F.col("u.conv_id").alias("conv_id"),
+        F.col("u.text").alias("query_text"),
+        F.col("a.text").alias("llm_response"),
+        F.when(F.col("a.text").isNotNull(), scores).alias("scores"),
+        F.lit("unrated").alias("rating"),
+        F.lit(5).alias("top_k"),
+        (F.to_timestamp_ntz(F.lit(EVAL_EPOCH)) + F.make_dt_interval(secs=F.col("u.conv_id") * 60 + F.col("u.turn")))
+        .alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("rated_at"))
+
+
+def ratings_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings from ``labels``: every answer of a labelled conversation gets
+    ``good`` (quality 1) or ``bad``; toxic ones are rated ``bad`` again later
+    (arrival 1 after 0), so the last rating wins."""
+    lab = table(spark, sf_dir, "labels")
+    ev = eval_results(spark, sf_dir).select("id", "conv_id")
+    first = lab.select(F.col("doc_id").alias("conv_id"),
+                       F.when(F.col("quality") == 1, F.lit("good")).otherwise(F.lit("bad")).alias("rating"),
+                       F.lit(0).alias("arrival"))
+    second = lab.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("conv_id"), F.lit("bad").alias("rating"),
+                                                    F.lit(1).alias("arrival"))
+    return first.unionByName(second).join(ev, "conv_id").select("id", "rating", "arrival")
