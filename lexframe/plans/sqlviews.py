@@ -230,3 +230,15 @@ rated AS (
   LEFT JOIN (SELECT id, arg_max(rating, arrival) AS rating FROM ratings
              WHERE rating IN ('good', 'bad') GROUP BY id) l ON l.id = e.id
 )"""
+
+
+REQUESTS = r"""
+req AS (
+  SELECT item_id AS req_id,
+    coalesce(regexp_extract_all(lower(text), '[a-z]{3,}')[1], '') AS keyword,
+    coalesce(regexp_extract_all(lower(text), '[a-z]{3,}')[2], '') AS name,
+    CAST(CASE WHEN item_id % 3 = 0 THEN 2000 + item_id % 25 WHEN item_id % 3 = 1 THEN 0 END AS INTEGER) AS year,
+    item_id AS law_id,
+    CAST(item_id % 9 + 1 AS VARCHAR) AS section_ref
+  FROM benchmark
+)"""

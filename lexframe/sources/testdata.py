@@ -147,3 +147,64 @@ def ratings_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = lab.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("conv_id"), F.lit("bad").alias("rating"),
                                                     F.lit(1).alias("arrival"))
     return first.unionByName(second).join(ev, "conv_id").select("id", "rating", "arrival")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup requests, one per ``benchmark`` item (the question list).
+
+    ``keyword``: first run of 3+ ASCII letters of the lower-cased question;
+    ``name``: the second such run; ``year``: set, 0 or NULL by ``item_id % 3``;
+    ``law_id = item_id`` and ``section_ref = item_id % 9 + 1`` for section
+    lookups.
+    """
+    b = table(spark, sf_dir, "benchmark")
+    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z]{3,}"), 0)
+    year = (F.when(F.col("item_id") % 3 == 0, F.lit(FIRST_YEAR) + F.col("item_id") % YEAR_SPAN)
+             .when(F.col("item_id") % 3 == 1, F.lit(0)))
+    return b.select(F.col("item_id").alias("req_id"),
+                    F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")).alias("keyword"),
+                    F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")).alias("name"),
+                    year.cast("int").alias("year"),
+                    F.col("item_id").alias("law_id"),
+                    (F.col("item_id") % 9 + 1).cast("string").alias("section_ref"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent message history stand-in from ``conversations``.
+
+    Assistant turns hold a text block list; system turns and the first user
+    turn plain text; later user turns one ``tool_result`` block whose content
+    is, by ``turn % 3``: a JSON list of two items (1), one object (2), or text
+    that is not JSON (0).
+    """
+    c = table(spark, sf_dir, "conversations")
+    item1 = F.to_json(F.struct(F.col("conv_id").alias("law_id"), F.col("text").alias("text_content")))
+    item2 = F.to_json(F.struct((F.col("conv_id") + 1).alias("law_id"),
+                               F.concat(F.lit("n"), F.col("turn").cast("string")).alias("name")))
+    obj = F.to_json(F.struct(F.split_part(F.col("text"), F.lit(" "), F.lit(1)).alias("name"),
+                             (F.lit(FIRST_YEAR) + F.col("turn")).alias("year")))
+    inner = (F.when(F.col("turn") % 3 == 1, F.concat(F.lit("["), item1, F.lit(","), item2, F.lit("]")))
+              .when(F.col("turn") % 3 == 2, obj).otherwise(F.lit("not json")))
+    tool = F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"),
+                                      F.format_string("t%d_%d", F.col("conv_id"), F.col("turn")).alias("tool_use_id"),
+                                      inner.alias("content"))))
+    text = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    content = (F.when(F.col("role") == "assistant", text)
+                .when((F.col("role") == "user") & (F.col("turn") > 0), tool)
+                .otherwise(F.col("text")))
+    return c.select("conv_id", "turn", "role", content.alias("content"))
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls stand-in: one per request, tool by ``item_id % 5`` (4 is a
+    tool nobody knows), JSON arguments built from the request."""
+    r = requests(spark, sf_dir)
+    k = F.col("req_id") % 5
+    tool = (F.when(k == 0, "search_laws").when(k == 1, "get_law_by_name").when(k == 2, "get_law_sections")
+             .when(k == 3, "get_section_by_ref").otherwise("get_weather"))
+    args = (F.when(k == 0, F.to_json(F.struct(F.col("keyword").alias("query"))))
+             .when(k == 1, F.to_json(F.struct("name", "year")))
+             .when(k == 2, F.to_json(F.struct("law_id")))
+             .when(k == 3, F.to_json(F.struct("law_id", "section_ref")))
+             .otherwise(F.to_json(F.struct(F.col("keyword").alias("city")))))
+    return r.select(F.col("req_id").alias("call_id"), tool.alias("tool"), args.alias("args"))
