@@ -242,3 +242,35 @@ req AS (
     CAST(item_id % 9 + 1 AS VARCHAR) AS section_ref
   FROM benchmark
 )"""
+
+
+TITLES = r"""
+t_cand AS (
+  SELECT law_id,
+    min(CASE WHEN upper(c2) LIKE '%ENACTED%' THEN row_no END) AS stop,
+    arg_min(c2, row_no) FILTER (WHERE c2 = upper(c2) AND c2 <> lower(c2) AND c2 LIKE '%ACT%') AS t,
+    min(row_no) FILTER (WHERE c2 = upper(c2) AND c2 <> lower(c2) AND c2 LIKE '%ACT%') AS t_row
+  FROM statute_rows GROUP BY law_id
+),
+titles AS (
+  SELECT c.law_id,
+    CASE WHEN t IS NOT NULL AND (stop IS NULL OR t_row < stop) THEN
+      array_to_string(list_transform(regexp_extract_all(t, '(\pL+|\PL+)'),
+                                     lambda x: upper(x[1]) || lower(x[2:])), '') END AS detected_title,
+    coalesce(nullif(CASE WHEN t IS NOT NULL AND (stop IS NULL OR t_row < stop) THEN
+      array_to_string(list_transform(regexp_extract_all(t, '(\pL+|\PL+)'),
+                                     lambda x: upper(x[1]) || lower(x[2:])), '') END, ''),
+      'Act ' || d.doc_id || ' of ' || CAST(2000 + d.doc_id % 25 AS VARCHAR)) AS name,
+    CAST(2000 + d.doc_id % 25 AS INTEGER) AS year
+  FROM t_cand c JOIN documents d ON d.doc_id = c.law_id
+)"""
+
+TOKEN_RE = r"([\pL\pM\p{Nd}\p{Pc}]+|[^\pL\pM\p{Nd}\p{Pc}\s])"
+
+KNN_TOP = r"""
+q AS (SELECT e.vec_id AS q_id, e.embedding::DOUBLE[] AS v FROM embeddings e
+      WHERE e.vec_id IN (SELECT item_id FROM benchmark)),
+c AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v FROM embeddings e
+      WHERE e.vec_id NOT IN (SELECT item_id FROM benchmark)),
+scored AS (SELECT q.q_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM q, c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM scored)"""
