@@ -1,2 +1,83 @@
-"""evals group."""
+"""Evals group: pending questions, unrated queue, next unrated, grid, card,
+rating summary (over the rated ``eval_results`` stand-in)."""
 from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..operators import evals as ev
+from ..sinks import tables as snk
+from ..sources import testdata as td
+from .registry import register
+from .sqlviews import EVALS, with_
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def rated(spark, sf):
+    return snk.apply_ratings(td.eval_results(spark, sf), td.ratings_batch(spark, sf), "arrival", T0)
+
+
+def events(spark, sf):
+    """Rating events in arrival order, numbered 1.. (dense, distributed)."""
+    b = td.ratings_batch(spark, sf).withColumn("_o", F.col("arrival") * F.lit(1 << 40) + F.col("id"))
+    return snk.dense_ids(b, "_o", 0, "idx").select("idx", "id", "rating")
+
+
+@register("pending_queries", with_(EVALS) + r"""
+, q AS (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS query_text FROM benchmark)
+SELECT item_id, query_text,
+  EXISTS (SELECT 1 FROM evals e WHERE regexp_replace(e.query_text, '^\s+|\s+$', '', 'g') = q.query_text)
+    AS answered
+FROM q WHERE query_text <> ''""")
+def q_pending_queries(spark, sf):
+    """JN7/AGG8/SCL26: benchmark questions, trimmed, with an answered flag."""
+    qs = td.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query_text"))
+    return ev.pending(qs, td.eval_results(spark, sf)).select("item_id", "query_text", "answered")
+
+
+@register("unrated", with_(EVALS) + """
+SELECT id, query_text FROM rated WHERE rating = 'unrated'""")
+def q_unrated(spark, sf):
+    """SCL29/TOP7: answers still unrated after the ratings batch."""
+    return ev.unrated(rated(spark, sf)).select("id", "query_text")
+
+
+@register("next_unrated", with_(EVALS) + """
+, ev AS (SELECT row_number() OVER (ORDER BY arrival, id) AS idx, id FROM ratings),
+t AS (SELECT e.id, coalesce(min(v.idx), (SELECT max(idx) FROM ev) + 1) AS t
+      FROM evals e LEFT JOIN ev v ON v.id = e.id GROUP BY e.id)
+SELECT CAST(v.idx AS BIGINT) AS idx, v.id, (SELECT min(t.id) FROM t WHERE t.t > v.idx) AS next_id
+FROM ev v""")
+def q_next_unrated(spark, sf):
+    """WIN9: the next unrated answer after every rating event."""
+    return ev.next_unrated(td.eval_results(spark, sf), events(spark, sf))
+
+
+@register("eval_grid", with_(EVALS) + """
+SELECT id, query_text, rating, top_k, created_at, rated_at FROM rated""")
+def q_eval_grid(spark, sf):
+    """SCL9/TOP2/EVL3: the results grid columns, newest first."""
+    return ev.eval_grid(rated(spark, sf))
+
+
+@register("eval_card", with_(EVALS) + """
+SELECT id, query_text AS header, left(query_text, 80) AS preview, coalesce(llm_response, '_No response_') AS answer,
+  CASE WHEN coalesce(len(scores), 0) > 0
+       THEN array_to_string(list_transform(scores, lambda s: printf('- %.4f', s)), chr(10)) ELSE '_None_' END
+    AS scores_md,
+  CASE rating WHEN 'good' THEN 'Rated: Good' WHEN 'bad' THEN 'Rated: Bad' ELSE 'Unrated' END AS badge
+FROM rated WHERE id IN (SELECT item_id * 100 FROM benchmark)""")
+def q_eval_card(spark, sf):
+    """SCL25/SCL28: answer cards of the selected ids (first turn of the
+    conversation numbered like each benchmark item)."""
+    ids = td.table(spark, sf, "benchmark").select((F.col("item_id") * 100).alias("id"))
+    return ev.eval_card(rated(spark, sf), ids)
+
+
+@register("rating_summary", with_(EVALS) + """
+SELECT rating, count(*) AS n FROM rated GROUP BY rating""")
+def q_rating_summary(spark, sf):
+    """EVL3: answers per rating after the ratings batch."""
+    return ev.rating_summary(rated(spark, sf))
