@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import MAX_RANK
-from .scan import DEFAULT_CHUNK_ROWS, Running, running
+from .classify import classify_rows, is_enacting
+from .scan import DEFAULT_CHUNK_ROWS, Running, chunked, running
 
 SECTION_COLUMNS = ["law_id", "seq", "section_type", "section_ref", "section_title",
                    "text_content", "position", "parent_seq", "parent_ref"]
@@ -43,11 +44,17 @@ def _display_ref(node: Column, cur: Column) -> Column:
     return F.when(node["k"] == 3, _compound(cur, node["r"])).otherwise(node["r"])
 
 
-def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate: bool = True,
+               partitioned: bool = False) -> DataFrame:
     """Running state for every classified row (nodes and continuation rows).
 
     Adds ``_last1.._last4`` (latest node of that rank before the row),
-    ``_cur`` (latest section event) and ``_grp`` (latest node at or before).
+    ``_cur`` (latest section event), ``_grp`` (latest node at or before) and,
+    with ``gate``, ``_first`` (the act's first enacting row if it comes before
+    the row).  The enactment gate (WIN5) needs no pass of its own: a row
+    takes part iff ``_first`` is set, and a remembered node counts iff it
+    comes after ``_first`` (if the latest node of a rank is before the gate,
+    so are all earlier ones).
     """
     st = F.col("section_type")
     specs = [Running(f"_last{r}", _node(F.col("rank") == r)) for r in range(1, MAX_RANK)]
@@ -57,13 +64,35 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> D
                     F.struct(F.col("row_no").alias("s"), F.lit(None).cast("string").alias("r"))))
     specs.append(Running("_cur", event))
     specs.append(Running("_grp", F.when(st.isNotNull(), F.col("row_no")), inclusive=True))
-    return running(classified, ["law_id"], "row_no", specs, chunk_rows)
-
-
-def build_sections(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                   with_breadcrumb: bool = False) -> DataFrame:
-    """Gated + classified rows -> one row per node (``SECTION_COLUMNS``)."""
-    scanned = scan_nodes(classified, chunk_rows)
+    if gate:
+        # first enacting row strictly before: max of -row_no
+        specs.append(Running("_negfirst", F.when(is_enacting(F.col("c2")), -F.col("row_no"))))
+    out = running(classified, ["law_id"], "row_no", specs, chunk_rows, materialize=True,
+                  partitioned=partitioned)
+    if not gate:
+        return out.withColumn("_first", F.lit(None).cast("bigint")).withColumn("_gated", F.lit(True))
+    first = -F.col("_negfirst")
+    out = out.withColumn("_first", first).withColumn("_gated", F.col("_negfirst").isNotNull()).drop("_negfirst")
+    after = lambda c: F.when(c.isNotNull() & (c["s"] > F.col("_first")), c)
+    for r in range(1, MAX_RANK):
+        out = out.withColumn(f"_last{r}", after(F.col(f"_last{r}")))
+    out = out.withColumn("_cur", after(F.col("_cur")))
+    return out.withColumn("_grp", F.when(F.col("_grp") > F.col("_first"), F.col("_grp")))
+
+
+def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                   with_breadcrumb: bool = False, gate: bool = True) -> DataFrame:
+    """Statute rows ``(law_id, row_no, c1, c2)`` -> one row per node
+    (``SECTION_COLUMNS``).
+
+    Rows are shuffled once by ``(law_id, chunk)`` and classified after the
+    shuffle (SCL18, full parallelism, narrow shuffle).  With ``gate``
+    (default) rows up to the first enacting row are skipped (WIN5) inside
+    the same scan; pass ``gate=False`` for rows already gated.
+    """
+    rows = rows.filter(F.col("c2").isNotNull() & (F.col("c2") != ""))
+    classified = classify_rows(chunked(rows, ["law_id"], "row_no", chunk_rows))
+    scanned = scan_nodes(classified, chunk_rows, gate, partitioned=True).filter(F.col("_gated"))
     cur = F.col("_cur.r")
     # WIN1: parent = latest last-of-rank below the node's rank
     parent = None
@@ -94,7 +123,8 @@ def build_sections(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     # WIN2: 1-based position among siblings (top-level nodes share key -1)
     nodes = nodes.withColumn("_pkey", F.coalesce(F.col("parent_seq"), F.lit(-1).cast("bigint")))
     nodes = running(nodes, ["law_id", "_pkey"], "seq",
-                    [Running("position", F.lit(1).cast("bigint"), "sum", inclusive=True)], chunk_rows)
+                    [Running("position", F.lit(1).cast("bigint"), "sum", inclusive=True)], chunk_rows,
+                    materialize=True)
     cols = list(SECTION_COLUMNS) + (["breadcrumb"] if with_breadcrumb else [])
     return nodes.select(*cols)
 

@@ -14,8 +14,8 @@ the scan here splits each key into chunks of ``chunk_rows`` consecutive
 
 Only associative operations are allowed: ``max`` (latest-wins values are
 expressed as ``max(struct(seq, value))``) and ``sum``.  The rows are
-shuffled once, on ``(key, chunk)``; the join with the prefix table reuses that
-partitioning and so does the in-chunk window.
+shuffled once, on ``(key, chunk)``; summaries, prefix join and window all
+reuse that exchange.
 """
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DEFAULT_CHUNK_ROWS = 1 << 16
 
 
@@ -48,30 +50,54 @@ def _agg(op: str, c: Column) -> Column:
     raise ValueError(f"unsupported running op {op!r}")
 
 
+def chunked(df: DataFrame, keys: list[str], order: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Add ``_chunk`` and hash-partition by ``(keys, _chunk)``: the layout
+    :func:`running` works on.  Expensive per-row work placed after this runs
+    with full parallelism on the shuffled, narrow input."""
+    c = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows)).cast("bigint"))
+    return c.repartition(*keys, "_chunk")
+
+
 def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
-            chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int = DEFAULT_CHUNK_ROWS, materialize: bool = False,
+            partitioned: bool = False) -> DataFrame:
     """Add one column per spec: its running aggregate within ``keys`` by ``order``.
 
     ``order`` must be an integral, unique-within-key column (the row number);
-    ``keys`` must not be NULL (map a missing key to a sentinel first), so the
-    prefix join stays a plain equi-join that reuses the window partitioning.
+    ``keys`` must not be NULL (map a missing key to a sentinel first).
+
+    The rows are shuffled once, by ``(keys, chunk)``; the chunk summaries
+    are aggregated from that same exchange (Spark reuses it, so the input is
+    computed once), the tiny per-key prefix is joined back on
+    ``(keys, chunk)`` without moving the rows again, and the in-chunk window
+    runs on the same partitioning.
+
+    The input is read by two branches (summaries and rows).  With
+    ``materialize`` the shuffled rows are checkpointed (reliably, into
+    ``spark.checkpoint.dir``) so an expensive input is computed once and its
+    lineage is cut; the checkpoint keeps the ``(keys, chunk)`` partitioning,
+    so neither branch shuffles again.  ``partitioned`` says ``df`` came
+    from :func:`chunked` with the same ``chunk_rows`` (no second shuffle).
     """
     chunk = "_chunk"
-    cols = df.columns
-    base = df.withColumn(chunk, F.floor(F.col(order) / F.lit(chunk_rows)).cast("bigint"))
+    cols = [c for c in df.columns if c != chunk]
+    base = df if partitioned else df.withColumn(chunk, F.floor(F.col(order) / F.lit(chunk_rows)).cast("bigint"))
     for s in specs:
         base = base.withColumn(f"_v_{s.name}", s.expr)
+    part = base if partitioned else base.repartition(*keys, chunk)
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        part = part.checkpoint(eager=True)
 
-    # (1) chunk summaries, partially aggregated before the shuffle
-    summary = base.groupBy(*keys, chunk).agg(
+    # (1) chunk summaries from the shuffled rows (already clustered)
+    summary = part.groupBy(*keys, chunk).agg(
         *[_agg(s.op, F.col(f"_v_{s.name}")).alias(f"_s_{s.name}") for s in specs])
-    # (2) exclusive prefix over earlier chunks of the same key
+    # (2) exclusive prefix over earlier chunks of the same key (one row per chunk)
     wk = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     prefix = summary.select(
-        *keys, chunk,
-        *[_agg(s.op, F.col(f"_s_{s.name}")).over(wk).alias(f"_p_{s.name}") for s in specs])
+        *keys, chunk, *[_agg(s.op, F.col(f"_s_{s.name}")).over(wk).alias(f"_p_{s.name}") for s in specs])
     # (3) in-chunk running window plus the carried prefix
-    joined = base.join(prefix, on=[*keys, chunk], how="left")
+    joined = part.join(prefix, on=[*keys, chunk], how="left")
     out = []
     for s in specs:
         w = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(

@@ -13,7 +13,7 @@ from .sqlviews import CLASSIFIED, GATED, STATUTE_ROWS, sections_sql, with_
 
 def sections(spark, sf, with_breadcrumb=False):
     rows = td.statute_rows(spark, sf)
-    return build_sections(classify_rows(enactment_gate(rows)), with_breadcrumb=with_breadcrumb)
+    return build_sections(rows, with_breadcrumb=with_breadcrumb)
 
 
 @register("enactment_gate", with_(STATUTE_ROWS, GATED) + """

@@ -54,24 +54,22 @@ def statute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     section-title cell ``c1`` holds the first word on section rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
-    lines = (docs.select("doc_id", F.posexplode(F.split(F.col("text"), r"\. ")).alias("pos", "line"))
-                 .filter(~is_blank(F.col("line"))))
-    seq = (F.col("pos") + 1).cast("bigint")
-    body = lines.select(
+    year = (F.lit(FIRST_YEAR) + F.col("doc_id") % YEAR_SPAN).cast("string")
+    title = F.concat(F.lit("THE "), F.upper(F.col("source")),
+                     F.when(F.col("n_chars") % 2 == 0, F.lit(" ACT ")).otherwise(F.lit(" ORDER ")), year)
+    # one scan: [title, enacting row, sentence 1, sentence 2, ...]
+    parts = F.concat(F.array(title, F.lit(ENACTING_ROW)), F.split(F.col("text"), r"\. "))
+    x = docs.select("doc_id", F.posexplode(parts).alias("pos", "line"))
+    x = x.filter((F.col("pos") < 2) | ~is_blank(F.col("line")))
+    seq = (F.col("pos") - 1).cast("bigint")
+    body = seq >= 1
+    marked = F.when(body, F.concat(_marker(seq, F.col("doc_id")), F.col("line"))).otherwise(F.col("line"))
+    return x.select(
         F.col("doc_id").alias("law_id"),
         seq.alias("row_no"),
-        F.when((seq + F.col("doc_id")) % 12 == 1, F.split_part(F.col("line"), F.lit(" "), F.lit(1)))
+        F.when(body & ((seq + F.col("doc_id")) % 12 == 1), F.split_part(F.col("line"), F.lit(" "), F.lit(1)))
          .otherwise(F.lit("")).alias("c1"),
-        strip_ws(F.concat(_marker(seq, F.col("doc_id")), F.col("line"))).alias("c2"))
-    year = (F.lit(FIRST_YEAR) + F.col("doc_id") % YEAR_SPAN).cast("string")
-    title = docs.select(
-        F.col("doc_id").alias("law_id"), F.lit(-1).cast("bigint").alias("row_no"), F.lit("").alias("c1"),
-        F.concat(F.lit("THE "), F.upper(F.col("source")),
-                 F.when(F.col("n_chars") % 2 == 0, F.lit(" ACT ")).otherwise(F.lit(" ORDER ")),
-                 year).alias("c2"))
-    enact = docs.select(F.col("doc_id").alias("law_id"), F.lit(0).cast("bigint").alias("row_no"),
-                        F.lit("").alias("c1"), F.lit(ENACTING_ROW).alias("c2"))
-    return title.unionByName(enact).unionByName(body)
+        strip_ws(marked).alias("c2"))
 
 
 def doc_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
