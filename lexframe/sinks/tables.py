@@ -50,42 +50,53 @@ def derived_law_id(year, act_number, name) -> "F.Column":
             .otherwise(F.xxhash64(name, year))
 
 
+def _merge(e: DataFrame, n: DataFrame, on: list[str], now: dt.datetime) -> DataFrame:
+    """Full outer merge of stored rows ``e`` with collapsed batch rows ``n``:
+    the batch sets the name, a NULL url/html_path keeps the stored one, ids
+    and creation times stay."""
+    e, n = e.alias("e"), n.alias("n")
+    cond = [F.col(f"e.{k}") == F.col(f"n.{k}") for k in on]
+    m = e.join(n, cond, "full_outer")
+    year = F.coalesce(F.col("e.year"), F.col("n.year"))
+    act = F.coalesce(F.col("e.act_number"), F.col("n.act_number"))
+    return m.select(
+        F.coalesce(F.col("e.law_id"), F.col("n.law_id")).alias("law_id"),
+        F.coalesce(F.col("n.name"), F.col("e.name")).alias("name"), year.alias("year"), act.alias("act_number"),
+        F.coalesce(F.col("n.url"), F.col("e.url")).alias("url"),
+        F.coalesce(F.col("n.html_path"), F.col("e.html_path")).alias("html_path"),
+        F.coalesce(F.col("e.created_at"), F.lit(now).cast("timestamp_ntz")).alias("created_at"))
+
+
+def _collapse(b: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """In-batch conflicts: last name, last non-NULL url and html_path."""
+    return b.groupBy(*keys).agg(
+        F.max_by("name", arrival).alias("name"),
+        F.max_by("url", F.when(F.col("url").isNotNull(), F.col(arrival))).alias("url"),
+        F.max_by("html_path", F.when(F.col("html_path").isNotNull(), F.col(arrival))).alias("html_path"))
+
+
 def upsert_laws(existing: DataFrame, batch: DataFrame, arrival: str,
                 now: dt.datetime | None = None) -> DataFrame:
     """SNK2: insert or update laws on (year, act_number).
 
     Within the batch the last row per key sets the name and the last
     non-NULL url/html_path (as row-by-row ON CONFLICT would); against the
-    table, a NULL url/html_path keeps the stored one and ids stay.  Rows with
-    a NULL act number never conflict and are appended.
+    table, a NULL url/html_path keeps the stored one and ids stay.  A row
+    with a NULL act number has no natural key; its id is
+    ``xxhash64(name, year)`` and it merges on that id, so re-running a batch
+    never duplicates it (the row store would insert it again).
     """
     now = now or dt.datetime(2024, 1, 1)
     keys = ["year", "act_number"]
     b = batch.withColumn("url", F.nullif(F.col("url"), F.lit("")))
-    keyed = b.filter(F.col("act_number").isNotNull())
-    collapsed = keyed.groupBy(*keys).agg(
-        F.max_by("name", arrival).alias("name"),
-        F.max_by("url", F.when(F.col("url").isNotNull(), F.col(arrival))).alias("url"),
-        F.max_by("html_path", F.when(F.col("html_path").isNotNull(), F.col(arrival))).alias("html_path"))
-    e = existing.alias("e")
-    n = collapsed.alias("n")
-    merged = e.join(n, [F.col("e.year") == F.col("n.year"), F.col("e.act_number") == F.col("n.act_number")],
-                    "full_outer")
-    year = F.coalesce(F.col("e.year"), F.col("n.year"))
-    act = F.coalesce(F.col("e.act_number"), F.col("n.act_number"))
-    name = F.coalesce(F.col("n.name"), F.col("e.name"))
-    out = merged.select(
-        F.coalesce(F.col("e.law_id"), derived_law_id(F.col("n.year"), F.col("n.act_number"),
-                                                     F.col("n.name"))).alias("law_id"),
-        name.alias("name"), year.alias("year"), act.alias("act_number"),
-        F.coalesce(F.col("n.url"), F.col("e.url")).alias("url"),
-        F.coalesce(F.col("n.html_path"), F.col("e.html_path")).alias("html_path"),
-        F.coalesce(F.col("e.created_at"), F.lit(now).cast("timestamp_ntz")).alias("created_at"))
-    unkeyed = b.filter(F.col("act_number").isNull()).select(
-        derived_law_id(F.col("year"), F.col("act_number"), F.col("name")).alias("law_id"),
-        "name", "year", "act_number", "url", "html_path",
-        F.lit(now).cast("timestamp_ntz").alias("created_at"))
-    return out.unionByName(unkeyed)
+    keyed = _collapse(b.filter(F.col("act_number").isNotNull()), keys, arrival)
+    keyed = keyed.withColumn("law_id", derived_law_id(F.col("year"), F.col("act_number"), F.col("name")))
+    loose = b.filter(F.col("act_number").isNull()) \
+             .withColumn("law_id", derived_law_id(F.col("year"), F.col("act_number"), F.col("name")))
+    loose = _collapse(loose, ["law_id", "year", "act_number"], arrival)
+    e_keyed = existing.filter(F.col("act_number").isNotNull())
+    e_loose = existing.filter(F.col("act_number").isNull())
+    return _merge(e_keyed, keyed, keys, now).unionByName(_merge(e_loose, loose, ["law_id"], now))
 
 
 def replace_sections(existing: DataFrame, batch: DataFrame, key: str = "law_id",
