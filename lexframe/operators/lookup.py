@@ -96,7 +96,8 @@ def json_list(col: Column, element_type: str) -> Column:
     non-list JSON give an empty array."""
     if element_type is None:
         return F.coalesce(col, F.array())
-    parsed = F.from_json(col, f"array<{element_type}>")
+    is_list = F.regexp_extract(col, r"^\s*(\S)", 1) == "["  # Spark would wrap a lone object
+    parsed = F.when(is_list, F.from_json(col, f"array<{element_type}>"))
     return F.coalesce(parsed, F.array().cast(f"array<{element_type}>"))
 
 
