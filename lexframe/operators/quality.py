@@ -1,6 +1,7 @@
 """AGG1, AGG2, AGG5, AGG6 and type checks: summaries over whole tables."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +69,19 @@ def token_counts(docs: DataFrame, text: str, by: list[str], tokenizer=None) -> D
     n = tokenizer(F.col(text)) if tokenizer is not None else token_count(text)
     return docs.groupBy(*by).agg(F.sum(n).cast("bigint").alias("n_tokens"),
                                  F.count(F.lit(1)).alias("n_docs"))
+
+
+_TOKENIZERS: dict = {}
+
+
+def make_token_counter(load, name: str = "tokenizer"):
+    """AGG5: a pandas UDF ``text -> bigint`` token count around a user
+    tokenizer (``load()`` returns ``str -> list``; loaded once per worker)."""
+
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        tok = _TOKENIZERS.get(name)
+        if tok is None:
+            tok = _TOKENIZERS[name] = load()
+        return texts.fillna("").map(lambda t: len(tok(t))).astype("int64")
+    return count

@@ -186,3 +186,24 @@ def lsh_neighbours(questions: DataFrame, corpus: DataFrame, threshold: float,
     pairs = lsh.approxSimilarityJoin(q, c, threshold, distCol="dist")
     return pairs.select(F.col("datasetA.q_id").alias("q_id"), F.col("datasetB.vec_id").alias("vec_id"),
                         (1 - F.col("dist") * F.col("dist") / 2).alias("score"))
+
+
+# ---------------------------------------------------------------- plug-ins
+_MODELS: dict = {}
+
+
+def make_embedder(load, dim: int, name: str = "embedder"):
+    """TXT3: a pandas UDF ``text -> array<float>`` around a user model.
+
+    ``load()`` returns a callable ``list[str] -> array (n, dim)``; it runs
+    once per Python worker (cached by ``name``), and texts arrive in Arrow
+    batches.  Use as ``df.withColumn("embedding", make_embedder(load, 768)("text"))``.
+    """
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        model = _MODELS.get(name)
+        if model is None:
+            model = _MODELS[name] = load()
+        vecs = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
+        return pd.Series(list(vecs))
+    return embed

@@ -79,3 +79,19 @@ def test_embed_docs_text(spark):
     d = vx.embed_docs(secs, laws).collect()
     assert len(d) == 1 and d[0].text == "Some Act 2004 — Section 7\nShort title.: Body"
     assert d[0].metadata.section_type == "section"
+
+
+def _toy_model():
+    def embed(texts):
+        return [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+    return embed
+
+
+def test_pluggable_embedder_and_tokenizer(spark):
+    from lexframe.operators.quality import make_token_counter, token_counts
+    df = spark.createDataFrame([(1, "a b c"), (2, None)], "id long, text string")
+    emb = df.select("id", vx.make_embedder(_toy_model, 3, "toy")("text").alias("e")).orderBy("id").collect()
+    assert [list(r.e) for r in emb] == [[5.0, 2.0, 1.0], [0.0, 0.0, 1.0]]
+    counter = make_token_counter(lambda: str.split, "split")
+    got = token_counts(df.withColumn("g", F.lit(1)), "text", ["g"], tokenizer=counter).first()
+    assert got.n_tokens == 3 and got.n_docs == 2
