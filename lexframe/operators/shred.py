@@ -103,3 +103,108 @@ def page_body(html: Column) -> tuple[Column, Column]:
     body = F.regexp_extract(html, r"(?is)<body[^>]*>.*</body>", 0)
     first = F.nullif(decode_entities(F.regexp_extract(html, r"(?is)<body[^>]*>([^<]*)", 1)), F.lit(""))
     return body, first
+
+
+# ---------------------------------------------------------------- DOM mode
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_SKIP_TEXT = {"script", "style", "template"}
+# an opening tag closes these still-open elements (up to the given boundary)
+_IMPLIED = {"td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+            "tr": ({"td", "th", "tr"}, {"table", "tbody", "thead", "tfoot"}),
+            "p": ({"p"}, {"div", "td", "th", "li", "body"}), "li": ({"li"}, {"ul", "ol"})}
+
+
+def _parse_tree(html_text: str):
+    """A small element tree from the standard library parser: nodes are
+    ``[tag, children]`` lists, text is ``str``; unclosed cells, rows and
+    paragraphs are closed the way browsers do."""
+    from html.parser import HTMLParser
+
+    root = ["#root", []]
+
+    class _B(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack = [root]
+
+        def handle_starttag(self, tag, attrs):
+            if tag in _IMPLIED:
+                closes, bounds = _IMPLIED[tag]
+                for i in range(len(self.stack) - 1, 0, -1):
+                    t = self.stack[i][0]
+                    if t in bounds:
+                        break
+                    if t in closes:
+                        del self.stack[i:]
+                        break
+            node = [tag, []]
+            self.stack[-1][1].append(node)
+            if tag not in _VOID:
+                self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] == tag:
+                    del self.stack[i:]
+                    return
+
+        def handle_data(self, data):
+            if not any(n[0] in _SKIP_TEXT for n in self.stack[1:]):
+                self.stack[-1][1].append(data)
+
+    b = _B()
+    b.feed(html_text or "")
+    b.close()
+    return root
+
+
+def _descendants(node, tag):
+    out = []
+    for ch in node[1]:
+        if isinstance(ch, list):
+            if ch[0] == tag:
+                out.append(ch)
+            out.extend(_descendants(ch, tag))
+    return out
+
+
+def _strings(node):
+    for ch in node[1]:
+        if isinstance(ch, str):
+            yield ch
+        else:
+            yield from _strings(ch)
+
+
+def _text(node, sep):
+    return sep.join(s.strip() for s in _strings(node) if s.strip())
+
+
+def shred_rows_dom(pages: DataFrame, key: str = "law_id", html: str = "html", min_cells: int = 3) -> DataFrame:
+    """SCL12, DOM mode: every ``tr`` below the first ``table`` (nested ones
+    included), every ``td`` below each row, ``get_text(strip=True)`` cell text.
+
+    Runs the standard-library parser per page in ``mapInPandas`` (Arrow
+    batches; each page is parsed once, wherever Spark put it); output schema
+    as :func:`shred_rows`.
+    """
+    import pandas as pd
+
+    def shred(batches):
+        for pdf in batches:
+            out = []
+            for k, doc in zip(pdf[key], pdf[html]):
+                tables = _descendants(_parse_tree(doc), "table")
+                if not tables:
+                    continue
+                for i, tr in enumerate(_descendants(tables[0], "tr")):
+                    cells = _descendants(tr, "td")
+                    if len(cells) < min_cells:
+                        continue
+                    c = [_text(x, "") for x in cells[:2]] + [_text(cells[2], " ") if len(cells) > 2 else None]
+                    out.append((k, i, len(cells), c[0], c[1] if len(c) > 1 else None, c[2]))
+            yield pd.DataFrame(out, columns=[key, "row_no", "n_cells", "c0", "c1", "c2"])
+
+    key_type = pages.schema[key].dataType.simpleString()
+    schema = f"{key} {key_type}, row_no bigint, n_cells bigint, c0 string, c1 string, c2 string"
+    return pages.select(key, html).mapInPandas(shred, schema)

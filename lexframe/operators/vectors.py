@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from ..functions.patterns import EMBED_TYPES
 from ..functions.text import is_blank
 
-MAX_BROADCAST_QUESTIONS = 50_000
+# 8192 questions x 768 dims x 8 bytes ~ 50 MB per broadcast batch
+MAX_BROADCAST_QUESTIONS = 8_192
 
 
 # ---------------------------------------------------------------- documents

@@ -144,3 +144,17 @@ def test_text_helpers_match_python(spark):
     assert [r.t for r in got] == [s.title() for s in samples]
     assert [r.w for r in got] == [s.strip() for s in samples]
     assert [r.g for r in got] == [re.sub(r"\W+", "_", s).lower() for s in samples]
+
+
+def test_dom_mode_matches_regex_mode_and_handles_unclosed_cells(spark):
+    from lexframe.operators.shred import shred_rows_dom
+    p = pages_df(spark, F1, F2, F3)
+    a = sorted(map(tuple, shred_rows(p).select("law_id", "row_no", "c1", "c2").collect()))
+    b = sorted(map(tuple, shred_rows_dom(p).select("law_id", "row_no", "c1", "c2").collect()))
+    assert a == b
+    messy = ("<table><tr><td>a<td>Title.<td>1.—Text <b>bold</b>"
+             "<tr><td><td><td>(1) sub<table><tr><td>x</td></tr></table></table>"
+             "<script>var s = '<tr><td>no</td></tr>';</script>")
+    df = spark.createDataFrame([(1, messy)], "law_id long, html string")
+    rows = shred_rows_dom(df).orderBy("row_no").collect()
+    assert [(r.c1, r.c2) for r in rows] == [("Title.", "1.—Text bold"), ("", "(1) sub x")]
