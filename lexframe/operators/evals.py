@@ -25,16 +25,17 @@ def next_unrated(results: DataFrame, events: DataFrame, idx: str = "idx") -> Dat
     """WIN9: after the i-th rating event, the lowest id still unrated (the
     reference's queue advance), for a whole batch of ordered events.
 
-    ``t(u)`` is the first event rating id ``u`` (``N + 1`` if none); after
+    ``t(u)`` is the first event rating id ``u`` (a value past every event
+    if none); after
     event ``i`` the unrated ids are those with ``t(u) > i``.  Value rows
     (``t``, min id) at position ``2t`` and event rows at ``2i + 1`` go through
     one reverse chunked running minimum, so each event sees exactly the ids
     with ``t > i``.  Only ids unrated before the batch take part.
     """
-    n = events.agg(F.max(idx)).scalar()
+    never = F.lit(1 << 60).cast("bigint")
     first = events.groupBy("id").agg(F.min(idx).alias("t"))
     ids = unrated(results).select("id").join(first, "id", "left") \
-                          .withColumn("t", F.coalesce(F.col("t"), n + 1))
+                          .withColumn("t", F.coalesce(F.col("t"), never))
     vals = ids.groupBy("t").agg(F.min("id").alias("m")).select(
         (-2 * F.col("t")).cast("bigint").alias("_o"), (-F.col("m")).alias("_v"),
         F.lit(None).cast("bigint").alias(idx), F.lit(None).cast("bigint").alias("id"))

@@ -59,7 +59,7 @@ def chunked(df: DataFrame, keys: list[str], order: str, chunk_rows: int = DEFAUL
 
 
 def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
-            chunk_rows: int = DEFAULT_CHUNK_ROWS, materialize: bool = False,
+            chunk_rows: int = DEFAULT_CHUNK_ROWS, materialize: bool = True,
             partitioned: bool = False) -> DataFrame:
     """Add one column per spec: its running aggregate within ``keys`` by ``order``.
 
@@ -72,8 +72,10 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
     ``(keys, chunk)`` without moving the rows again, and the in-chunk window
     runs on the same partitioning.
 
-    The input is read by two branches (summaries and rows).  With
-    ``materialize`` the shuffled rows are checkpointed (reliably, into
+    The input is read by two branches (summaries and rows), and scans are
+    chained (parent -> position, ids -> next), so unmaterialized inputs would
+    be recomputed once per reference, level after level.  With
+    ``materialize`` (default) the shuffled rows are checkpointed (reliably, into
     ``spark.checkpoint.dir``) so an expensive input is computed once and its
     lineage is cut; the checkpoint keeps the ``(keys, chunk)`` partitioning,
     so neither branch shuffles again.  ``partitioned`` says ``df`` came

@@ -28,8 +28,18 @@ FIRST_YEAR = 2000
 YEAR_SPAN = 25
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The test table as a DataFrame.  The files never change, so one
+    DataFrame per (session, path) is kept: its schema is read once, not at
+    every reference (a plan object, no data is cached)."""
+    key = (id(spark), f"{sf_dir}/{name}.parquet")
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = spark.read.parquet(key[1])
+    return df
 
 
 def _marker(seq, key):
