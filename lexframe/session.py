@@ -54,3 +54,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for staged table writes."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "staging", name)
+
+
+def spread(df):
+    """Round-robin the rows over all cores when a scan yields fewer
+    partitions than the default parallelism (a small file with few row
+    groups); a no-op on large inputs, which split into many partitions
+    anyway.  Use before CPU-heavy per-row work (regex over whole texts)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

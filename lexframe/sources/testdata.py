@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities, is_blank, strip_ws
+from ..session import spread
 
 # ---- fixed values: line markers of the marked-line view, by (seq+doc_id)%12 --
 # "{seq}" is replaced by the line number; 5 leaves the line unmarked.
@@ -63,7 +64,7 @@ def statute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     1.. the non-blank sentences (split on ``". "``) with their markers.  The
     section-title cell ``c1`` holds the first word on section rows.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"))
     year = (F.lit(FIRST_YEAR) + F.col("doc_id") % YEAR_SPAN).cast("string")
     title = F.concat(F.lit("THE "), F.upper(F.col("source")),
                      F.when(F.col("n_chars") % 2 == 0, F.lit(" ACT ")).otherwise(F.lit(" ORDER ")), year)
