@@ -110,6 +110,12 @@ def replace_sections(existing: DataFrame, batch: DataFrame, key: str = "law_id",
     return existing.join(touched, key, "left_anti").unionByName(batch)
 
 
+def new_rows(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows of ``after`` that were not in ``before`` (multiset difference,
+    ``EXCEPT ALL``): what an ingest added."""
+    return after.exceptAll(before.select(*after.columns))
+
+
 def cascade_delete(laws: DataFrame, sections: DataFrame, ids: DataFrame,
                    key: str = "law_id") -> tuple[DataFrame, DataFrame]:
     """SNK10: drop laws by id and, by the foreign key, their sections."""

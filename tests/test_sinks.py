@@ -87,3 +87,9 @@ def test_write_table_swaps_in_place(spark):
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [10, 11, 12]
     snk.write_table(spark, spark.range(2), target, mode="append")
     assert spark.read.parquet(target).count() == 5
+
+
+def test_new_rows_is_multiset_difference(spark):
+    before = spark.createDataFrame([(1, "a"), (1, "a")], "k long, v string")
+    after = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "b")], "k long, v string")
+    assert sorted(map(tuple, snk.new_rows(after, before).collect())) == [(1, "a"), (2, "b")]
