@@ -61,5 +61,8 @@ def spread(df):
     partitions than the default parallelism (a small file with few row
     groups); a no-op on large inputs, which split into many partitions
     anyway.  Use before CPU-heavy per-row work (regex over whole texts)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as it is
+        return df
