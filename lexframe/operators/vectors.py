@@ -208,3 +208,12 @@ def make_embedder(load, dim: int, name: str = "embedder"):
         vecs = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
         return pd.Series(list(vecs))
     return embed
+
+
+def recall_at_k(candidates: DataFrame, exact: DataFrame) -> DataFrame:
+    """TXT4: per question, the share of the exact top-k (JN11) that an
+    approximate candidate set found; an equi-join on (q_id, vec_id)."""
+    hit = exact.join(candidates.select("q_id", "vec_id").distinct().withColumn("_hit", F.lit(1)),
+                     ["q_id", "vec_id"], "left")
+    return hit.groupBy("q_id").agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"),
+                                   F.count(F.lit(1)).alias("k"))

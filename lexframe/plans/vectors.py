@@ -134,3 +134,10 @@ def q_knn_lsh(spark, sf):
     """TXT4 (rows-only): LSH candidate neighbours within distance 1.25 (cosine >= 0.22)."""
     q, c = knn_sets(spark, sf)
     return vx.lsh_neighbours(q, c, threshold=1.25, bucket_length=1.0)
+
+
+@register("knn_lsh_recall")
+def q_knn_lsh_recall(spark, sf):
+    """TXT4 (rows-only): recall of the LSH candidates against the exact top 5."""
+    q, c = knn_sets(spark, sf)
+    return vx.recall_at_k(vx.lsh_neighbours(q, c, threshold=1.25, bucket_length=1.0), knn(spark, sf, 5))
