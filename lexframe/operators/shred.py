@@ -208,3 +208,15 @@ def shred_rows_dom(pages: DataFrame, key: str = "law_id", html: str = "html", mi
     key_type = pages.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, row_no bigint, n_cells bigint, c0 string, c1 string, c2 string"
     return pages.select(key, html).mapInPandas(shred, schema)
+
+
+def shred_rows_auto(pages: DataFrame, key: str = "law_id", html: str = "html", min_cells: int = 3) -> DataFrame:
+    """SCL12, both modes: pages holding more than one ``<table`` (where a
+    regex block would cut the outer table at the inner ``</table>``) go
+    through the DOM shredder; every other page stays on the built-in regex
+    path.  Same output schema."""
+    nested = F.col(html).rlike(r"(?is)<table\b.*<table\b")
+    flagged = pages.select(key, html, nested.alias("_nested"))
+    simple = shred_rows(flagged.filter(~F.col("_nested")), key, html, min_cells=min_cells)
+    messy = shred_rows_dom(flagged.filter(F.col("_nested")), key, html, min_cells)
+    return simple.unionByName(messy)

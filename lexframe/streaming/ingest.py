@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..operators.classify import act_titles
 from ..operators.hierarchy import build_sections
-from ..operators.shred import shred_rows
+from ..operators.shred import shred_rows_auto
 from ..session import ensure_checkpoint_dir
 from ..sinks import tables as snk
 from ..sinks.schema import ensure_tables
@@ -39,7 +39,7 @@ def ingest_batch(spark: SparkSession, items: DataFrame, paths: dict[str, str]) -
     # sections of this batch's acts (last page per key), law ids derived from the key
     latest = snk.latest_per_key(pages, keys, "arrival").withColumn(
         "law_id", snk.derived_law_id(F.col("year"), F.col("act_number"), F.col("name")))
-    rows = shred_rows(latest.select("law_id", "html"))
+    rows = shred_rows_auto(latest.select("law_id", "html"))
     sections = build_sections(rows)
     titles = act_titles(rows)
     named = latest.join(titles, "law_id", "left").select(

@@ -158,3 +158,14 @@ def test_dom_mode_matches_regex_mode_and_handles_unclosed_cells(spark):
     df = spark.createDataFrame([(1, messy)], "law_id long, html string")
     rows = shred_rows_dom(df).orderBy("row_no").collect()
     assert [(r.c1, r.c2) for r in rows] == [("Title.", "1.—Text bold"), ("", "(1) sub x")]
+
+
+def test_auto_mode_routes_nested_tables_to_dom(spark):
+    from lexframe.operators.shred import shred_rows_auto
+    nested = ("<table><tr><td></td><td></td><td>BE IT ENACTED</td></tr>"
+              "<tr><td></td><td></td><td>1.—Text <table><tr><td>inner</td></tr></table> more</td></tr>"
+              "<tr><td></td><td></td><td>(1) after the inner table</td></tr></table>")
+    df = spark.createDataFrame([(1, nested), (2, page(F2))], "law_id long, html string")
+    rows = {(r.law_id, r.row_no): r.c2 for r in shred_rows_auto(df).collect()}
+    assert rows[(1, 1)] == "1.—Text inner more" and rows[(1, 3)] == "(1) after the inner table"
+    assert sum(1 for k in rows if k[0] == 2) == len(F2)
