@@ -54,7 +54,9 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate
     the row).  The enactment gate (WIN5) needs no pass of its own: a row
     takes part iff ``_first`` is set, and a remembered node counts iff it
     comes after ``_first`` (if the latest node of a rank is before the gate,
-    so are all earlier ones).
+    so are all earlier ones).  The raw cells ``c1``/``c2`` are read by the
+    scan expressions and then dropped (``node_title``/``node_text`` carry
+    their content), so the text is materialized once, not twice.
     """
     st = F.col("section_type")
     specs = [Running(f"_last{r}", _node(F.col("rank") == r)) for r in range(1, MAX_RANK)]
@@ -68,7 +70,7 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate
         # first enacting row strictly before: max of -row_no
         specs.append(Running("_negfirst", F.when(is_enacting(F.col("c2")), -F.col("row_no"))))
     out = running(classified, ["law_id"], "row_no", specs, chunk_rows, materialize=True,
-                  partitioned=partitioned)
+                  partitioned=partitioned, drop=tuple(c for c in ("c1", "c2") if c in classified.columns))
     if not gate:
         return out.withColumn("_first", F.lit(None).cast("bigint")).withColumn("_gated", F.lit(True))
     first = -F.col("_negfirst")

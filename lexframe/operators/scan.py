@@ -60,7 +60,7 @@ def chunked(df: DataFrame, keys: list[str], order: str, chunk_rows: int = DEFAUL
 
 def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
             chunk_rows: int = DEFAULT_CHUNK_ROWS, materialize: bool = True,
-            partitioned: bool = False) -> DataFrame:
+            partitioned: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add one column per spec: its running aggregate within ``keys`` by ``order``.
 
     ``order`` must be an integral, unique-within-key column (the row number);
@@ -80,12 +80,15 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
     lineage is cut; the checkpoint keeps the ``(keys, chunk)`` partitioning,
     so neither branch shuffles again.  ``partitioned`` says ``df`` came
     from :func:`chunked` with the same ``chunk_rows`` (no second shuffle).
+    ``drop`` names input columns only the spec expressions read: they are
+    removed once the specs are evaluated, before any shuffle or checkpoint.
     """
     chunk = "_chunk"
-    cols = [c for c in df.columns if c != chunk]
+    cols = [c for c in df.columns if c != chunk and c not in drop]
     base = df if partitioned else df.withColumn(chunk, F.floor(F.col(order) / F.lit(chunk_rows)).cast("bigint"))
     for s in specs:
         base = base.withColumn(f"_v_{s.name}", s.expr)
+    base = base.drop(*drop)
     part = base if partitioned else base.repartition(*keys, chunk)
     if materialize:
         ensure_checkpoint_dir(df.sparkSession)
