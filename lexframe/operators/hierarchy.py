@@ -45,7 +45,7 @@ def _display_ref(node: Column, cur: Column) -> Column:
 
 
 def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate: bool = True,
-               partitioned: bool = False) -> DataFrame:
+               partitioned: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
     """Running state for every classified row (nodes and continuation rows).
 
     Adds ``_last1.._last4`` (latest node of that rank before the row),
@@ -56,7 +56,8 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate
     comes after ``_first`` (if the latest node of a rank is before the gate,
     so are all earlier ones).  The raw cells ``c1``/``c2`` are read by the
     scan expressions and then dropped (``node_title``/``node_text`` carry
-    their content), so the text is materialized once, not twice.
+    their content), so the text is materialized once, not twice; ``drop``
+    names more columns the caller does not need (e.g. ``node_text``).
     """
     st = F.col("section_type")
     specs = [Running(f"_last{r}", _node(F.col("rank") == r)) for r in range(1, MAX_RANK)]
@@ -70,7 +71,7 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate
         # first enacting row strictly before: max of -row_no
         specs.append(Running("_negfirst", F.when(is_enacting(F.col("c2")), -F.col("row_no"))))
     out = running(classified, ["law_id"], "row_no", specs, chunk_rows, materialize=True,
-                  partitioned=partitioned, drop=tuple(c for c in ("c1", "c2") if c in classified.columns))
+                  partitioned=partitioned, drop=tuple(c for c in ("c1", "c2", *drop) if c in classified.columns))
     if not gate:
         return out.withColumn("_first", F.lit(None).cast("bigint")).withColumn("_gated", F.lit(True))
     first = -F.col("_negfirst")
@@ -83,7 +84,7 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate
 
 
 def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                   with_breadcrumb: bool = False, gate: bool = True) -> DataFrame:
+                   with_breadcrumb: bool = False, gate: bool = True, with_text: bool = True) -> DataFrame:
     """Statute rows ``(law_id, row_no, c1, c2)`` -> one row per node
     (``SECTION_COLUMNS``).
 
@@ -91,10 +92,16 @@ def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     shuffle (SCL18, full parallelism, narrow shuffle).  With ``gate``
     (default) rows up to the first enacting row are skipped (WIN5) inside
     the same scan; pass ``gate=False`` for rows already gated.
+
+    ``with_text=False`` gives the structure only (no ``text_content``): the
+    row text is dropped before the first checkpoint and the per-node text
+    aggregate (a shuffle of the whole corpus) is skipped, since every node
+    row is its own group.
     """
     rows = rows.filter(F.col("c2").isNotNull() & (F.col("c2") != ""))
     classified = classify_rows(chunked(rows, ["law_id"], "row_no", chunk_rows))
-    scanned = scan_nodes(classified, chunk_rows, gate, partitioned=True).filter(F.col("_gated"))
+    scanned = scan_nodes(classified, chunk_rows, gate, partitioned=True,
+                         drop=() if with_text else ("node_text",)).filter(F.col("_gated"))
     cur = F.col("_cur.r")
     # WIN1: parent = latest last-of-rank below the node's rank
     parent = None
@@ -115,19 +122,24 @@ def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     if with_breadcrumb:
         node_cols.append(_breadcrumb(cur).alias("breadcrumb"))
     scanned = scanned.withColumn("_parent", parent)
-    # AGG4: node text + continuation rows, non-empty pieces joined by "\n"
-    grouped = (scanned.filter(F.col("_grp").isNotNull())
-               .groupBy("law_id", "_grp")
-               .agg(F.max(F.when(st.isNotNull(), F.struct(*node_cols))).alias("_n"),
-                    F.expr("listagg(nullif(node_text, ''), '\n') WITHIN GROUP (ORDER BY row_no)")
-                     .alias("_text")))
-    nodes = grouped.select("law_id", "_n.*", F.coalesce(F.col("_text"), F.lit("")).alias("text_content"))
+    if with_text:
+        # AGG4: node text + continuation rows, non-empty pieces joined by "\n"
+        grouped = (scanned.filter(F.col("_grp").isNotNull())
+                   .groupBy("law_id", "_grp")
+                   .agg(F.max(F.when(st.isNotNull(), F.struct(*node_cols))).alias("_n"),
+                        F.expr("listagg(nullif(node_text, ''), '\n') WITHIN GROUP (ORDER BY row_no)")
+                         .alias("_text")))
+        nodes = grouped.select("law_id", "_n.*", F.coalesce(F.col("_text"), F.lit("")).alias("text_content"))
+    else:
+        # a gated node row heads its own group: no text to gather, no shuffle
+        nodes = scanned.filter(st.isNotNull() & F.col("_grp").isNotNull()).select("law_id", *node_cols)
     # WIN2: 1-based position among siblings (top-level nodes share key -1)
     nodes = nodes.withColumn("_pkey", F.coalesce(F.col("parent_seq"), F.lit(-1).cast("bigint")))
     nodes = running(nodes, ["law_id", "_pkey"], "seq",
                     [Running("position", F.lit(1).cast("bigint"), "sum", inclusive=True)], chunk_rows,
                     materialize=True)
-    cols = list(SECTION_COLUMNS) + (["breadcrumb"] if with_breadcrumb else [])
+    cols = [c for c in SECTION_COLUMNS if with_text or c != "text_content"]
+    cols += ["breadcrumb"] if with_breadcrumb else []
     return nodes.select(*cols)
 
 

@@ -47,7 +47,7 @@ def q_law_sections(spark, sf):
     """JN3/TOP3: all sections of each requested law, by position then seq."""
     reqs = td.table(spark, sf, "benchmark").select(F.col("item_id").alias("req_id"),
                                                    (F.col("item_id") * 5).alias("law_id"))
-    s = sections(spark, sf).select("law_id", "seq", "section_ref", "position")
+    s = sections(spark, sf, with_text=False).select("law_id", "seq", "section_ref", "position")
     return lk.law_sections(s, reqs).select("req_id", "law_id", "seq", "section_ref", "position", "list_no")
 
 
@@ -59,7 +59,7 @@ LEFT JOIN sections s ON s.law_id = b.law_id AND s.seq = b.seq""")
 def q_section_by_ref(spark, sf):
     """JN4/TOP5: first section with the ref in the law, NULL on a miss."""
     reqs = td.requests(spark, sf).select("req_id", "law_id", "section_ref")
-    s = sections(spark, sf).select("law_id", "seq", "section_ref", "section_type")
+    s = sections(spark, sf, with_text=False).select("law_id", "seq", "section_ref", "section_type")
     return lk.section_by_ref(s, reqs).select("req_id", "law_id", "section_ref", "seq", "section_type")
 
 

@@ -113,7 +113,7 @@ SELECT 'law_sections', CAST(count(*) AS BIGINT) FROM sections WHERE law_id NOT I
 def q_cascade_delete(spark, sf):
     """SNK10: deleting the laws of two sources removes their sections too."""
     laws = td.doc_laws(spark, sf)
-    s = sections(spark, sf)
+    s = sections(spark, sf, with_text=False)
     gone = td.table(spark, sf, "documents").filter(F.col("source").isin("src0", "src1")) \
              .select(F.col("doc_id").alias("law_id"))
     laws2, s2 = snk.cascade_delete(laws, s, gone)

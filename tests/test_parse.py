@@ -96,6 +96,15 @@ def test_matches_stack_model_on_fixtures(spark):
         assert sections_of(spark, pairs, chunk_rows=3) == [{c: n[c] for c in COLS} for n in model(pairs)]
 
 
+def test_structure_only_sections_equal_full_sections_without_text(spark):
+    for doc, chunk in ((F1, 3), (F2, 2), (F3, 1 << 16)):
+        rows = shredded(spark, doc)
+        full = build_sections(rows, chunk_rows=chunk, with_breadcrumb=True).drop("text_content")
+        bare = build_sections(rows, chunk_rows=chunk, with_breadcrumb=True, with_text=False)
+        assert bare.columns == full.columns
+        assert sorted(bare.collect()) == sorted(full.collect())
+
+
 ROW = st.one_of(
     st.builds(lambda n, t: ("", f"PART {n} {t}"), st.integers(1, 4), st.sampled_from(["", "Heading"])),
     st.builds(lambda n: ("", f"SCHEDULE {n}"), st.integers(1, 3)),
