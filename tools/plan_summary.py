@@ -28,7 +28,10 @@ def main():
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `tools/plan_summary.py` at `{sf}` (`explain(\"formatted\")`, before AQE re-planning). "
           "Counts are operator nodes in the plan; `Exchange` includes broadcast exchanges. Scan columns are the "
-          "`ReadSchema` field counts per parquet scan (pruning) and `PushedFilters` that reached the scan.\n")
+          "`ReadSchema` field counts per parquet scan (pruning) and `PushedFilters` that reached the scan. "
+          "Queries over the section table show the plan after its checkpoints (the work before a checkpoint "
+          "runs when the DataFrame is built). A round-robin `Exchange` in a text query is `spread()` on a "
+          "single-file test table; it is a no-op on inputs with at least as many partitions as cores.\n")
     print("| query | " + " | ".join(c for c in COUNT) + " | scans (cols) | pushed filters |")
     print("|---|" + "---|" * (len(COUNT) + 2))
     for name, fn in sorted(queries().items()):
