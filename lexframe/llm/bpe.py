@@ -27,7 +27,8 @@ from .registry import register
 CACHE_ENTRIES = 800_000
 VOCABULARY = "word_bpe_49k.json"
 SHORT = 48
-NO_MERGE = (1 << 62, -1)
+ID_BITS = 20
+NO_MERGE = 1 << 62
 
 
 def vocabulary_path() -> str:
@@ -70,7 +71,7 @@ class Bpe:
         self.merges = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank << ID_BITS | vocab[a + b]
         # byte pairs that some token holds: anywhere but at a word's end, and there
         self.inside, self.ending = set(), set()
         for t in vocab:
@@ -120,15 +121,30 @@ class Bpe:
         out, known = [], self.known
         if len(known) > self.cache_entries // 2:
             known.clear()
-        for piece in (part,) if part.isalpha() else self.pieces(part):
-            raw = piece.encode()
-            for frag in self.fragments(raw):
-                ids = known.get(frag)
-                if ids is None:
-                    ids = self._fragment(frag)
-                    if len(frag) <= SHORT:
-                        known[frag] = ids
-                out.append(ids)
+        if part.isalpha():
+            pieces = (part,)
+        elif part[:-1].isalpha() and part[-1] in ".,;:!?":  # as the pattern would cut it
+            pieces = (part[:-1], part[-1])
+        else:
+            pieces = self.pieces(part)
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = self._piece(piece)
+                if len(piece) <= SHORT:
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _piece(self, piece: str) -> bytes:
+        out, known = [], self.known
+        for frag in self.fragments(piece.encode()):
+            ids = known.get(frag)
+            if ids is None:
+                ids = self._fragment(frag)
+                if len(frag) <= SHORT:
+                    known[frag] = ids
+            out.append(ids)
         return b"".join(out)
 
     def fragments(self, raw: bytes) -> list[bytes]:
@@ -152,14 +168,14 @@ class Bpe:
         """Join the pair of lowest rank, leftmost first, until none is left."""
         if len(ids) > SHORT:
             return self._merge_long(ids)
-        get = self.merges.get
+        get, new_id = self.merges.get, (1 << ID_BITS) - 1
         found = [get(p, NO_MERGE) for p in zip(ids, ids[1:])]
         while found:
             best = min(found)
-            if best is NO_MERGE:
+            if best == NO_MERGE:
                 break
             i = found.index(best)
-            ids[i:i + 2] = [best[1]]
+            ids[i:i + 2] = [best & new_id]
             del found[i]
             if i < len(found):
                 found[i] = get((ids[i], ids[i + 1]), NO_MERGE)
@@ -170,20 +186,20 @@ class Bpe:
     def _merge_long(self, ids: list[int]) -> list[int]:
         merges, n = self.merges, len(ids)
         nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = nxt[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = m & (1 << ID_BITS) - 1, -1
             nxt[i] = nxt[j]
             if nxt[i] >= 0:
                 prv[nxt[i]] = i
             for l in (prv[i], i):
-                if l >= 0 and nxt[l] >= 0 and (m := merges.get((ids[l], ids[nxt[l]]))):
-                    heapq.heappush(heap, (m[0], l, ids[l], ids[nxt[l]], m[1]))
+                if l >= 0 and nxt[l] >= 0 and (m := merges.get((ids[l], ids[nxt[l]]))) is not None:
+                    heapq.heappush(heap, (m, l, ids[l], ids[nxt[l]]))
         return [x for x in ids if x >= 0]
 
     # -- decoding
