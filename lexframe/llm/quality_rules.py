@@ -26,7 +26,7 @@ from .common import SALTS, Powers, Work, chunks, mix, prefix_hash, read_table, s
 from .registry import register
 
 MIN_WORDS = 50
-MIN_GROUP = 200
+MIN_GROUP = 100
 H = 0.75
 C_STEPS = 4
 SHORT = 200
@@ -35,7 +35,7 @@ CHI2_MEDIAN = 4.351
 CUTOFF = 100.0
 DIMS = ("mean_length", "symbols", "capitals", "repeats", "dup_lines")
 #: least standard deviation of each statistic: what differs less says nothing
-FLOOR = (0.15, 0.03, 0.03, 0.05, 0.05)
+FLOOR = (0.15, 0.03, 0.03, 0.05, 0.12)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
 _SYMBOL = np.zeros(256, bool)
