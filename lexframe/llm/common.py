@@ -195,3 +195,19 @@ def words(buf: np.ndarray, off: np.ndarray):
 
 def lower(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
+
+
+class Bitmap:
+    """A fixed-size set of 64-bit hashes, by their low bits; it may claim values it
+    was not given.  Its words are all that the driver gets, however many values."""
+
+    def __init__(self, values: DataFrame, column: str, bits: int = 23):
+        slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+        got = values.select((slot / 64).cast("long").alias("w"), (slot % 64).cast("int").alias("s")) \
+            .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v")).toArrow()
+        self.bits, self.map = bits, np.zeros(1 << (bits - 6), np.uint64)
+        self.map[got.column("w").to_numpy()] = got.column("v").to_numpy().astype(np.uint64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        slot = x.astype(np.uint64) & np.uint64((1 << self.bits) - 1)
+        return (self.map[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -30,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, Work, chunks, components, lower, mix, prefix_hash, read_table, span_hash, words
+from .common import Bitmap, Powers, Work, chunks, components, lower, mix, prefix_hash, read_table, span_hash, words
 from .registry import register
 
 SHINGLE = 5
 #: similarity of 3/4, as (over, under): linked if under * shared >= over * (all)
 NUM, DEN = 3, 4
 GROUPS = 64
-MAP_BITS = 23
 HOT = 8
 STARS = 2
 LEAF = 16
@@ -100,22 +99,6 @@ def _name_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, node, probe], names=["doc_id", "n", "node", "probe"])
 
 
-class Bitmap:
-    """A fixed-size set of 64-bit hashes, by their low bits; it may claim values it
-    was not given."""
-
-    def __init__(self, values: DataFrame, column: str, bits: int = MAP_BITS):
-        slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-        got = values.select((slot / 64).cast("long").alias("w"), (slot % 64).cast("int").alias("s")).distinct() \
-            .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v")).collect()
-        self.bits, self.map = bits, np.zeros(1 << (bits - 6), np.uint64)
-        self.map[[r["w"] for r in got]] = np.array([r["v"] for r in got], np.int64).astype(np.uint64)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        slot = x.astype(np.uint64) & np.uint64((1 << self.bits) - 1)
-        return (self.map[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _posting_rows(hot: Bitmap):
     def run(batches):
         for b, sets in _sets(batches):

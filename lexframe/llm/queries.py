@@ -1,7 +1,7 @@
 """Loads the operators; their queries and SQL."""
 from __future__ import annotations
 
-from . import bpe, embed_dedup, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, warc  # noqa: F401
+from . import bpe, embed_dedup, line_dedup, ngram_join, packing, quality_model, quality_rules, suffix_dedup, toxicity, warc  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
