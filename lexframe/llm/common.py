@@ -28,6 +28,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """``columns`` from the struct ``row``, with ``text`` as the text and, where there is
+    an ``n_chars``, its length in code points."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
 class Work:
     """A fresh folder under the shared checkpoint folder for tables that cut
     lineage.  Only a local session without ``spark.checkpoint.dir`` may use a

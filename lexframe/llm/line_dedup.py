@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, WS, Work, read_table
+from .common import SALTS, WS, Work, read_table, with_text
 from .registry import register
 
 MIN_DOCS = 10
@@ -97,21 +97,26 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of ``docs(doc_id, text)`` with ``kept_text``, ``n_lines`` and
-    ``n_dropped``."""
-    d = docs.select("doc_id", "text")
-    hit = dropped_lines(d, min_docs, min_chars).select(
+    """``row`` (all columns of ``docs`` but ``text``), ``kept_text``, ``n_lines`` and
+    ``n_dropped`` of every row."""
+    d = docs.select(F.struct("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("row"), "doc_id", "text")
+    hit = dropped_lines(docs.select("doc_id", "text"), min_docs, min_chars).select(
         F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "dropped")
     lines = lines_of(F.col("text"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped")),
                        lambda i: F.get(lines, i))
     return d.join(hit, d["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(d["text"]) == hit["hit_hash"]), "left").select(
-        "doc_id", "text", F.size(lines).cast("long").alias("n_lines"),
+        "row", F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("dropped").isNull(), F.coalesce(F.col("text"), F.lit("")))
          .otherwise(F.array_join(kept, "\n")).alias("kept_text"))
 
 
+def without_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the kept lines as text."""
+    return with_text(dedup_lines(docs, min_docs, min_chars), docs.columns, "kept_text")
+
+
 SQL = r"""
 WITH l AS (SELECT doc_id, i, lines[i] AS line,
                   translate(trim(lines[i], chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '),
@@ -129,4 +134,4 @@ FROM j GROUP BY doc_id
 @register("op4_line_dedup", SQL)
 def op4_line_dedup(spark, sf_dir):
     out = dedup_lines(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -96,7 +96,7 @@ def _name_rows(batches):
         n = pa.array([len(s) for s in sets], pa.int64())
         node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
         probe = _longs([s[:-(-prefix_length(len(s)) // 4)] if len(s) else s for s in sets])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, node, probe], names=["doc_id", "n", "node", "probe"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), n, node, probe], names=["doc_id", "th", "n", "node", "probe"])
 
 
 def _posting_rows(hot: Bitmap):
@@ -289,11 +289,12 @@ def _tree_rows(batches):
 
 
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n, node)`` of every row and ``(node, comp)`` of the linked nodes."""
+    """``(doc_id, th, n, node)`` of every row, ``th`` a hash of its text, and ``(node, comp)`` of the linked nodes."""
     work = Work(docs.sparkSession, "ngrams")
     kind = dict(docs.dtypes)["doc_id"]
     text = docs.select("doc_id", "text")
-    named = work.cut(text.mapInArrow(_name_rows, f"doc_id {kind}, n long, node long, probe array<long>"), "sets")
+    named = work.cut(text.select("*", F.xxhash64("text").alias("th")).mapInArrow(
+        _name_rows, f"doc_id {kind}, th long, n long, node long, probe array<long>"), "sets")
     hot = named.select(F.explode("probe").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT)
     postings = text.mapInArrow(_posting_rows(Bitmap(hot, "h")), "h long, node long, n int")
     shared = work.cut(postings.repartition(F.col("h")).sortWithinPartitions("h", "node").mapInArrow(_shared_rows, "h long, node long, n int"), "lists")
@@ -360,6 +361,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return rows.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the smallest id (then the least hash
+    of the text); rows that repeat id and text are one."""
+    named, comp = linked_sets(docs)
+    rows = named.join(comp, "node", "left").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k_id"), "doc_id", "th", F.coalesce("comp", "node").alias("comp"))
+    best = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "k_id")).alias("b"))
+    stay = best.select("b.k_id", "b.th").unionByName(rows.filter("comp IS NULL").select("k_id", "th")).distinct()
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k_id"), F.xxhash64("text").alias("th"))
+    return d.join(stay, ["k_id", "th"], "left_semi").dropDuplicates(["k_id", "th"]).select("row.*")
+
+
 @register("op1_ngram_join")
 def op1_ngram_join(spark, sf_dir):
     return near_copies(read_table(spark, sf_dir, "documents"))

@@ -149,6 +149,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_documents(docs, model, held)
 
 
+def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the fitted model predicts as class 1."""
+    model = train(*labelled_sample(docs, labels, "quality", lambda i: crc_mod(i, 3) != 1))
+
+    def run(batches):
+        powers = Powers()
+        for b in batches:
+            yield b.filter(pa.array(score_texts(b.column("text"), model, powers) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @register("op8_quality_model")
 def op8_quality_model(spark, sf_dir):
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

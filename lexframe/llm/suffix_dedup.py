@@ -26,14 +26,12 @@ columns are not read.
 """
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Powers, Work, chunks, mix, prefix_hash, read_table, span_hash
+from .common import Bitmap, Powers, Work, chunks, mix, prefix_hash, read_table, span_hash, with_text
 from .registry import register
 
 LENGTH = 100
@@ -219,33 +217,30 @@ def _span_rows(length: int):
     return run
 
 
-def _cut_rows(full: bool):
-    """Each text without the union of its spans."""
-    def run(batches):
-        for b in batches:
-            n, gone, spans, out = [], [], [], []
-            for text, found in zip(b.column("text"), b.column("found")):
-                data = (text.as_py() or "").encode()
-                runs: list[list[int]] = []
-                for x in sorted((x["s"], x["e"]) for x in found.as_py() or ()):
-                    if runs and x[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x[1])
-                    else:
-                        runs.append(list(x))
-                kept, at = [], 0
-                for s, e in runs:
-                    kept.append(data[at:s])
-                    at = e
-                kept = b"".join(kept) + data[at:]
-                n.append(len(data))
-                gone.append(len(data) - len(kept))
-                spans.append(runs if full else len(runs))
-                out.append(kept if full else hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                pa.array(spans, pa.list_(pa.list_(pa.int64())) if full else pa.int64()), pa.array(out, pa.binary() if full else pa.string())],
-                names=["doc_id", "text_hash", "n_bytes", "n_removed", "spans", "kept"])
-    return run
+def cut_spans(text: str | None, found) -> tuple[bytes, list[list[int]], int]:
+    """The bytes left of a text without its spans, their union's runs, and the text's length."""
+    data, runs = (text or "").encode(), []
+    for s, e in sorted((x["s"], x["e"]) for x in found or ()):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    kept, at = [], 0
+    for s, e in runs:
+        kept.append(data[at:s])
+        at = e
+    return b"".join(kept) + data[at:], runs, len(data)
+
+
+def _cut_rows(batches):
+    """``row`` with what is left of its text."""
+    for b in batches:
+        got = [cut_spans(t.as_py(), f.as_py()) for t, f in zip(b.column("text"), b.column("found"))]
+        yield pa.RecordBatch.from_arrays([
+            b.column("row"), pa.array([x[2] for x in got], pa.int64()), pa.array([x[2] - len(x[0]) for x in got], pa.int64()),
+            pa.array([x[1] for x in got], pa.list_(pa.list_(pa.int64()))), pa.array([x[0] for x in got], pa.binary()),
+            pa.array([x[0].decode("utf-8", "ignore") for x in got], pa.string())],
+            names=["row", "n_bytes", "n_removed", "spans", "kept", "kept_text"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -261,18 +256,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return work.cut(spans.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("found")), "spans")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, full: bool = True) -> DataFrame:
-    """``(doc_id, text_hash, n_bytes, n_removed, spans, kept)`` of every row; without
-    ``full`` the number of spans and the digest ``kept_sha256`` stand for the last two."""
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``row`` (all columns of ``docs`` but ``text``), ``n_bytes``, ``n_removed``, the runs
+    ``spans``, the bytes ``kept`` and ``kept_text`` (these without the characters that a
+    cut splits) of every row."""
     found = repeated_spans(docs, length)
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
-    d = d.join(found, (key == found["id"]) & (F.col("text_hash") == found["th"]), "left").select("doc_id", "text_hash", "text", "found")
-    out = d.mapInArrow(_cut_rows(full), f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_bytes long, n_removed long, "
-                       + ("spans array<array<long>>, kept binary" if full else "spans long, kept string"))
-    return out if full else out.select("doc_id", "n_bytes", "n_removed", F.col("spans").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+    row = F.struct("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    d = docs.select(row.alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.xxhash64("text").alias("th"))
+    d = d.join(found, ["id", "th"], "left").select("row", "text", "found")
+    kind = d.schema["row"].dataType.simpleString()
+    return d.mapInArrow(_cut_rows, f"row {kind}, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_text string")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with what is left as text."""
+    return with_text(cut_repeats(docs, length), docs.columns, "kept_text")
 
 
 @register("op3_suffix_dedup")
 def op3_suffix_dedup(spark, sf_dir):
-    return cut_repeats(read_table(spark, sf_dir, "documents"), full=False)
+    out = cut_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
