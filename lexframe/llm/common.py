@@ -209,12 +209,27 @@ class Bitmap:
     was not given.  Its words are all that the driver gets, however many values."""
 
     def __init__(self, values: DataFrame, column: str, bits: int = 23):
-        slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-        got = values.select((slot / 64).cast("long").alias("w"), (slot % 64).cast("int").alias("s")) \
-            .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v")).toArrow()
         self.bits, self.map = bits, np.zeros(1 << (bits - 6), np.uint64)
+        got = bitmap_words(values, column, bits).toArrow()
         self.map[got.column("w").to_numpy()] = got.column("v").to_numpy().astype(np.uint64)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         slot = x.astype(np.uint64) & np.uint64((1 << self.bits) - 1)
         return (self.map[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap_words(values: DataFrame, column: str, bits: int) -> DataFrame:
+    """``(w, v)``: the words of a bitmap of ``2**bits`` bits with those of ``values`` set."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    return values.select(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("s")) \
+        .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v"))
+
+
+def maybe_among(rows: DataFrame, key, values: DataFrame, column: str, bits: int = 20) -> DataFrame:
+    """The rows whose 64-bit hash ``key`` may be among ``values``: all that are, and a
+    few that are not.  The broadcast side has at most ``2**bits / 64`` words."""
+    slot = key.bitwiseAND(F.lit((1 << bits) - 1))
+    words = bitmap_words(values, column, bits).select(F.col("w").alias("_w"), F.col("v").alias("_v"))
+    out = rows.join(F.broadcast(words), F.shiftright(slot, 6) == F.col("_w"))
+    bit = F.call_function("shiftrightunsigned", F.col("_v"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return out.filter(bit.bitwiseAND(F.lit(1)) == 1).drop("_w", "_v")

@@ -9,9 +9,10 @@ overlap, and so do, for two boxes of an R-tree, the minima of their upper corner
    shingles in any order that holds for all sets.  The order puts frequent shingles
    last: a fixed-size bitmap, filled from the counts of all documents, says which
    are; whatever it says, the order is the same for all sets, so nothing is lost.
-2. Nodes that share such a shingle meet in its posting list.  ``STARS`` times each
-   node is compared with one leader per list; links found so join nodes to groups,
-   so that a list of thousands of near copies needs no pairs.
+2. Nodes that share such a shingle meet in its posting list.  Each node is compared
+   with one leader per list, and in lists of more than ``LEAF`` nodes ``STARS`` times,
+   with a leader from the largest group so far; links found so join nodes to groups,
+   so that a list of thousands of near copies needs few pairs.
 3. In each list that still holds several groups, an R-tree packed by size is joined
    with itself; pairs of boxes or points are dropped when they belong to one group,
    when their sizes differ too much or when the bound is under the overlap needed.
@@ -30,17 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Powers, Work, chunks, components, lower, mix, prefix_hash, read_table, span_hash, words
+from .common import Bitmap, Powers, Work, chunks, components, lower, maybe_among, mix, prefix_hash, read_table, span_hash, words
 from .registry import register
 
 SHINGLE = 5
 #: similarity of 3/4, as (over, under): linked if under * shared >= over * (all)
 NUM, DEN = 3, 4
-GROUPS = 64
-HOT = 8
-STARS = 2
+GROUPS = 256
+#: of the shingles each document draws this share; HOT draws make a shingle frequent
+DRAW = np.uint64((1 << 64) // 10)
+HOT = 2
+STARS = 5
 LEAF = 16
 BLOCK = 2048
+FRONT = 1_000
+PAIRS = 200_000
+MOST = 65_535
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, powers: Powers, size: int = SHINGLE):
@@ -91,11 +97,12 @@ def _sets(batches, column="text"):
 
 
 def _name_rows(batches):
-    """Id, size and name of each set, and the first of its shingles by hash."""
+    """Id, size and name of each set, and a share of its shingles that each document
+    draws anew, so that a shingle's draws follow its number of documents."""
     for b, sets in _sets(batches):
         n = pa.array([len(s) for s in sets], pa.int64())
         node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-        probe = _longs([s[:-(-prefix_length(len(s)) // 4)] if len(s) else s for s in sets])
+        probe = _longs([s[mix(s ^ np.uint64(set_id(s) & (1 << 64) - 1)) < DRAW] if len(s) else s for s in sets])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), n, node, probe], names=["doc_id", "th", "n", "node", "probe"])
 
 
@@ -143,15 +150,44 @@ def _shared_rows(batches):
         alone = not (sent[-1] or (was_sent and len(h) == 1))
 
 
-def _point_rows(wanted: Bitmap):
-    """Point and set of the documents that ``wanted`` asks for (column ``k``)."""
-    def run(batches):
-        for b in batches:
-            b = b.filter(pa.array(wanted(b.column("k").to_numpy(zero_copy_only=False))))
-            for c, sets in _sets([b]):
-                points = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), _longs(points), _longs(sets)], names=["doc_id", "point", "hashes"])
-    return run
+def fine_bits(n: int) -> int:
+    """Bits of the finer point: about four shingles a group."""
+    return 8 + max(0, (max(n, 1) - 1 >> 10).bit_length())
+
+
+def _counts(s: np.ndarray, bits: int) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), MOST).astype("<u2").tobytes()
+
+
+def _point_rows(batches):
+    """The point of each set for the tree, and the finer one for pairs."""
+    for b, sets in _sets(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([_counts(s, 8) for s in sets], pa.binary()),
+                                          pa.array([_counts(s, fine_bits(len(s))) for s in sets], pa.binary())], names=["node", "point", "fine"])
+
+
+def _hash_rows(batches):
+    for b, sets in _sets(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), _longs(sets)], names=["node", "hashes"])
+
+
+def points_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), GROUPS)
+
+
+def _bound_rows(batches):
+    """Pairs whose sizes and coordinate minima allow a link, by the coarser of the two
+    fine points (a group of it is a run of groups of the other)."""
+    for b in batches:
+        na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+        ok = (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na)
+        for i in np.flatnonzero(ok):
+            p, q = (np.frombuffer(b.column(c)[i].as_buffer(), "<u2").astype(np.int64) for c in ("p_a", "p_b"))
+            if max(p.max(), q.max()) < MOST:
+                size = min(len(p), len(q))
+                low = np.minimum(p.reshape(size, -1).sum(axis=1), q.reshape(size, -1).sum(axis=1)).sum()
+                ok[i] = (NUM + DEN) * low >= need(na[i], nb[i])
+        yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
 def _verify_rows(batches):
@@ -199,33 +235,44 @@ def may_link(a, b) -> np.ndarray:
     ok = (DEN * hb >= NUM * la) & (DEN * ha >= NUM * lb) & ((ca != cb) | (ca == -1))
     out = np.zeros(len(la), bool)
     at = np.flatnonzero(ok)
-    for lo in range(0, len(at), 50_000):
-        k = at[lo:lo + 50_000]
-        out[k] = (NUM + DEN) * np.minimum(pa_[k], pb[k]).sum(axis=1) >= need(la[k], lb[k])
+    for lo in range(0, len(at), 20_000):
+        k = at[lo:lo + 20_000]
+        low = np.minimum(pa_[k], pb[k])
+        # a count at the end of its range may stand for more
+        full = (low == MOST).any(axis=1)
+        out[k] = full | ((NUM + DEN) * low.sum(axis=1, dtype=np.int64) >= need(la[k], lb[k]))
     return out
 
 
 def tree_join(s: CountTree, t: CountTree):
-    """Row pairs of two trees that may link; a tree with itself gives each pair once."""
+    """Row pairs of two trees that may link, in pieces; a tree with itself gives each
+    pair once.  Pairs of boxes wait on a stack, so what is open at a time is bounded."""
     same = s is t
-    ls, lt = len(s.levels) - 1, len(t.levels) - 1
-    i, j = np.array([0]), np.array([0])
-    while ls >= 0 or lt >= 0:
-        if ls >= 0 and (ls >= lt):
+    todo = [(len(s.levels) - 1, len(t.levels) - 1, np.array([0]), np.array([0]))]
+    while todo:
+        ls, lt, i, j = todo.pop()
+        if len(i) > FRONT:
+            todo += [(ls, lt, i[k:k + FRONT], j[k:k + FRONT]) for k in range(0, len(i), FRONT)]
+            continue
+        if ls >= 0 and ls >= lt:
             i, j = _children(i, j, len(s.levels[ls - 1][1]) if ls else len(s.sizes))
             ls -= 1
         if lt >= 0 and lt > ls:
             j, i = _children(j, i, len(t.levels[lt - 1][1]) if lt else len(t.sizes))
             lt -= 1
-        if same:
+        if same and ls == lt:
             i, j = i[i <= j], j[i <= j]
         a = s.boxes(ls, i) if ls >= 0 else (s.points[i], s.sizes[i], s.sizes[i], s.comp[i])
         b = t.boxes(lt, j) if lt >= 0 else (t.points[j], t.sizes[j], t.sizes[j], t.comp[j])
         keep = may_link(a, b)
         i, j = i[keep], j[keep]
-    if same:
-        i, j = i[i < j], j[i < j]
-    return s.rows[i], t.rows[j]
+        if ls >= 0 or lt >= 0:
+            if len(i):
+                todo.append((ls, lt, i, j))
+        else:
+            if same:
+                i, j = i[i < j], j[i < j]
+            yield s.rows[i], t.rows[j]
 
 
 def _children(i: np.ndarray, j: np.ndarray, below: int):
@@ -245,13 +292,19 @@ def _tree_rows(batches):
     def pairs(t: pa.Table):
         edge = edges(t)
         node, n, comp, bi, bj, blk = (t.column(c).to_numpy() for c in ("node", "n", "comp", "bi", "bj", "blk"))
-        point = t.column("point").combine_chunks()
-        point = point.flatten().to_numpy().reshape(len(node), GROUPS)
+        point = points_of(t.column("point"))
         n = n.astype(np.int64)
         size = np.repeat(np.diff(edge), np.diff(edge))
         first = np.repeat(edge[:-1], np.diff(edge))
         at, small, found = np.arange(len(node)), (size <= LEAF) & (bi == bj), []
         box = lambda k: (point[k], n[k], n[k], comp[k])
+        def batch():
+            i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            if len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for k in range(1, LEAF):  # lists of one leaf, all at once
             i = at[small & (at - first + k < size)]
             ok = may_link(box(i), box(i + k))
@@ -259,20 +312,17 @@ def _tree_rows(batches):
         for lo, hi in zip(edge[:-1], edge[1:]):
             if not small[lo]:
                 x = at[lo:hi][blk[lo:hi] == bi[lo]]
-                s = CountTree(point[x], n[x], comp[x]) if len(x) else None
-                if bi[lo] == bj[lo]:
-                    i, j = tree_join(s, s)
-                    found.append((x[i], x[j]))
-                else:
-                    y = at[lo:hi][blk[lo:hi] == bj[lo]]
-                    if len(x) and len(y):
-                        i, j = tree_join(s, CountTree(point[y], n[y], comp[y]))
+                y = at[lo:hi][blk[lo:hi] == bj[lo]]
+                if len(x) and len(y):
+                    s = CountTree(point[x], n[x], comp[x])
+                    t = s if bi[lo] == bj[lo] else CountTree(point[y], n[y], comp[y])
+                    for i, j in tree_join(s, t):
                         found.append((x[i], y[j]))
-        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                        if sum(len(f[0]) for f in found) > PAIRS:
+                            yield batch()
+                            found = []
+        if found:
+            yield batch()
 
     held, rows = [], 0
     for batch in batches:
@@ -282,10 +332,10 @@ def _tree_rows(batches):
             t = pa.Table.from_batches(held)
             last = edges(t)[-2]
             if last:
-                yield pairs(t.slice(0, last))
+                yield from pairs(t.slice(0, last))
                 held, rows = t.slice(last).combine_chunks().to_batches(), rows - last
     if rows:
-        yield pairs(pa.Table.from_batches(held))
+        yield from pairs(pa.Table.from_batches(held))
 
 
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -300,33 +350,39 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = work.cut(postings.repartition(F.col("h")).sortWithinPartitions("h", "node").mapInArrow(_shared_rows, "h long, node long, n int"), "lists")
     # one document for each node that some list holds
     met = shared.select("node").distinct()
-    reps = work.cut(named.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    reps = work.cut(named.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.expr(ROW_HASH)).alias("k"), F.min("n").alias("n"))
                     .join(met, "node", "left_semi"), "nodes")
-    ask = Bitmap(reps.select(F.xxhash64("doc_id").alias("k")), "k")
-    points = text.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(
-        _point_rows(ask), f"doc_id {kind}, point array<long>, hashes array<long>")
-    full = work.cut(points.join(reps, "doc_id").select("node", "n", "point", "hashes"), "points")
-    found = None
-    comp = None
-    for turn in range(STARS):
-        order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        lead = shared.groupBy("h").agg(F.min(order).alias("o")).select("h", F.col("o.node").alias("lead"))
-        star = shared.join(lead, "h").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        if comp is not None:
-            star = _apart(star, comp)
-        links = work.cut(verify(bounded(star, full), full), "links")
-        found = links if found is None else found.unionByName(links)
-        comp = work.cut(components(work, found), "groups")
-    rows = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi") \
-        .select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(many, "h").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+    points = _asked_texts(text, reps).mapInArrow(_point_rows, "node long, point binary, fine binary")
+    points = work.cut(points.join(reps, "node").select("node", "n", "point", "fine").dropDuplicates(["node"]), "points")
+    # every list, then the long ones again: a list of two is done after the first turn
+    links = verified(work, _star(shared, F.xxhash64("node")), points, text, reps)
+    comp = work.cut(components(work, links), "groups")
+    more = shared.groupBy("h").agg(F.count("*").alias("size")).filter("size > 2")
+    rest = work.cut(shared.join(more, "h"), "long-lists")
+    for turn in range(1, STARS):
+        size = comp.groupBy("comp").agg(F.count("*").alias("members"))
+        members = F.coalesce("members", F.lit(1))
+        known = rest.filter(F.col("size") > LEAF).join(comp, "node", "left").join(size, "comp", "left")
+        star = _apart(_star(known, -members, F.xxhash64("node", F.lit(turn))), comp)
+        links = links.unionByName(verified(work, star, points, text, reps))
+        comp = work.cut(components(work, links), "groups")
+    rows = rest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+    rows = rows.join(many, "h").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
+        .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("h", "node", F.col("n").cast("long").alias("n"), "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    rows = rows.join(full.select("node", "point"), "node").repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "node")
-    pairs = work.cut(rows.mapInArrow(_tree_rows, "a long, b long").distinct(), "pairs")
-    found = found.unionByName(work.cut(verify(pairs, full), "links"))
-    return named, components(work, found)
+    rows = rows.join(points.select("node", "point"), "node").repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "node")
+    pairs = rows.mapInArrow(_tree_rows, "a long, b long").distinct()
+    links = links.unionByName(verified(work, pairs, points, text, reps))
+    return named, components(work, links)
+
+
+def _star(lists: DataFrame, *order) -> DataFrame:
+    """Each node of a list with the list's leader, the least by ``order``."""
+    lead = lists.groupBy("h").agg(F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), "node")).alias("o"))
+    both = lists.select("h", "node").join(lead.select("h", F.col("o.node").alias("lead")), "h").filter("node <> lead")
+    return both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -336,21 +392,32 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.filter("comp_a IS NULL OR comp_b IS NULL OR comp_a <> comp_b").select("a", "b")
 
 
-def bounded(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """Pairs whose sizes and coordinate minima allow a link."""
+def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs of ``(a, b)`` that may link by their points."""
     for side in ("a", "b"):
-        pairs = pairs.join(full.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("point").alias(f"p_{side}")), side)
-    overlap = sum((F.least(F.get("p_a", F.lit(i)), F.get("p_b", F.lit(i))) for i in range(GROUPS)), F.lit(0))
-    total = NUM * (F.col("n_a") + F.col("n_b"))
-    ok = (DEN * F.col("n_a") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n_a"))
-    return pairs.filter(ok).filter((NUM + DEN) * overlap >= total).select("a", "b")
+        pairs = pairs.join(points.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("fine").alias(f"p_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(_bound_rows, "a long, b long")
+
+
+#: names a row by its id and text (null-safe)
+ROW_HASH = "xxhash64(doc_id, th)"
+
+
+def _asked_texts(text: DataFrame, reps: DataFrame) -> DataFrame:
+    """The texts of the rows named by ``reps.k``, and a few more."""
+    return maybe_among(text, F.xxhash64("doc_id", F.xxhash64("text")), reps, "k").select("text")
 
 
-def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs(a, b)``, by their full sets."""
+def verified(work: Work, pairs: DataFrame, points: DataFrame, text: DataFrame, reps: DataFrame) -> DataFrame:
+    """The linked ones of ``pairs(a, b)``: first by their points, then by the full sets."""
+    pairs = work.cut(bounded(pairs, points), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = work.cut(reps.join(nodes, "node", "left_semi"), "asked")
+    sets = _asked_texts(text, asked).mapInArrow(_hash_rows, "node long, hashes array<long>")
+    both = pairs
     for side in ("a", "b"):
-        pairs = pairs.join(full.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
-    return pairs.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify_rows, "a long, b long")
+        both = both.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
+    return work.cut(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify_rows, "a long, b long").distinct(), "links")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
