@@ -123,8 +123,8 @@ def _suffix_rows(shared: Bitmap, hot: Bitmap, length: int):
                         if len(seen) >= HOT_ROWS:
                             seen.clear()
                         seen[seg] = mine
-                    elif mine > before:
-                        body[i] = None
+                    elif mine > before:  # settled, so any shard will do
+                        body[i], shard[i] = None, mix(np.array([mine[1] ^ mine[2]], np.int64).astype(np.uint64))[0]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(shard.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(doc), pa.array(th), pa.array(begin),
                     pa.array((last - first + 1).astype(np.int32)), pa.array(body, pa.binary())],
