@@ -44,8 +44,8 @@ HOT = 2
 STARS = 5
 LEAF = 16
 BLOCK = 2048
-FRONT = 1_000
-PAIRS = 200_000
+FRONT = 500
+PAIRS = 100_000
 MOST = 65_535
 
 
@@ -225,22 +225,24 @@ class CountTree:
             if len(lo) == 1:
                 break
 
-    def boxes(self, level: int, i: np.ndarray):
-        return tuple(x[i] for x in self.levels[level])
+    def boxes(self, level: int):
+        """``(upper corner, least size, most size, group)`` of a level; -1: the points."""
+        return self.levels[level] if level >= 0 else (self.points, self.sizes, self.sizes, self.comp)
 
 
-def may_link(a, b) -> np.ndarray:
-    """Which pairs of boxes ``(upper corner, least size, most size, group)`` may hold a link."""
-    (pa_, la, ha, ca), (pb, lb, hb, cb) = a, b
-    ok = (DEN * hb >= NUM * la) & (DEN * ha >= NUM * lb) & ((ca != cb) | (ca == -1))
-    out = np.zeros(len(la), bool)
+def may_link(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
+    """Which pairs ``(i, j)`` of the boxes ``a`` and ``b`` may hold a link.  Corners are
+    gathered for a few pairs at a time, and only where sizes and groups allow."""
+    (top_a, low_a, high_a, one_a), (top_b, low_b, high_b, one_b) = a, b
+    ok = (DEN * high_b[j] >= NUM * low_a[i]) & (DEN * high_a[i] >= NUM * low_b[j]) & ((one_a[i] != one_b[j]) | (one_a[i] == -1))
+    out = np.zeros(len(i), bool)
     at = np.flatnonzero(ok)
-    for lo in range(0, len(at), 20_000):
-        k = at[lo:lo + 20_000]
-        low = np.minimum(pa_[k], pb[k])
+    for lo in range(0, len(at), 4_000):
+        k = at[lo:lo + 4_000]
+        low = np.minimum(top_a[i[k]], top_b[j[k]])
         # a count at the end of its range may stand for more
         full = (low == MOST).any(axis=1)
-        out[k] = full | ((NUM + DEN) * low.sum(axis=1, dtype=np.int64) >= need(la[k], lb[k]))
+        out[k] = full | ((NUM + DEN) * low.sum(axis=1, dtype=np.int64) >= need(low_a[i[k]], low_b[j[k]]))
     return out
 
 
@@ -262,9 +264,7 @@ def tree_join(s: CountTree, t: CountTree):
             lt -= 1
         if same and ls == lt:
             i, j = i[i <= j], j[i <= j]
-        a = s.boxes(ls, i) if ls >= 0 else (s.points[i], s.sizes[i], s.sizes[i], s.comp[i])
-        b = t.boxes(lt, j) if lt >= 0 else (t.points[j], t.sizes[j], t.sizes[j], t.comp[j])
-        keep = may_link(a, b)
+        keep = may_link(s.boxes(ls), i, t.boxes(lt), j)
         i, j = i[keep], j[keep]
         if ls >= 0 or lt >= 0:
             if len(i):
@@ -297,7 +297,7 @@ def _tree_rows(batches):
         size = np.repeat(np.diff(edge), np.diff(edge))
         first = np.repeat(edge[:-1], np.diff(edge))
         at, small, found = np.arange(len(node)), (size <= LEAF) & (bi == bj), []
-        box = lambda k: (point[k], n[k], n[k], comp[k])
+        rows, waiting = (point, n, n, comp), 0
         def batch():
             i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
@@ -307,7 +307,7 @@ def _tree_rows(batches):
 
         for k in range(1, LEAF):  # lists of one leaf, all at once
             i = at[small & (at - first + k < size)]
-            ok = may_link(box(i), box(i + k))
+            ok = may_link(rows, i, rows, i + k)
             found.append((i[ok], i[ok] + k))
         for lo, hi in zip(edge[:-1], edge[1:]):
             if not small[lo]:
@@ -318,9 +318,10 @@ def _tree_rows(batches):
                     t = s if bi[lo] == bj[lo] else CountTree(point[y], n[y], comp[y])
                     for i, j in tree_join(s, t):
                         found.append((x[i], y[j]))
-                        if sum(len(f[0]) for f in found) > PAIRS:
+                        waiting += len(i)
+                        if waiting > PAIRS:
                             yield batch()
-                            found = []
+                            found, waiting = [], 0
         if found:
             yield batch()
 
