@@ -13,7 +13,7 @@ def _c(col) -> Column:
 
 def _int_group(col: Column, pattern: str, group: int) -> Column:
     g = F.regexp_extract(col, pattern, group)
-    return F.when(g != "", g.cast("int"))
+    return F.when(g != "", g.try_cast("int"))
 
 
 def url_year(url) -> Column:
@@ -27,8 +27,8 @@ def url_act_number(url) -> Column:
 
 
 def url_path_year(url) -> Column:
-    """SCL4: the third path piece from the end (``split('/')[-3]``)."""
-    return F.element_at(F.split(_c(url), "/"), -3)
+    """SCL4: the third path piece from the end (``split('/')[-3]``); NULL if there are fewer."""
+    return F.try_element_at(F.split(_c(url), "/"), F.lit(-3))
 
 
 def path_year(path) -> Column:

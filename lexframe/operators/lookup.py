@@ -35,7 +35,8 @@ def name_match(name: Column, keyword: Column, literal: bool = False) -> Column:
     (``ILIKE``) unless ``literal``; '' matches everything."""
     if literal:
         return F.lower(name).contains(F.lower(keyword))
-    return F.ilike(name, F.concat(F.lit("%"), keyword, F.lit("%")))
+    plain = F.replace(keyword, F.lit("\\"), F.lit("\\\\"))  # a backslash stands for itself
+    return F.ilike(name, F.concat(F.lit("%"), plain, F.lit("%")))
 
 
 def search_laws(laws: DataFrame, requests: DataFrame, req_id: str = "req_id", keyword: str = "keyword",
@@ -85,7 +86,8 @@ def section_by_ref(sections: DataFrame, requests: DataFrame, req_id: str = "req_
     """JN4/TOP5: the first section (lowest seq) with that ref in that law;
     a miss keeps the request with NULL section columns."""
     sec_cols = [c for c in sections.columns if c not in ("law_id", "section_ref")]
-    best = sections.groupBy("law_id", "section_ref").agg(
+    asked = requests.select("law_id", "section_ref").distinct()
+    best = sections.join(asked, ["law_id", "section_ref"], "left_semi").groupBy("law_id", "section_ref").agg(
         F.min_by(F.struct(*[F.col(c) for c in sec_cols]), F.col("seq")).alias("_s"))
     j = requests.join(best, ["law_id", "section_ref"], "left")
     return j.select(*requests.columns, *[F.col(f"_s.{c}").alias(c) for c in sec_cols])

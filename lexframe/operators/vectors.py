@@ -22,6 +22,8 @@ from ..functions.text import is_blank
 
 # 8192 questions x 768 dims x 8 bytes ~ 50 MB per broadcast batch
 MAX_BROADCAST_QUESTIONS = 8_192
+# scores that agree to so many digits are ties
+SCORE_DIGITS = 12
 
 
 # ---------------------------------------------------------------- documents
@@ -71,7 +73,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def _topk(scored: DataFrame, k: int, q: str = "q_id", v: str = "vec_id") -> DataFrame:
-    w = Window.partitionBy(q).orderBy(F.col("score").desc(), F.col(v))
+    w = Window.partitionBy(q).orderBy(F.round("score", SCORE_DIGITS).desc(), F.col(v))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -85,7 +87,9 @@ def _topk_sql(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 def _topk_arrow(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     spark = corpus.sparkSession
-    qp = questions.select("vec_id", "embedding").toPandas()  # bounded by the caller's size check
+    clean = lambda df: df.select("vec_id", "embedding").filter(
+        F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
+    qp = clean(questions).toPandas()  # bounded by the caller's size check
     qm = np.array([np.asarray(e, dtype=np.float64) for e in qp["embedding"]]) if len(qp) else np.zeros((0, 0))
     qn = np.linalg.norm(qm, axis=1) if len(qp) else np.zeros(0)
     keep = qn > 0
@@ -106,14 +110,17 @@ def _topk_arrow(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                 continue
             s = mat_q @ m.T  # (questions, batch)
             kk = min(k, s.shape[1])
-            idx = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-            rows_q = np.repeat(ids_q, kk)
-            yield pd.DataFrame({"q_id": rows_q, "vec_id": vids[idx].ravel(),
-                                "score": np.take_along_axis(s, idx, axis=1).ravel()})
+            # all that reach the k-th best score, then the k least ids among ties
+            near = np.round(s, SCORE_DIGITS)
+            least = -np.partition(-near, kk - 1, axis=1)[:, kk - 1]
+            for i in range(len(ids_q)):
+                at = np.flatnonzero(near[i] >= least[i])
+                at = at[np.lexsort((vids[at], -near[i, at]))[:kk]]
+                yield pd.DataFrame({"q_id": ids_q[i], "vec_id": vids[at], "score": s[i, at]})
 
     schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("vec_id", T.LongType()),
                            T.StructField("score", T.DoubleType())])
-    partial = corpus.select("vec_id", "embedding").mapInPandas(score, schema)
+    partial = clean(corpus).mapInPandas(score, schema)
     return _topk(partial, k)
 
 

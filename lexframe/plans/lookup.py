@@ -69,7 +69,7 @@ def q_section_by_ref(spark, sf):
     CASE req_id % 5 WHEN 0 THEN 'search_laws' WHEN 1 THEN 'get_law_by_name' WHEN 2 THEN 'get_law_sections'
                     WHEN 3 THEN 'get_section_by_ref' ELSE 'get_weather' END AS tool, *
   FROM req),
-s AS (SELECT c.call_id, l.law_id, l.name, l.year, l.act_number FROM calls c
+s AS (SELECT c.call_id, l.* FROM calls c
       JOIN laws l ON l.name ILIKE '%' || c.keyword || '%' WHERE c.tool = 'search_laws'),
 n AS (SELECT c.call_id, arg_min(l.law_id, (l.year, l.act_number, l.law_id)) AS law_id FROM calls c
       JOIN laws l ON l.name ILIKE '%' || c.name || '%' AND (c.year IS NULL OR c.year = 0 OR l.year = c.year)
@@ -77,7 +77,8 @@ n AS (SELECT c.call_id, arg_min(l.law_id, (l.year, l.act_number, l.law_id)) AS l
 ls AS (SELECT c.call_id, s.* FROM calls c JOIN sections s ON s.law_id = c.law_id WHERE c.tool = 'get_law_sections'),
 rb AS (SELECT law_id, section_ref, min(seq) AS seq FROM sections GROUP BY law_id, section_ref)
 SELECT call_id, 'search_laws' AS tool, CAST(law_id AS BIGINT) AS law_id, CAST(NULL AS BIGINT) AS seq,
-       to_json(struct_pack(law_id := law_id, name := name, year := year, act_number := act_number))::VARCHAR AS result
+       to_json(struct_pack(law_id := law_id, name := name, year := year, act_number := act_number,
+                           url := url, html_path := html_path))::VARCHAR AS result
 FROM s
 UNION ALL
 SELECT call_id, 'search_laws', NULL, NULL, '[]' FROM calls c
@@ -85,21 +86,22 @@ WHERE tool = 'search_laws' AND NOT EXISTS (SELECT 1 FROM s WHERE s.call_id = c.c
 UNION ALL
 SELECT c.call_id, 'get_law_by_name', n.law_id, NULL,
   CASE WHEN n.law_id IS NULL THEN 'null' ELSE
-    to_json(struct_pack(law_id := l.law_id, name := l.name, year := l.year, act_number := l.act_number))::VARCHAR END
+    to_json(struct_pack(law_id := l.law_id, name := l.name, year := l.year, act_number := l.act_number,
+                        url := l.url, html_path := l.html_path))::VARCHAR END
 FROM calls c LEFT JOIN n ON n.call_id = c.call_id LEFT JOIN laws l ON l.law_id = n.law_id
 WHERE c.tool = 'get_law_by_name'
 UNION ALL
 SELECT call_id, 'get_law_sections', law_id, seq,
-  to_json(struct_pack(seq := seq, section_type := section_type, section_ref := section_ref,
-                      position := position))::VARCHAR FROM ls
+  to_json(struct_pack(seq := seq, section_type := section_type, section_ref := section_ref, section_title := section_title,
+                      text_content := text_content, position := position))::VARCHAR FROM ls
 UNION ALL
 SELECT call_id, 'get_law_sections', law_id, NULL, '[]' FROM calls c
 WHERE tool = 'get_law_sections' AND NOT EXISTS (SELECT 1 FROM ls WHERE ls.call_id = c.call_id)
 UNION ALL
 SELECT c.call_id, 'get_section_by_ref', c.law_id, rb.seq,
   CASE WHEN rb.seq IS NULL THEN 'null' ELSE
-    to_json(struct_pack(seq := s.seq, section_type := s.section_type, section_ref := s.section_ref,
-                        position := s.position))::VARCHAR END
+    to_json(struct_pack(seq := s.seq, section_type := s.section_type, section_ref := s.section_ref, section_title := s.section_title,
+                        text_content := s.text_content, position := s.position))::VARCHAR END
 FROM calls c LEFT JOIN rb ON rb.law_id = c.law_id AND rb.section_ref = c.section_ref
 LEFT JOIN sections s ON s.law_id = rb.law_id AND s.seq = rb.seq
 WHERE c.tool = 'get_section_by_ref'

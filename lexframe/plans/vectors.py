@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import vectors as vx
 from ..operators.classify import act_titles
 from ..operators.quality import token_counts
-from ..session import spread
 from ..sources import testdata as td
 from .parse import sections
 from .registry import register
@@ -59,7 +58,7 @@ SELECT doc_id, CAST(st // 48 AS BIGINT) AS chunk_no, array_to_string(words[st +
 FROM s""")
 def q_chunks(spark, sf):
     """TXT2: 64-word windows with 16 words of overlap over whole documents."""
-    docs = spread(td.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = td.table(spark, sf, "documents").select("doc_id", "text")
     return vx.chunk_words(docs, "text", 64, 16, ["doc_id"])
 
 
@@ -69,7 +68,7 @@ SELECT source, CAST(sum(len(regexp_extract_all(text, '{TOKEN_RE}'))) AS BIGINT)
 FROM documents GROUP BY source""")
 def q_token_counts(spark, sf):
     """AGG5: word/punctuation tokens per source over whole documents."""
-    docs = spread(td.table(spark, sf, "documents").select("source", "text"))
+    docs = td.table(spark, sf, "documents").select("source", "text")
     tok = lambda c: F.size(F.regexp_extract_all(c, F.lit(TOKEN_RE_JAVA), 1)).cast("bigint")
     return token_counts(docs, "text", ["source"], tokenizer=tok)
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,12 +39,14 @@ def get_session(app: str = "lexframe", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) a fresh
-    scratch folder is created.  The folder is also registered with the
+    The cluster names it; only in a local session without one a
+    fresh scratch folder is created, on a cluster that is an error.  The folder is also registered with the
     SparkContext so ``DataFrame.checkpoint()`` can cut lineage.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^,\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexframe-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
@@ -54,15 +57,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for staged table writes."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "staging", name)
-
-
-def spread(df):
-    """Round-robin the rows over all cores when a scan yields fewer
-    partitions than the default parallelism (a small file with few row
-    groups); a no-op on large inputs, which split into many partitions
-    anyway.  Use before CPU-heavy per-row work (regex over whole texts)."""
-    try:
-        n = df.sparkSession.sparkContext.defaultParallelism
-        return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the plan as it is
-        return df

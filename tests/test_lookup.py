@@ -79,3 +79,27 @@ def test_dispatch_routes_and_reports_unknown(spark):
     assert json.loads(out[4][0].result)["seq"] == 1          # first (lowest seq) of two rows with ref "1"
     assert out[5][0].result == "null"
     assert json.loads(out[6][0].result) == {"error": "Unknown tool: get_weather"}
+
+
+def test_tool_calls_bad_arguments_are_error_rows(spark):
+    import json
+
+    from lexframe.operators.toolcalls import dispatch
+    laws = spark.createDataFrame([(1, "A \\b Act", 2001, 1, "u", None)], "law_id long, name string, year int, act_number int, url string, html_path string")
+    secs = spark.createDataFrame([(1, 5, "section", "1", "Title", "the text", 1)],
+                                 "law_id long, seq long, section_type string, section_ref string, section_title string, text_content string, position long")
+    calls = spark.createDataFrame([(1, "get_law_sections", '{"law_id":"abc"}'), (2, "search_laws", '{"query":"a \\\\b"}'),
+                                   (3, "get_section_by_ref", '{"law_id":"1","section_ref":"1"}'), (4, "get_law_by_name", '{"name":"act","year":"soon"}')],
+                                  "call_id long, tool string, args string")
+    got = {r.call_id: json.loads(r.result) for r in dispatch(calls, laws, secs).collect()}
+    assert got[1] == {"error": "Invalid law_id"}
+    assert got[2]["url"] == "u" and got[2]["html_path"] is None
+    assert got[3]["text_content"] == "the text" and got[3]["section_title"] == "Title"
+    assert got[4]["law_id"] == 1
+
+
+def test_urls_with_long_numbers_or_few_pieces_are_null(spark):
+    from lexframe.functions.urls import url_act_number, url_path_year
+    df = spark.createDataFrame([("https://x/eli/2004/act/99999999999/print",), ("short",)], "u string")
+    assert [r[0] for r in df.select(url_act_number("u")).collect()] == [None, None]
+    assert df.select(url_path_year("u")).collect()[1][0] is None

@@ -11,7 +11,7 @@ from lexframe.operators.classify import act_titles, classify_rows, enactment_gat
 from lexframe.operators.hierarchy import build_sections, parent_by_ref
 from lexframe.operators.shred import joined_cell_text, page_text, shred_rows
 
-from .fixtures import F1, F2, F3, model, page
+from .fixtures import F1, F1_ROWS, F2, F2_ROWS, F3, F3_ROWS, expected, labels_of, node, page
 
 COLS = ["seq", "section_type", "section_ref", "section_title", "text_content", "position",
         "parent_seq", "parent_ref"]
@@ -90,10 +90,10 @@ def test_no_enacting_row_no_nodes(spark):
     assert build_sections(shredded(spark, rows)).count() == 0
 
 
-def test_matches_stack_model_on_fixtures(spark):
-    for doc in (F1, F2, F3):
-        pairs = [(r[1], r[2]) for r in doc if len(r) >= 3]
-        assert sections_of(spark, pairs, chunk_rows=3) == [{c: n[c] for c in COLS} for n in model(pairs)]
+def test_matches_labels_of_fixtures(spark):
+    for doc in (F1_ROWS, F2_ROWS, F3_ROWS):
+        pairs = [(cells[1], cells[2]) for cells, _ in doc if len(cells) == 3]
+        assert sections_of(spark, pairs, chunk_rows=3) == [{c: n[c] for c in COLS} for n in expected(labels_of(doc))]
 
 
 def test_structure_only_sections_equal_full_sections_without_text(spark):
@@ -105,26 +105,38 @@ def test_structure_only_sections_equal_full_sections_without_text(spark):
         assert sorted(bare.collect()) == sorted(full.collect())
 
 
+def row(c1, c2, label):
+    return (c1, c2), label
+
+
+GATE = object()
+#: each strategy draws a row together with its label
 ROW = st.one_of(
-    st.builds(lambda n, t: ("", f"PART {n} {t}"), st.integers(1, 4), st.sampled_from(["", "Heading"])),
-    st.builds(lambda n: ("", f"SCHEDULE {n}"), st.integers(1, 3)),
-    st.builds(lambda n: ("", f"CHAPTER {n}"), st.integers(1, 3)),
-    st.builds(lambda n: ("", f"Article {n} Title"), st.integers(1, 3)),
-    st.builds(lambda n, c1: (c1, f"{n}.—Text of section"), st.integers(1, 20), st.sampled_from(["", "Short title."])),
-    st.builds(lambda n: ("", f"({n}) subsection"), st.integers(1, 9)),
-    st.builds(lambda a: ("", f"({a}) paragraph"), st.sampled_from(["a", "b", "c", "i", "ii", "iv", "x", "viii", "ab"])),
-    st.just(("", "plain continuation")),
-    st.just(("", "")),
-    st.just(("", "BE IT ENACTED as follows")),
+    st.builds(lambda n, t: row("", f"PART {n} {t}", node("part", str(n), t, "")), st.integers(1, 4), st.sampled_from(["", "Heading"])),
+    st.builds(lambda n: row("", f"SCHEDULE {n}", node("schedule", f"Schedule {n}", "", "")), st.integers(1, 3)),
+    st.builds(lambda n: row("", f"CHAPTER {n}", node("chapter", f"Chapter {n}", "", "")), st.integers(1, 3)),
+    st.builds(lambda n: row("", f"Article {n} Title", node("article", f"Article {n}", "Title", "")), st.integers(1, 3)),
+    st.builds(lambda n, c1: row(c1, f"{n}.—Text of section", node("section", str(n), c1, "—Text of section")), st.integers(1, 20),
+              st.sampled_from(["", "Short title."])),
+    st.builds(lambda n: row("", f"({n}) subsection", node("subsection", str(n), "", "subsection")), st.integers(1, 9)),
+    st.builds(lambda a: row("", f"({a}) paragraph", node("paragraph", a, "", "paragraph")), st.sampled_from(["a", "b", "ab"])),
+    st.builds(lambda a: row("", f"({a}) item", node("subparagraph", a, "", "item")), st.sampled_from(["c", "i", "ii", "iv", "x"])),
+    st.just(row("", "(viii) paragraph", "(viii) paragraph")),
+    st.just(row("", "plain continuation", "plain continuation")),
+    st.just(row("", "", None)),
+    st.just(row("", "BE IT ENACTED as follows", GATE)),
 )
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(ROW, min_size=0, max_size=40), st.sampled_from([2, 5, 1 << 16]))
-def test_chunked_scan_matches_stack_model(spark, rows, chunk):
-    got = sections_of(spark, rows, chunk_rows=chunk)
-    want = [{c: n[c] for c in COLS} for n in model(rows)]
-    assert got == want
+def test_chunked_scan_matches_labels(spark, rows, chunk):
+    labels = [x for _, x in rows]
+    gate = labels.index(GATE) if GATE in labels else len(labels)
+    # rows up to the first enacting row are none; a later one is text
+    labels = [None if i <= gate else "BE IT ENACTED as follows" if x is GATE else x for i, x in enumerate(labels)]
+    got = sections_of(spark, [c for c, _ in rows], chunk_rows=chunk)
+    assert got == [{c: n[c] for c in COLS} for n in expected(labels)]
 
 
 def test_gate_and_parent_by_ref(spark):

@@ -95,3 +95,13 @@ def test_pluggable_embedder_and_tokenizer(spark):
     counter = make_token_counter(lambda: str.split, "split")
     got = token_counts(df.withColumn("g", F.lit(1)), "text", ["g"], tokenizer=counter).first()
     assert got.n_tokens == 3 and got.n_docs == 2
+
+
+def test_topk_ties_and_nulls_agree_in_both_methods(spark):
+    from lexframe.operators.vectors import cosine_topk
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300, 0, -1)] + [(900, None), (901, [0.0, 0.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1000, [1.0, 2.0, 3.1]), (1001, None)], "vec_id long, embedding array<float>")
+    for method in ("sql", "arrow"):
+        got = [r.vec_id for r in cosine_topk(q, corpus, 5, method).orderBy("rank").collect()]
+        assert got == [1, 2, 3, 4, 5]
