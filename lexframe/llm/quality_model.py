@@ -24,7 +24,7 @@ from .common import Powers, chunks, mix, prefix_hash, read_table, span_hash, wor
 from .registry import register
 
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS = 20_000
 BUCKET_BITS = 16
 DIM = 8
 EPOCHS = 6
@@ -118,14 +118,24 @@ def score_texts(texts: pa.Array, model, powers: Powers) -> np.ndarray:
     return out
 
 
+def sampled_texts(docs: DataFrame, lab: DataFrame, rows: int, chars: int) -> list:
+    """``(y, t)`` of at most ``rows`` rows of ``docs`` labelled by ``lab(doc_id, y)``, of at
+    most ``chars`` characters.  Rows are chosen without their texts; the texts of the
+    chosen ones follow by a join with that bounded table."""
+    sizes = docs.select("doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("th")).filter(F.col("size") <= chars)
+    chosen = lab.join(sizes, "doc_id").select("y", "doc_id", "th", F.xxhash64("doc_id").alias("o")).distinct() \
+        .orderBy("o", "doc_id", "th").limit(rows)
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return text.join(F.broadcast(chosen), ["doc_id", "th"]).select("y", F.encode("text", "utf-8").alias("t"), "o", "doc_id", "th") \
+        .dropDuplicates(["doc_id", "th"]).collect()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn) -> tuple[list[bytes], np.ndarray]:
     """At most ``SAMPLE_ROWS`` labelled texts for the fit and their labels."""
     lab = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.min(label).alias("y"))
-    rows = lab.join(docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS), "doc_id") \
-        .select("y", F.encode("text", "utf-8").alias("t"), F.xxhash64("doc_id").alias("o"), "doc_id") \
-        .orderBy("o", "doc_id", "t").limit(SAMPLE_ROWS).collect()
-    return [bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows], int)
+    got = sorted(sampled_texts(docs, lab, SAMPLE_ROWS, SAMPLE_CHARS), key=lambda r: (r["o"], r["doc_id"], r["th"]))
+    return [bytes(r["t"]) for r in got], np.array([r["y"] for r in got], int)
 
 
 def score_documents(docs: DataFrame, model, held_out) -> DataFrame:

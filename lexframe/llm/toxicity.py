@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Powers, chunks, lower, prefix_hash, read_table, span_hash, words
-from .quality_model import crc_mod
+from .quality_model import crc_mod, sampled_texts
 from .registry import register
 
 SAMPLE_ROWS = 4000
@@ -147,11 +147,11 @@ def score_texts(texts: pa.Array, model, powers: Powers) -> np.ndarray:
 def toxic_sample(docs: DataFrame, labels: DataFrame, learn) -> tuple[list[str], np.ndarray]:
     lab = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learn(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    rows = lab.join(docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS), "doc_id") \
-        .select("y", "text", F.xxhash64("doc_id").alias("o"), "doc_id")
-    order = ("o", "doc_id", "text")
-    got = rows.filter("y = 1").orderBy(*order).limit(SAMPLE_ROWS // 2).collect() + rows.filter("y = 0").orderBy(*order).limit(SAMPLE_ROWS // 2).collect()
-    return [r["text"] for r in got], np.array([r["y"] for r in got], int)
+    got = []
+    for y in (1, 0):
+        part = sampled_texts(docs, lab.filter(F.col("y") == y), SAMPLE_ROWS // 2, SAMPLE_CHARS)
+        got += sorted(part, key=lambda r: (r["o"], r["doc_id"], r["th"]))
+    return [bytes(r["t"]).decode() for r in got], np.array([r["y"] for r in got], int)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
