@@ -3,17 +3,18 @@
 A byte pair that occurs inside no vocabulary token can never be joined by a
 merge, so it marks a certain cut.  A text is cut at special tokens, white space,
 the pre-tokenizer's pieces and then at every such pair; the fragments are encoded
-independently and their ids concatenated.  Decoding joins the tokens of the ids.
+independently, many side by side in numpy, and their ids concatenated.  Words met
+before come from a cache of bounded size.  Decoding joins the tokens of the ids.
 
 Defined results: null and empty texts have no ids and decode to ``""``; repeated
 rows are encoded each on its own; extra columns are not read.
 """
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
-import struct
 import unicodedata
 
 import numpy as np
@@ -26,7 +27,9 @@ from .registry import register
 
 CACHE_ENTRIES = 800_000
 VOCABULARY = "word_bpe_49k.json"
-SHORT = 48
+SHORT = 64
+GROUP_CHARS = 1 << 20
+ROWS = 1 << 13
 ID_BITS = 20
 NO_MERGE = 1 << 62
 
@@ -66,20 +69,25 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for t, i in self.special.items():
             self.tokens[i] = t
-        self.inner = [vocab[c] for c in alphabet]
-        self.last = [vocab[c + end] for c in alphabet]
         self.merges = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges[vocab[a], vocab[b]] = rank << ID_BITS | vocab[a + b]
+        pairs = np.array([a << ID_BITS | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self.pair_keys, self.pair_ranks = pairs[order], np.array([*self.merges.values()], np.int64)[order]
+        # token of each byte, then of each byte at a word's end, and the ranks of two such
+        self.symbol = np.array([vocab[c] for c in alphabet] + [vocab[c + end] for c in alphabet], np.int64)
+        self.first_rank = self._rank(*np.broadcast_arrays(self.symbol[:256, None], self.symbol))
         # byte pairs that some token holds: anywhere but at a word's end, and there
-        self.inside, self.ending = set(), set()
+        self.inside, self.ending = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         for t in vocab:
             final = t.endswith(end) and len(t) > len(end)
             bs = bytes(code[c] for c in (t[:-len(end)] if final else t))
-            self.inside.update(zip(bs, bs[1:-1] if final else bs[1:]))
+            for a, b in zip(bs, bs[1:-1] if final else bs[1:]):
+                self.inside[a << 8 | b] = True
             if final and len(bs) > 1:
-                self.ending.add(bs[-2:])
+                self.ending[bs[-2] << 8 | bs[-1]] = True
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.space = regex.compile(r"\p{White_Space}+")
@@ -89,99 +97,149 @@ class Bpe:
     # -- encoding
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts):
+        """The ids of each text in turn.  Words that the cache lacks are encoded
+        together for about ``GROUP_CHARS`` characters of texts."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(self._words(text))
+            chars += len(text or "")
+            if chars >= GROUP_CHARS:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _words(self, text: str | None) -> list[str]:
         if not text:
-            return b""
+            return []
         if "<|" in text and self.marks.search(text):
-            return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else self._plain(p)
-                            for p in self.marks.split(text) if p)
-        return self._plain(text)
+            return [w for p in self.marks.split(text) if p for w in ([p] if p in self.special else self._split(p))]
+        return self._split(text)
 
-    def _plain(self, text: str) -> bytes:
+    def _split(self, text: str) -> list[str]:
         # str.split also cuts at U+001C..U+001F, which are not white space here
-        parts = self.space.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return self.space.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def _group(self, group: list[list[str]]):
         if len(self.cache) > self.cache_entries // 2:  # two generations: what is used again stays
             self.cache, self.older = {}, self.cache
-        cache, older, out = self.cache, self.older, []
-        for p in parts:
-            ids = cache.get(p)
-            if ids is None:
-                ids = older.get(p) or self._part(p)
-                if len(p) <= SHORT:
-                    cache[p] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _part(self, part: str) -> bytes:
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part)
-            # character by character: no special form for a sigma at a word's end
-            part = part.replace("Σ", "σ").lower()
-        else:
+        if len(self.known) > self.cache_entries // 2:
+            self.known = {}
+        cache, older, known, new, fresh = self.cache, self.older, self.known, {}, set()
+        for w in set().union(*group).difference(cache):
+            if w in older:
+                cache[w] = older[w]
+            elif w in self.special:
+                cache[w] = self.special[w].to_bytes(4, "little")
+            else:
+                new[w] = pieces = self._pieces(w)
+                fresh.update(pieces)
+        fresh = list(fresh.difference(known))
+        known.update(zip(fresh, self._encode_pieces(fresh)))
+        for w, pieces in new.items():
+            cache[w] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        for p in fresh:
+            if len(p) > SHORT:
+                del known[p]
+        long = [w for w in new if len(w) > SHORT]
+        new = fresh = None
+        for words in group:
+            yield b"".join(map(cache.__getitem__, words))
+        for w in long:
+            del cache[w]
+
+    def _pieces(self, part: str):
+        if part.isascii():
             part = part.lower()
-        out, known = [], self.known
-        if len(known) > self.cache_entries // 2:
-            known.clear()
-        if part.isalpha():
-            pieces = (part,)
-        elif part[:-1].isalpha() and part[-1] in ".,;:!?":  # as the pattern would cut it
-            pieces = (part[:-1], part[-1])
         else:
-            pieces = self.pieces(part)
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= SHORT:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _piece(self, piece: str) -> bytes:
-        out, known = [], self.known
-        for frag in self.fragments(piece.encode()):
-            ids = known.get(frag)
-            if ids is None:
-                ids = self._fragment(frag)
-                if len(frag) <= SHORT:
-                    known[frag] = ids
-            out.append(ids)
-        return b"".join(out)
+            # character by character: no special form for a sigma at a word's end
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        if part.isalpha():
+            return (part,)
+        if part[:-1].isalpha() and part[-1] in ".,;:!?":  # as the pattern would cut it
+            return part[:-1], part[-1]
+        return self.pieces(part)
 
     def fragments(self, raw: bytes) -> list[bytes]:
-        """Cut a piece at every byte pair that no token contains; the last
-        fragment gets a trailing space, which no piece holds, as its end mark."""
-        inside, end = self.inside, len(raw) - 1
-        cuts = [i for i, p in enumerate(zip(raw, raw[1:]), 1) if p not in inside and i != end]
-        if end and raw[-2:] not in self.ending:
-            cuts.append(end)
-        if not cuts:
-            return [raw + b" "]
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts)] + [raw[cuts[-1]:] + b" "]
-
-    def _fragment(self, frag: bytes) -> bytes:
-        ids = [self.inner[b] for b in frag[:-2]]
-        ids += [self.last[frag[-2]]] if frag[-1] == 32 else [self.inner[b] for b in frag[-2:]]
-        ids = self._merge(ids)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _merge(self, ids: list[int]) -> list[int]:
-        """Join the pair of lowest rank, leftmost first, until none is left."""
-        if len(ids) > SHORT:
-            return self._merge_long(ids)
-        get, new_id = self.merges.get, (1 << ID_BITS) - 1
-        found = [get(p, NO_MERGE) for p in zip(ids, ids[1:])]
-        while found:
-            best = min(found)
-            if best == NO_MERGE:
-                break
-            i = found.index(best)
-            ids[i:i + 2] = [best & new_id]
-            del found[i]
-            if i < len(found):
-                found[i] = get((ids[i], ids[i + 1]), NO_MERGE)
-            if i:
-                found[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
-        return ids
+        """The fragments of one piece; the last one gets a trailing space, which no
+        piece holds, as its end mark."""
+        begin = self._begins(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist()
+        return [raw[a:b] for a, b in zip(begin, begin[1:])] + [raw[begin[-1]:] + b" "]
+
+    def _begins(self, raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where the fragments of pieces begin: at each piece (``first`` has their
+        starts and the end of ``raw``) and at every byte pair that no token contains."""
+        pair = raw[:-1].astype(np.int32) << 8 | raw[1:]
+        cut = ~self.inside[pair]
+        final = first[1:] - 2  # the pair at a piece's end, where it has two bytes
+        final = final[final >= first[:-1]]
+        cut[final] = ~self.ending[pair[final]]
+        cut[first[1:-1] - 1] = True
+        return np.concatenate([[0], np.flatnonzero(cut) + 1])
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
+        coded = [p.encode() for p in pieces]
+        first = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        ids = raw.astype(np.int64)
+        ids[first[1:] - 1] += 256
+        begin = self._begins(raw, first)
+        size = np.diff(begin, append=len(raw))
+        symbols, kept = self.symbol[ids], np.zeros(len(raw), bool)
+        kept[begin] = True
+        lo = 1
+        while lo < SHORT:  # fragments of like length are merged side by side
+            rows = np.flatnonzero((size > lo) & (size <= 2 * lo))
+            for i in range(0, len(rows), ROWS):
+                self._merge_rows(symbols, kept, ids, begin[rows[i:i + ROWS]], size[rows[i:i + ROWS]])
+            lo *= 2
+        for f in np.flatnonzero(size > lo).tolist():
+            at = begin[f]
+            out = self._merge_long(symbols[at:at + size[f]].tolist())
+            symbols[at:at + len(out)] = out
+            kept[at:at + len(out)] = True
+        ends = np.concatenate([[0], np.cumsum(kept)])[first] * 4
+        data, ends = symbols[kept].astype("<u4").tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _merge_rows(self, symbols, kept, ids, begin, size) -> None:
+        """Join in each fragment the pair of lowest rank, leftmost first, until none is
+        left; its tokens then stand at its first places, marked in ``kept``."""
+        cols = np.arange(size.max())
+        at = np.minimum(begin[:, None] + cols, len(symbols) - 1)
+        now, codes = symbols[at], ids[at]
+        rank = np.where(cols[1:] < size[:, None], self.first_rank[codes[:, :-1] & 255, codes[:, 1:]], NO_MERGE)
+        while len(now):
+            row, pos = np.arange(len(now)), rank.argmin(1)
+            best = rank[row, pos]
+            go = best < NO_MERGE
+            if not go.all():
+                done = ~go
+                place = cols < size[done, None]
+                to = (begin[done, None] + cols)[place]
+                symbols[to], kept[to] = now[done][place], True
+                now, rank, begin, size, pos, best = now[go], rank[go], begin[go], size[go], pos[go], best[go]
+                if not len(now):
+                    return
+                row = np.arange(len(now))
+            size = size - 1
+            now[:, :-1] = np.where(cols[:-1] > pos[:, None], now[:, 1:], now[:, :-1])
+            rank[:, :-1] = np.where(cols[:-2] > pos[:, None], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = NO_MERGE
+            now[row, pos] = best & (1 << ID_BITS) - 1
+            right = pos + 1 < size
+            rank[row[~right], pos[~right]] = NO_MERGE
+            for r, p in ((row[right], pos[right]), (row[pos > 0], pos[pos > 0] - 1)):
+                rank[r, p] = self._rank(now[r, p], now[r, p + 1])
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << ID_BITS | b
+        i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[i] == key, self.pair_ranks[i], NO_MERGE)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         merges, n = self.merges, len(ids)
@@ -208,17 +266,22 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Bpe:
+    """One encoder, with its cache, for all tasks of a Python worker."""
+    return Bpe(path)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, full: bool = True) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)`` of ``docs(doc_id, text)``; without
     ``full`` the digests ``ids_sha256`` and ``decoded_sha256`` stand for the last two."""
     path = path or vocabulary_path()
 
     def run(batches):
-        bpe = Bpe(path)
+        bpe = encoder(path)
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column("text"):
-                ids = bpe.encode(text.as_py())
+            for ids in bpe.encode_all(t.as_py() for t in batch.column("text")):
                 decoded = bpe.decode(ids)
                 n.append(len(ids) // 4)
                 a.append(ids if full else hashlib.sha256(ids).hexdigest())

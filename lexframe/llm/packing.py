@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, vocabulary_path
+from .bpe import encoder, vocabulary_path
 from .common import Work, read_table
 from .registry import register
 
@@ -86,11 +86,11 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: st
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        bpe, end = Bpe(path), end_id.to_bytes(4, "little")
+        bpe, end = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = bpe.encode(text.as_py()) + end
+            for i, ids in enumerate(bpe.encode_all(t.as_py() for t in batch.column("text"))):
+                ids += end
                 for a in range(0, len(ids), 4 * window):
                     part = ids[a:a + 4 * window]
                     row.append(i)
