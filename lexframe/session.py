@@ -51,9 +51,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for staged table writes."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "staging", name)

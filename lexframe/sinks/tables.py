@@ -1,8 +1,8 @@
 """SNK1-SNK10: idempotent table maintenance without a transactional format.
 
 Every merge is a pure DataFrame function ``(existing, batch) -> new table``;
-:func:`write_table` then writes it to a staging folder under the shared
-checkpoint folder and swaps it in, so a table is never read and overwritten
+:func:`write_table` then writes it to a staging folder beside the table
+and swaps it in, so a table is never read and overwritten
 by the same plan and a lost executor only re-runs tasks of the staging job.
 
 Per-key choices (first/last writer, last non-NULL value) are aggregates
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import RATINGS
 from ..operators.scan import Running, running
-from ..session import scratch_path
 
 LAW_COLUMNS = ["law_id", "name", "year", "act_number", "url", "html_path", "created_at"]
 
@@ -44,9 +43,11 @@ def write_once(existing: DataFrame, batch: DataFrame, keys: list[str], arrival:
 
 
 def derived_law_id(year, act_number, name) -> "F.Column":
-    """Stable law id: ``year * 100000 + act_number``; hash of (name, year)
-    when the act number is missing."""
-    return F.when(act_number.isNotNull(), year.cast("bigint") * 100000 + act_number.cast("bigint")) \
+    """Stable law id: ``year * 100000 + act_number``; where the act number would
+    run into the year, ``-(year * 2**32 + act_number)``, so that no two keys
+    share an id; hash of (name, year) when the act number is missing."""
+    y, a = year.cast("bigint"), act_number.cast("bigint")
+    return F.when(a.between(0, 99_999), y * 100_000 + a).when(a.isNotNull(), -(y * (1 << 32) + a)) \
             .otherwise(F.xxhash64(name, year))
 
 
@@ -164,34 +165,55 @@ def append_evals(existing: DataFrame, batch: DataFrame, order: str,
 
 def write_table(spark: SparkSession, df: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> str:
-    """Write ``df`` to a staging folder, then move it to ``path``.
+    """Write ``df`` to a staging folder beside ``path``, then move it there.
 
-    The staging folder lives under the shared checkpoint folder, so the
-    same code runs on a cluster; the swap is a rename on the same file
-    system (HDFS/local; object stores would use a table format instead).
+    Beside the target the move is a rename on one file system (HDFS/local;
+    object stores would use a table format instead).  Every rename is
+    checked; if the new table cannot take the old one's place, the old one is
+    put back.  An append moves the staged files into the folders of their
+    partitions.
     """
-    stage = scratch_path(spark, path.strip("/").replace("/", "_") + f"-{dt.datetime.now():%Y%m%d%H%M%S%f}")
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(stage)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    src = jvm.org.apache.hadoop.fs.Path(stage)
-    dst = jvm.org.apache.hadoop.fs.Path(path)
+    Path = jvm.org.apache.hadoop.fs.Path
+    dst = Path(path)
+    tag = f"{dt.datetime.now():%Y%m%d%H%M%S%f}"
+    src, old = (Path(dst.getParent(), f"_{dst.getName()}-{kind}-{tag}") for kind in ("new", "old"))
     fs = dst.getFileSystem(conf)
+    fs.mkdirs(dst.getParent())
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(src.toString())
     if mode == "append" and fs.exists(dst):
-        for st in fs.listStatus(src):
-            name = st.getPath().getName()
-            if not name.startswith("_"):
-                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(dst, f"{stage.split('/')[-1]}-{name}"))
+        _move_files(fs, Path, src, dst, tag)
+        fs.delete(src, True)
         return path
-    if fs.exists(dst):
-        old = jvm.org.apache.hadoop.fs.Path(stage + "-old")
-        fs.rename(dst, old)
-        fs.rename(src, dst)
+    had = fs.exists(dst)
+    if had:
+        _rename(fs, dst, old)
+    try:
+        _rename(fs, src, dst)
+    except OSError:
+        if had:
+            _rename(fs, old, dst)
+        raise
+    if had:
         fs.delete(old, True)
-    else:
-        fs.mkdirs(dst.getParent())
-        fs.rename(src, dst)
     return path
+
+
+def _rename(fs, src, dst) -> None:
+    if not fs.rename(src, dst):
+        raise OSError(f"cannot rename {src.toString()} to {dst.toString()}")
+
+
+def _move_files(fs, Path, src, dst, tag: str) -> None:
+    """Move the data files below ``src`` into the same folders below ``dst``."""
+    fs.mkdirs(dst)
+    for st in fs.listStatus(src):
+        name = st.getPath().getName()
+        if st.isDirectory():
+            _move_files(fs, Path, st.getPath(), Path(dst, name), tag)
+        elif not name.startswith("_"):
+            _rename(fs, st.getPath(), Path(dst, f"{tag}-{name}"))

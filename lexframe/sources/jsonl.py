@@ -22,12 +22,7 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     with only ``_corrupt_record`` set (tolerant) or fails the job (strict)."""
     if strict:
         return spark.read.schema(ITEM_SCHEMA).option("mode", "FAILFAST").json(path)
-    schema = T.StructType(ITEM_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    # Spark refuses queries that touch only the corrupt column of a raw JSON
-    # scan; materialising the parsed rows once avoids it.
-    return df.cache()
+    return parse_json_lines(spark.read.text(path))
 
 
 def parse_json_lines(lines: DataFrame, col: str = "value") -> DataFrame:

@@ -36,10 +36,11 @@ def ingest_batch(spark: SparkSession, items: DataFrame, paths: dict[str, str]) -
     raw = spark.read.parquet(paths["raw_pages"])
     new_raw = snk.write_once(raw, pages, keys, "arrival").select(*raw.columns)
     snk.write_table(spark, new_raw, paths["raw_pages"], mode="append")
-    # sections of this batch's acts (last page per key), law ids derived from the key
+    # names and urls: the last of each key; sections: the stored page of each key touched
     latest = snk.latest_per_key(pages, keys, "arrival").withColumn(
         "law_id", snk.derived_law_id(F.col("year"), F.col("act_number"), F.col("name")))
-    rows = shred_rows_auto(latest.select("law_id", "html"))
+    stored = spark.read.parquet(paths["raw_pages"]).select(*keys, "html").join(latest.select(*keys, "law_id"), keys)
+    rows = shred_rows_auto(stored.select("law_id", "html"))
     sections = build_sections(rows)
     titles = act_titles(rows)
     named = latest.join(titles, "law_id", "left").select(
@@ -65,11 +66,12 @@ def stream_ingest(spark: SparkSession, source_dir: str, root: str, checkpoint: s
     stream = (spark.readStream.schema(schema).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", "*.jsonl")
               .json(source_dir)
-              .withColumn("_file", F.col("_metadata.file_path")))
+              .withColumn("_file", F.col("_metadata.file_path"))
+              .withColumn("_start", F.col("_metadata.file_block_start")))
 
     def per_batch(df: DataFrame, epoch_id: int) -> None:
-        # arrival = position in this batch's scan (deterministic when a batch is replayed)
-        items = df.withColumn("arrival", F.monotonically_increasing_id()).drop("_file")
+        # arrival = (file, place in it), however files are packed into tasks; the id rises within a file
+        items = df.withColumn("arrival", F.struct("_file", "_start", F.monotonically_increasing_id())).drop("_file", "_start")
         ingest_batch(spark, items, paths)
 
     q = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint) \

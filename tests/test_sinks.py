@@ -5,6 +5,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexframe.sinks import tables as snk
@@ -89,6 +90,40 @@ def test_write_table_swaps_in_place(spark):
     assert spark.read.parquet(target).count() == 5
 
 
+def test_write_table_partitioned_append(spark):
+    target = os.path.join(tempfile.mkdtemp(prefix="lexframe-tbl-"), "pages")
+    rows = spark.createDataFrame([(2004, "a"), (2005, "b")], "year int, t string")
+    snk.write_table(spark, rows, target, ["year"])
+    more = spark.createDataFrame([(2004, "c"), (2006, "d")], "year int, t string")
+    snk.write_table(spark, more, target, ["year"], mode="append")
+    got = sorted((r.year, r.t) for r in spark.read.parquet(target).collect())
+    assert got == [(2004, "a"), (2004, "c"), (2005, "b"), (2006, "d")]
+    assert os.listdir(os.path.dirname(target)) == ["pages"]
+
+
+def test_write_table_puts_the_old_table_back(spark, monkeypatch):
+    target = os.path.join(tempfile.mkdtemp(prefix="lexframe-tbl-"), "laws")
+    snk.write_table(spark, spark.range(3), target)
+    real = snk._rename
+
+    def fails_for_new(fs, src, dst):
+        if "-new-" in src.toString():
+            raise OSError("refused")
+        real(fs, src, dst)
+
+    monkeypatch.setattr(snk, "_rename", fails_for_new)
+    with pytest.raises(OSError):
+        snk.write_table(spark, spark.range(9), target)
+    assert spark.read.parquet(target).count() == 3
+
+
+def test_law_ids_do_not_clash(spark):
+    keys = spark.createDataFrame([(2000, 100001, "x"), (2001, 1, "x"), (2000, 99999, "x"), (2000, 100000, "x")],
+                                 "year int, act_number int, name string")
+    ids = keys.select(snk.derived_law_id(F.col("year"), F.col("act_number"), F.col("name")).alias("i")).distinct()
+    assert ids.count() == 4
+
+
 def test_new_rows_is_multiset_difference(spark):
     before = spark.createDataFrame([(1, "a"), (1, "a")], "k long, v string")
     after = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "b")], "k long, v string")

@@ -44,3 +44,18 @@ def test_stream_ingest_twice(spark):
     # nothing new: nothing changes
     stream_ingest(spark, src, root, ckpt)
     assert spark.read.parquet(f"{root}/law_sections").count() == n1
+
+
+def test_sections_come_from_the_stored_page(spark):
+    src = tempfile.mkdtemp(prefix="lexframe-src-")
+    root = tempfile.mkdtemp(prefix="lexframe-tables-")
+    ckpt = os.path.join(tempfile.mkdtemp(prefix="lexframe-stream-"), "c")
+    _write(src, "a.jsonl", [_item("Companies Act", 2013, 46, F2), _item("Companies Act", 2013, 46, F1)])
+    stream_ingest(spark, src, root, ckpt)
+    first = sorted(map(str, spark.read.parquet(f"{root}/law_sections").collect()))
+    assert [r.html for r in spark.read.parquet(f"{root}/raw_pages").collect()] == [page(F2)]
+    # the same key with another page: the stored page and its sections stay
+    _write(src, "b.jsonl", [_item("Companies Act", 2013, 46, F1)])
+    stream_ingest(spark, src, root, ckpt)
+    assert [r.html for r in spark.read.parquet(f"{root}/raw_pages").collect()] == [page(F2)]
+    assert sorted(map(str, spark.read.parquet(f"{root}/law_sections").collect())) == first
