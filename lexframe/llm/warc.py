@@ -7,10 +7,17 @@ the HTTP status, the server's headers and the response's digests.
 
 Defined results: a record without a URI or block derives with empty values; a
 response whose block has no blank line has headers only and an empty payload;
-repeated rows derive records with the same ids; extra columns are not read.
+repeated rows derive records with the same ids; extra columns are not read.  A payload
+of another type than HTML, or of none, is carried over as it is.  Character references
+decode as in ``html.unescape``, but one for a no-break space gives a space.
 """
 from __future__ import annotations
 
+import json
+from collections import defaultdict
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +25,14 @@ from .common import read_table
 from .registry import register
 
 CRLF = "\r\n"
-#: fixed values: tags that end a line of text, and the entities decoded (``&amp;`` last)
+#: fixed values: tags that end a line of text, and what is hidden
 LINE_TAGS = r"(?i)</?(?:p|br|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|title|body|html|head|blockquote|pre)\b[^>]*>"
 HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+CONTENT_TYPE = r"(?im)^content-type[ \t]*:(?:[ \t]|\r\n[ \t])*([^;,\s]*)"
+HTML_TYPES = ("text/html", "application/xhtml+xml")
+#: names that count without a semicolon too, the longest first, and the text of references to 0x80 to 0x9F
+OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+C1_TEXT = [unescape(f"&#{n};") for n in range(0x80, 0xA0)]
 FETCH_DATE = "2024-01-01T00:00:00Z"
 
 
@@ -36,15 +47,60 @@ def digest(data: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(data, 256))
 
 
+def _names() -> Column:
+    """All names of HTML by their first letter, as one constant."""
+    by_letter = defaultdict(dict)
+    for name, text in html5.items():
+        by_letter[name[0]][name] = text
+    return F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+
+
+def _code_point(s: Column) -> Column:
+    """The number of a reference that starts ``#``; what is over 0x10FFFF is 0x110000."""
+    dec, hexa = (F.ltrim(F.regexp_extract(s, p, 1), F.lit("0")) for p in (r"^#([0-9]+)", r"^#[xX]([0-9a-fA-F]+)"))
+    over = F.lit(0x110000).cast("long")
+    number = F.when(F.length(dec) + F.length(hexa) > 7, over).when(dec != "", dec.try_cast("long")) \
+        .when(hexa != "", F.conv(hexa, 16, 10).try_cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.least(number, over)
+
+
+def _code_text(n: Column) -> Column:
+    """The character ``n``; numbers that are none give the replacement character or nothing."""
+    bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    safe = F.when(bad, F.lit(0xFFFD)).otherwise(n)
+    return F.when(n.between(0x80, 0x9F), F.get(F.array(*map(F.lit, C1_TEXT)), (n - 0x80).cast("int"))).when(none & ~bad, F.lit("")) \
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32"))
+
+
+def _reference(s: Column, number: Column, closed: Column, opened: Column) -> Column:
+    """What stands for ``s``, the text after an ``&`` up to the next one, by what it starts with."""
+    names = _names()
+    found = lambda name: F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+    decoded = lambda text, name: F.concat(F.translate(text, "\u00a0", " "), s.substr(F.length(name) + 1, F.length(s)))
+    return F.coalesce(F.when(number != "", decoded(_code_text(_code_point(number)), number)), F.when(closed != "", decoded(found(closed), closed)),
+                      F.when(opened != "", decoded(found(opened), opened)), F.concat(F.lit("&"), s))
+
+
+def decode_references(text: Column) -> Column:
+    """All named and numeric character references of ``text``, each decoded once."""
+    # higher-order functions share no common parts: ``text`` and each pattern stand here once
+    starts = F.transform(F.split(text, "&"), lambda s, i: F.struct(
+        s.alias("s"), (i == 0).alias("head"), F.regexp_extract(s, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0).alias("number"),
+        F.regexp_extract(s, r"^[A-Za-z][A-Za-z0-9]*;", 0).alias("closed"), F.regexp_extract(s, f"^(?:{'|'.join(OPEN_NAMES)})", 0).alias("opened")))
+    return F.array_join(F.transform(starts, lambda x: F.when(x["head"], x["s"]).otherwise(
+        _reference(x["s"], x["number"], x["closed"], x["opened"]))), "")
+
+
 def plain_text(html: Column) -> Column:
     """Visible text: comments, scripts and styles go, block tags end lines, other
-    tags vanish, runs of white space become one space, blank lines go."""
+    tags vanish, runs of white space become one space, references are decoded,
+    blank lines go."""
     t = F.regexp_replace(html, HIDDEN, "")
     t = F.regexp_replace(t, r"[ \t\n\x0B\f\r]+", " ")
     t = F.regexp_replace(t, LINE_TAGS, "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, ch in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(ch))
+    t = decode_references(t)
     t = F.regexp_replace(t, r" *\n[ \n]*", "\n")
     return F.btrim(t, F.lit(" \n"))
 
@@ -70,6 +126,8 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
         F.when(end > 0, F.expr(f"substring(coalesce(block, ''), 1, instr(coalesce(block, ''), '\\r\\n\\r\\n') - 1)")).otherwise(block).alias("head"),
         F.when(end > 0, F.expr(f"substring(coalesce(block, ''), instr(coalesce(block, ''), '\\r\\n\\r\\n') + 4)")).otherwise("").alias("payload"))
     r = r.select("*", digest(F.col("b")).alias("source_digest"), digest(F.col("payload")).alias("payload_digest"))
+    is_html = F.lower(F.regexp_extract("head", CONTENT_TYPE, 1)).isin(*HTML_TYPES)
+    text = F.when(is_html, plain_text(F.col("payload"))).otherwise(F.col("payload"))
     lines = F.split("head", CRLF)
     fields = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("http-header: "), x))
     meta = F.concat_ws(CRLF, F.concat(F.lit("http-status: "), F.get(lines, 0)), fields,
@@ -77,7 +135,7 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
                        F.concat(F.lit("response-payload-digest: "), F.col("payload_digest")), F.lit(""))
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("payload")).alias("block")))
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), text.alias("block")))
     d = r.select(key, "rid", "uri", "date", "payload_digest", F.explode(kinds).alias("k"))
     return d.select(key, F.col("k.record_type").alias("record_type"), record_id(F.col("k.record_type"), F.col("rid")).alias("record_id"),
                     F.col("rid").alias("refers_to"), F.col("uri").alias("target_uri"), "date", F.col("k.content_type").alias("content_type"),
