@@ -7,9 +7,10 @@ from medians and scaled deviations, ``C_STEPS`` concentration steps each keep th
 The final scatter is made consistent by the median distance, and rows beyond
 ``CUTOFF`` are rejected.  All estimates are grouped sums over all rows.
 
-Groups of under ``MIN_GROUP`` rows are pooled by language, and those by corpus; a
-pool that is still too small rejects nothing.  A short text's statistics scatter
-more, so its squared distance counts by ``n / (n + SHORT)``.
+A row of a group of under ``MIN_GROUP`` rows is judged by the estimate of all rows
+of its language, and where those are under ``MIN_GROUP``, by that of the whole
+corpus, whatever its size.  A short text's statistics scatter more, so its squared
+distance counts by ``n / (n + SHORT)``.
 
 Defined results: a null or empty text has no words and fails the base rule; a null
 language or source is a group of its own; repeated rows count each; extra columns
@@ -113,15 +114,18 @@ def vector() -> list:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds ``grp``: language and source, or a pool where those are few."""
-    one = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02")))
+    """Adds ``grp``, the group whose estimate judges the row (language and source, the
+    language, or the corpus), and ``fits``, all groups that the row helps to estimate."""
     lang = F.coalesce("lang", F.lit("\x02"))
-    n1 = rows.filter("NOT base_failed").groupBy(one.alias("grp1")).agg(F.count("*").alias("n1"))
-    r = _join(rows.withColumn("grp1", one), n1, "grp1").withColumn("big1", F.coalesce("n1", F.lit(0)) >= MIN_GROUP).withColumn("grp2", lang)
-    n2 = r.filter("NOT base_failed AND NOT big1").groupBy("grp2").agg(F.count("*").alias("n2"))
-    r = _join(r, n2, "grp2")
-    return r.withColumn("grp", F.when(F.col("big1"), F.col("grp1")).when(F.coalesce("n2", F.lit(0)) >= MIN_GROUP, F.col("grp2"))
-                        .otherwise("")).drop("grp1", "grp2", "n1", "n2", "big1")
+    r = rows.withColumn("grp1", F.concat_ws("\x01", F.lit("s"), lang, F.coalesce("source", F.lit("\x02")))) \
+        .withColumn("grp2", F.concat_ws("\x01", F.lit("l"), lang))
+    n1 = r.groupBy("grp1", "grp2").agg(F.count_if(~F.col("base_failed")).alias("n1"))
+    n2 = n1.groupBy("grp2").agg(F.sum("n1").alias("n2"), (F.min("n1") < MIN_GROUP).alias("small1"))
+    small2 = n2.agg(F.coalesce(F.min("n2") < MIN_GROUP, F.lit(False)).alias("small2"))
+    r = _join(_join(r, n1.drop("grp2"), "grp1"), n2.crossJoin(F.broadcast(small2)), "grp2")
+    big1, big2 = F.col("n1") >= MIN_GROUP, F.col("n2") >= MIN_GROUP
+    fits = F.array_compact(F.array(F.when(big1, F.col("grp1")), F.when(big2 & F.col("small1"), F.col("grp2")), F.when(F.col("small2"), F.lit("c"))))
+    return r.select(*rows.columns, F.when(big1, F.col("grp1")).when(big2, F.col("grp2")).otherwise("c").alias("grp"), fits.alias("fits"))
 
 
 def _join(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
@@ -176,16 +180,16 @@ def judge(docs: DataFrame) -> DataFrame:
     s = statistics(docs).select("*", *vector(), ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"))
     s = work.cut(s, "statistics")
     rows = work.cut(_grouped(s), "groups")
-    fit = rows.filter("NOT base_failed")
+    fit = rows.filter("NOT base_failed").withColumn("grp", F.explode("fits")).drop("fits")
     params = work.cut(_start(fit), "centres")
     for _ in range(C_STEPS):
         near = _distance(fit, params)
         bound = near.groupBy("grp").agg(F.percentile_approx("d2", H, 5000).alias("bound"))
         params = work.cut(_estimate(_join(near, bound, "grp").filter("d2 <= bound")), "centres")
     scale = _distance(fit, params).groupBy("grp").agg(
-        F.greatest(F.percentile_approx("d2", 0.5, 5000) / CHI2_MEDIAN, F.lit(1e-9)).alias("scale"), F.count("*").alias("n_grp"))
+        F.greatest(F.percentile_approx("d2", 0.5, 5000) / CHI2_MEDIAN, F.lit(1e-9)).alias("scale"))
     out = _join(_distance(rows, params), work.cut(scale, "scales"), "grp")
-    far = F.coalesce(F.col("d2") / F.greatest("scale", F.lit(1.0)) > CUTOFF, F.lit(False)) & (F.coalesce("n_grp", F.lit(0)) >= MIN_GROUP)
+    far = F.coalesce(F.col("d2") / F.greatest("scale", F.lit(1.0)) > CUTOFF, F.lit(False))
     return out.select("doc_id", *COUNTS[:5], "base_failed", (F.col("d2") / F.greatest("scale", F.lit(1.0))).alias("distance"),
                       (~F.col("base_failed") & ~far).alias("kept"))
 
