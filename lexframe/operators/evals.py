@@ -1,4 +1,4 @@
-"""EVL1-EVL3, WIN9, JN7, SCL25/26/28/29, TOP2/TOP7: evaluation tables."""
+"""EVL1-EVL3, WIN9, JN7, SCL25/26/28/29, TOP2: evaluation tables."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ def pending(questions: DataFrame, results: DataFrame, text: str = "query_text")
 
 
 def unrated(results: DataFrame) -> DataFrame:
-    """SCL29/TOP7: rows still 'unrated' (order by id when shown)."""
+    """SCL29: rows still 'unrated' (order by id when shown)."""
     return results.filter(F.col("rating") == "unrated")
 
 

@@ -40,7 +40,7 @@ def q_pending_queries(spark, sf):
 @register("unrated", with_(EVALS) + """
 SELECT id, query_text FROM rated WHERE rating = 'unrated'""")
 def q_unrated(spark, sf):
-    """SCL29/TOP7: answers still unrated after the ratings batch."""
+    """SCL29: answers still unrated after the ratings batch."""
     return ev.unrated(rated(spark, sf)).select("id", "query_text")
 
 

@@ -18,7 +18,7 @@ _SECTIONS = with_(STATUTE_ROWS, GATED, CLASSIFIED.replace("{src}", "gated"), SEC
 SELECT r.req_id, r.keyword, l.law_id, l.year, l.act_number
 FROM req r JOIN laws l ON l.name ILIKE '%' || r.keyword || '%'""")
 def q_search_laws(spark, sf):
-    """SCL27/JN6/TOP6: every law whose name contains each request keyword."""
+    """SCL27/JN6: every law whose name contains each request keyword."""
     hits = lk.search_laws(td.laws(spark, sf), td.requests(spark, sf).select("req_id", "keyword"))
     return hits.select("req_id", "keyword", "law_id", "year", "act_number")
 

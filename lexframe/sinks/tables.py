@@ -102,7 +102,7 @@ def upsert_laws(existing: DataFrame, batch: DataFrame, arrival: str,
 
 def replace_sections(existing: DataFrame, batch: DataFrame, key: str = "law_id",
                      laws: DataFrame | None = None) -> DataFrame:
-    """SNK3/SNK4: every re-ingested law loses all its old rows and gets the
+    """SNK3: every re-ingested law loses all its old rows and gets the
     new ones; other laws are untouched (re-running is a no-op).
 
     ``laws`` lists the re-ingested ids (a law may come back with no rows);
