@@ -128,14 +128,22 @@ class Bpe:
         if len(self.known) > self.cache_entries // 2:
             self.known = {}
         cache, older, known, new, fresh = self.cache, self.older, self.known, {}, set()
+        unmet = []
         for w in set().union(*group).difference(cache):
             if w in older:
                 cache[w] = older[w]
             elif w in self.special:
                 cache[w] = self.special[w].to_bytes(4, "little")
             else:
-                new[w] = pieces = self._pieces(w)
-                fresh.update(pieces)
+                unmet.append(w)
+        ascii_only = [w for w in unmet if w.isascii()]
+        lowered = " ".join(ascii_only).lower().split(" ") if ascii_only else []
+        for w, low in zip(ascii_only, lowered):  # as _pieces would cut them
+            new[w] = (low,) if low.isalpha() else (low[:-1], low[-1]) if low[-1:] in ".,;:!?" and low[:-1].isalpha() else self.pieces(low)
+        for w in unmet:
+            if w not in new:
+                new[w] = self._pieces(w)
+        fresh.update(*new.values())
         fresh = list(fresh.difference(known))
         known.update(zip(fresh, self._encode_pieces(fresh)))
         for w, pieces in new.items():
@@ -151,11 +159,8 @@ class Bpe:
             del cache[w]
 
     def _pieces(self, part: str):
-        if part.isascii():
-            part = part.lower()
-        else:
-            # character by character: no special form for a sigma at a word's end
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+        # character by character: no special form for a sigma at a word's end
+        part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
         if part.isalpha():
             return (part,)
         if part[:-1].isalpha() and part[-1] in ".,;:!?":  # as the pattern would cut it

@@ -1,9 +1,9 @@
 """Sequence packing by best-fit decreasing.
 
 A document (its token ids and an end id) that is longer than the window is first
-cut into full windows, each a sequence of its own.  What is left of it is a piece
-of less than a window.  Pieces are dealt by a hash to shards of about
-``SHARD_ROWS``; in a shard they are placed from the longest to the shortest, each
+cut into full windows, each a sequence of its own, numbered without packing.  What is
+left of it is a piece of less than a window.  These are dealt by a hash of their stored
+row number (so repeated rows spread too) to shards of about ``SHARD_ROWS``; in a shard they are placed from the longest to the shortest, each
 into the open window with the least room that still holds it.  A segment tree
 over the possible room (``0..window``) finds that window in ``log(window)`` steps.
 
@@ -108,19 +108,24 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: st
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """The pieces of ``docs(doc_id, text)`` with ``sequence_id`` and ``offset``."""
-    p = Work(docs.sparkSession, "packing").cut(pieces(docs, window, end_id, path), "pieces")
+    p = pieces(docs, window, end_id, path).withColumn("rid", F.monotonically_increasing_id())
+    p = Work(docs.sparkSession, "packing").cut(p, "pieces")
+    whole = F.col("length") == window
+    columns = [c for c in p.columns if c != "rid"]
+    full = p.filter(whole).select(*columns, (F.col("rid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    p = p.filter(~whole)
     shards = max(1, -(-p.count() // SHARD_ROWS))
-    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    p = p.select(*columns, F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         seqs, offs = best_fit_decreasing(table.column("length").to_pylist(), window)
         base = table.column("shard")[0].as_py() << 32
-        seqs = pa.array(np.array(seqs, np.int64) + base)
+        seqs = pa.array(2 * (np.array(seqs, np.int64) + base))
         return table.drop_columns(["shard"]).append_column("sequence_id", seqs).append_column("offset", pa.array(offs, pa.int64()))
 
-    return p.groupBy("shard").applyInArrow(
-        run, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return full.unionByName(p.groupBy("shard").applyInArrow(
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
 
 
 @register("op7_packing")

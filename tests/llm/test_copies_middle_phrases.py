@@ -233,3 +233,17 @@ def test_transducer(x, y, z):
 def test_transducer_stores_equal_states_once():
     t = transducer({(a, b, c): 1 for a in (b"p", b"q", b"r") for b in (b"x", b"y") for c in (b"1", b"2")})
     assert [len(level[1]) for level in t.levels] == [3, 2, 2]
+
+
+# ---- packing ------------------------------------------------------------------
+def test_packing_of_repeated_rows_and_null_ids(make_docs):
+    from lexframe.llm import packing
+    rows = [(1, "a few words")] * 30 + [(None, "no id")] * 3 + [(None, None), (2, "word " * 5000), (2, "word " * 5000)]
+    out = packing.pack(make_docs(rows, extra=("rid", "shard", "length"))).collect()
+    assert sum(r.length for r in out if r.doc_id == 1) == 30 * next(r.doc_tokens for r in out if r.doc_id == 1)
+    assert sum(r.start == 0 for r in out) == len(rows) and sum(r.length == 2048 for r in out) == 4
+    used = defaultdict(list)
+    for r in out:
+        used[r.sequence_id].append((r.offset, r.length))
+    for parts in used.values():
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))])[:-1].tolist() and sum(n for _, n in parts) <= 2048
