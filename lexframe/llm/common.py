@@ -2,6 +2,7 @@
 connected components and byte-level text arithmetic for Arrow batches."""
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -150,6 +151,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Po
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+#: longer spans are hashed from their bytes: two that differ in a pattern of 1024 bytes and
+#: more can have one polynomial hash modulo 2**64 whatever the base
+LONG_SPAN = 256
+
+
+def text_hash(buf: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """``span_hash`` of words or lines of any length."""
+    out = span_hash(prefix, start, end, powers)
+    for i in np.flatnonzero(end - start > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def chunks(texts: pa.Array):
     """``(first row, last row + 1, bytes, offsets)`` pieces of whole texts of
     about ``CHUNK_BYTES`` (a longer text is a piece of its own); null texts are

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Powers, Work, chunks, components, lower, maybe_among, mix, prefix_hash, read_table, span_hash, words
+from .common import Bitmap, Powers, Work, chunks, components, lower, maybe_among, mix, prefix_hash, read_table, text_hash, words
 from .registry import register
 
 SHINGLE = 5
@@ -53,7 +53,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, powers: Powers, size: int = S
     """The sorted distinct shingle hashes of each text."""
     buf = lower(buf)
     start, end, first = words(buf, off)
-    word = span_hash(prefix_hash(buf, powers), start, end, powers)
+    word = text_hash(buf, prefix_hash(buf, powers), start, end, powers)
     n = len(word)
     if n >= size:
         grams = np.zeros(n - size + 1, np.uint64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, Powers, Work, chunks, mix, prefix_hash, read_table, span_hash, words
+from .common import SALTS, Powers, Work, chunks, mix, prefix_hash, read_table, text_hash, words
 from .registry import register
 
 MIN_WORDS = 50
@@ -55,7 +55,7 @@ def text_counts(buf: np.ndarray, off: np.ndarray, powers: Powers) -> list[np.nda
     n = len(off) - 1
     start, end, first = words(buf, off)
     prefix = prefix_hash(buf, powers)
-    word = span_hash(prefix, start, end, powers)
+    word = text_hash(buf, prefix, start, end, powers)
     point = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     chars = np.concatenate([[0], np.cumsum(point[end] - point[start])])
     owner = np.repeat(np.arange(n), np.diff(first))
@@ -82,7 +82,7 @@ def text_counts(buf: np.ndarray, off: np.ndarray, powers: Powers) -> list[np.nda
     last = np.concatenate([l_text[1:] != l_text[:-1], [True]]) if n else np.zeros(0, bool)
     l_end[last] = off[1:][l_text[last]]
     has_word = np.searchsorted(start, l_end) > np.searchsorted(start, l_start)
-    l_hash, l_owner = mix(span_hash(prefix, l_start, l_end, powers) + mix(l_text.astype(np.uint64)))[has_word], l_text[has_word]
+    l_hash, l_owner = mix(text_hash(buf, prefix, l_start, l_end, powers) + mix(l_text.astype(np.uint64)))[has_word], l_text[has_word]
     _, at = np.unique(l_hash, return_index=True)
     again = np.ones(len(l_hash), bool)
     again[at] = False

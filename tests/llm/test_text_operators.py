@@ -150,7 +150,7 @@ def test_rules_reject_the_outlier(make_docs):
     assert all(got[i] == (False, True) for i in range(150))
 
 
-def test_rules_small_pool_rejects_nothing(make_docs):
+def test_a_lone_row_past_the_base_rule_is_kept(make_docs):
     got = quality_rules.judge(make_docs([(1, "a b c " + " ".join(map(str, range(60)))), (2, None)])).collect()
     assert sorted((r.doc_id, r.kept) for r in got) == [(1, True), (2, False)]
 
@@ -259,3 +259,17 @@ def test_pipeline_stages_against_brute_force(spark, make_docs, rows):
         got = {r.doc_id: r.text or "" for r in docs.collect()}
         assert got == {i: t or "" for i, t in now.items()}
     assert {r.doc_id for r in corpus_pipeline.STAGES[4][1](spark, docs, None).collect()} == set(now)
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") & 1 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_long_words_and_lines_that_mirror_each_other_differ(make_docs, n):
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    near = {r.doc_id: r.component_id for r in ngram_join.near_copies(make_docs([(1, x), (2, y), (3, x)])).collect()}
+    assert near == {1: 1, 2: 2, 3: 1}
+    text = f"{x}\n{y}\n{x} {y}\n{y} {x}\n{x}"
+    row, = quality_rules.judge(make_docs([(1, text)])).collect()
+    assert (row.n_words, row.n_dup_lines, row.n_repeat_words) == (7, 1, brute.counts(text)[4])
