@@ -144,32 +144,59 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def record_text(derived: DataFrame) -> DataFrame:
-    """One column ``value``: each record as it stands in a WARC file."""
+    """One column ``value``: each record as it stands in a WARC file, but for its last
+    CRLF, which the writer of lines adds."""
     names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
              ("WARC-Date", "date"), ("WARC-Refers-To-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"),
              ("Content-Type", "content_type"), ("Content-Length", "content_length"))
     head = F.concat_ws(CRLF, F.lit("WARC/1.1"), *(F.concat(F.lit(f"{n}: "), F.col(c).cast("string")) for n, c in names))
-    return derived.select(F.concat(head, F.lit(CRLF * 2), F.col("block"), F.lit(CRLF * 2)).alias("value"))
+    return derived.select(F.concat(head, F.lit(CRLF * 2), F.col("block"), F.lit(CRLF)).alias("value"))
 
 
 def write_warc(derived: DataFrame, path: str) -> None:
-    """One compressed WARC file per partition."""
-    record_text(derived).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    """One WARC file per partition, as plain text: a compressed one would need a gzip
+    member for each record, and Spark writes one for each file."""
+    record_text(derived).write.option("lineSep", CRLF).option("compression", "none").text(path)
 
 
 _SQL_ID = "'<urn:uuid:' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>'"
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_SQL_NAMES = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in html5.items())
+_SQL_LATIN = ", ".join(f"({0x80 + i}, {_quoted(t)})" for i, t in enumerate(C1_TEXT))
 SQL = rf"""
-WITH src AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS html,
+WITH names(name, txt) AS (VALUES {_SQL_NAMES}),
+     latin(code, txt) AS (VALUES {_SQL_LATIN}),
+     src AS (SELECT row_number() OVER () AS rn, page_id, coalesce(url, '') AS uri, coalesce(html, '') AS html,
                     md5('response|' || page_id || '|' || coalesce(url, '')) AS m FROM pages),
-     r AS (SELECT page_id, uri, html, {_SQL_ID} AS rid, strlen(html) AS n FROM src),
+     r AS (SELECT rn, page_id, uri, html, {_SQL_ID} AS rid, strlen(html) AS n FROM src),
      b AS (SELECT *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) ||
                   'Content-Length: ' || n || chr(13) || chr(10) || chr(13) || chr(10) || html AS blk, 'sha256:' || sha256(html) AS pd FROM r),
      t1 AS (SELECT *, regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g') AS t FROM b),
      t2 AS (SELECT * REPLACE (regexp_replace(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'),
             '{LINE_TAGS}', chr(10), 'g') AS t) FROM t1),
-     t3 AS (SELECT * REPLACE (replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'),
-            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t) FROM t2),
-     t4 AS (SELECT * REPLACE (trim(regexp_replace(t, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS t) FROM t3),
+     t3 AS (SELECT * REPLACE (regexp_replace(t, '<[^>]*>', '', 'g') AS t) FROM t2),
+     amp AS (SELECT rn, i, p[i] AS s FROM (SELECT rn, string_split(t, '&') AS p FROM t3) q, generate_series(1, len(p)) g(i)),
+     ref AS (SELECT *, regexp_extract(s, '^#([0-9]+|[xX][0-9a-fA-F]+);?') AS num, regexp_extract(s, '^[A-Za-z][A-Za-z0-9]*;') AS closed FROM amp),
+     point AS (SELECT *, CASE WHEN num = '' THEN NULL
+                              WHEN num[2:2] IN ('x', 'X') THEN coalesce(try_cast('0x0' || trim(num[3:], ';') AS HUGEINT), 1114112)
+                              ELSE coalesce(try_cast(trim(num[2:], ';') AS HUGEINT), 1114112) END AS cp FROM ref),
+     opened AS (SELECT rn, i, max_by(n.name, length(n.name)) AS name FROM ref JOIN names n ON NOT ends_with(n.name, ';') AND starts_with(ref.s, n.name)
+                GROUP BY rn, i),
+     said AS (SELECT p.rn, p.i, p.s,
+                     CASE WHEN p.num <> '' THEN p.num WHEN c.name IS NOT NULL THEN c.name ELSE o.name END AS used,
+                     CASE WHEN p.num <> '' THEN
+                          CASE WHEN cp BETWEEN 128 AND 159 THEN l.txt
+                               WHEN cp = 0 OR cp BETWEEN 55296 AND 57343 OR cp > 1114111 THEN chr(65533)
+                               WHEN cp BETWEEN 1 AND 8 OR cp = 11 OR cp BETWEEN 14 AND 31 OR cp = 127 OR cp BETWEEN 64976 AND 65007
+                                    OR cp % 65536 IN (65534, 65535) THEN ''
+                               ELSE chr(cp::INTEGER) END
+                          WHEN c.name IS NOT NULL THEN c.txt ELSE n.txt END AS txt
+              FROM point p LEFT JOIN names c ON c.name = p.closed LEFT JOIN opened o ON o.rn = p.rn AND o.i = p.i
+                           LEFT JOIN names n ON n.name = o.name LEFT JOIN latin l ON l.code = p.cp),
+     whole AS (SELECT rn, string_agg(CASE WHEN i = 1 THEN s WHEN used IS NULL THEN '&' || s
+                                          ELSE replace(txt, chr(160), ' ') || s[length(used) + 1:] END, '' ORDER BY i) AS t FROM said GROUP BY rn),
+     t5 AS (SELECT t3.* REPLACE (whole.t AS t) FROM t3 JOIN whole USING (rn)),
+     t4 AS (SELECT * REPLACE (trim(regexp_replace(t, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS t) FROM t5),
      k AS (SELECT page_id, rid, uri, pd, 'conversion' AS record_type, 'text/plain' AS content_type, t AS block FROM t4
            UNION ALL
            SELECT page_id, rid, uri, pd, 'metadata', 'application/warc-fields',

@@ -47,3 +47,48 @@ def test_text_of_other_types_is_kept_whole(spark, kind):
 def test_html_by_its_other_type(spark):
     row, = converted(spark, ["HTTP/1.1 200 OK\r\nContent-Type: application/xhtml+xml\r\n\r\n<p>a</p><p>b</p>"])
     assert row.block == "a\nb"
+
+
+def records(data):
+    """The records of a WARC file, stepping by ``Content-Length``."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        first, *fields = data[at:end].decode().split("\r\n")
+        fields = dict(f.split(": ", 1) for f in fields)
+        assert first == "WARC/1.1"
+        stop = end + 4 + int(fields["Content-Length"])
+        assert data[stop:stop + 4] == b"\r\n\r\n"
+        yield fields, data[end + 4:stop]
+        at = stop + 4
+
+
+def test_written_files_hold_whole_records(spark, tmp_path):
+    bodies = ["", "<p>a</p>\n\n<p>\u00e9</p>", "x" * 300_000, "one\r\n\r\ntwo", "WARC/1.1\r\n"]
+    r = spark.createDataFrame([(f"r{i}", "u", "d", f"HTTP/1.1 200 OK\r\nContent-Type: text/{'html' if i < 3 else 'plain'}\r\n\r\n{b}", i, "x", "y")
+                               for i, b in enumerate(bodies)], RESPONSE + ", block_digest string, k string").repartition(2)
+    derived = warc.derive(r)
+    warc.write_warc(derived, str(tmp_path / "out"))
+    got = sorted((f["WARC-Record-ID"], f["WARC-Refers-To"], f["WARC-Type"], b.decode())
+                 for p in (tmp_path / "out").glob("part-*") for f, b in records(p.read_bytes()))
+    assert got == sorted((x.record_id, x.refers_to, x.record_type, x.block) for x in derived.collect())
+    assert len(got) == 10
+
+
+def test_no_responses(spark):
+    empty = spark.createDataFrame([], RESPONSE)
+    assert warc.derive(empty).count() == 0 and warc.record_text(warc.derive(empty)).count() == 0
+
+
+def test_sql_decodes_like_html_unescape():
+    import duckdb
+    texts = [f"x&{n}y z &{n} w" for n in sorted(html5)] + [f"a&#{n};b&#0{n} &#x{n:x};-" for n in [*range(0, 300), 0xD800, 0xFDD0, 0xFFFE, 0x1F642, 0x110000, 10 ** 50]]
+    texts += ["&", "&&;", "&#;", "&#xg; &notit; &copyright", "&amp;amp;lt; R&D"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, '', ?)", [(i, t) for i, t in enumerate(texts)])
+    got = dict(con.sql(f"SELECT page_id, block FROM ({warc.SQL}) WHERE record_type = 'conversion'").fetchall())
+    tidy = lambda t: "\n".join(x for x in (line.strip(" ") for line in t.split("\n")) if x)
+    for i, t in enumerate(texts):
+        if "\r" not in html.unescape(t):
+            assert tidy(got[i]) == tidy(html.unescape(t).replace("\xa0", " ")), t
