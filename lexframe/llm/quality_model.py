@@ -27,6 +27,8 @@ SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 BUCKET_BITS = 16
 DIM = 8
+#: texts whose features are stored together during the fit
+BLOCK = 64
 EPOCHS = 6
 RATE = 20.0
 GRAMS = (3, 5)
@@ -78,7 +80,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: fl
     if len(np.unique(y)) < 2:
         return None
     powers, rng = Powers(), np.random.default_rng(seed)
-    docs = [counts(t, powers) for t in texts]
+    docs = []
+    for lo in range(0, len(texts), BLOCK):  # few large arrays, whose memory goes back when the fit is done
+        part = [counts(t, powers) for t in texts[lo:lo + BLOCK]]
+        rows, share = (np.concatenate([p[k] for p in part]) for k in (0, 1))
+        ends = np.cumsum([len(p[0]) for p in part]).tolist()
+        docs += [(rows[a:b], share[a:b]) for a, b in zip([0, *ends], ends)]
     table = rng.uniform(-0.1, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     weight = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)], np.float32)
