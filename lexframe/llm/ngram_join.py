@@ -16,7 +16,8 @@ overlap, and so do, for two boxes of an R-tree, the minima of their upper corner
 3. In each list that still holds several groups, an R-tree packed by size is joined
    with itself; pairs of boxes or points are dropped when they belong to one group,
    when their sizes differ too much or when the bound is under the overlap needed.
-   A list of more than ``BLOCK`` nodes is dealt to pairs of blocks.
+   A list of more than ``BLOCK`` nodes is dealt to pairs of blocks.  Of all lists that
+   two nodes share only the first hands the pair on.
 4. Surviving pairs are verified on the full sets.
 
 Defined results: texts without words (null too) have no shingles and link with
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ BLOCK = 2048
 FRONT = 500
 PAIRS = 100_000
 MOST = 65_535
+#: a set in more lists than this does not tell its pairs their first common list
+LISTS = 512
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, powers: Powers, size: int = SHINGLE):
@@ -281,6 +285,27 @@ def _children(i: np.ndarray, j: np.ndarray, below: int):
     return out, np.repeat(j, kids)
 
 
+def first_common(h: np.ndarray, own: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the list ``h[i]`` is the least one that the rows ``i`` and ``j`` share, so
+    that a pair is handed on by one of its lists.  ``own`` holds the lists of each row
+    up to ``ends`` (sorted; none: not known, so the pair is handed on)."""
+    names, place = np.unique(own, return_inverse=True)
+    begin = np.concatenate([[0], ends[:-1]])
+    key = np.repeat(np.arange(len(ends)), ends - begin) << 32 | place
+    at_h = np.searchsorted(names, h[i])
+    out = np.ones(len(i), bool)
+    for lo in range(0, len(i), 4_000):
+        a, b, limit = i[lo:lo + 4_000], j[lo:lo + 4_000], at_h[lo:lo + 4_000]
+        before = np.searchsorted(key, a << 32 | limit) - begin[a]  # lists of ``a`` before this one
+        before = np.where(ends[a] > begin[a], before, 0)
+        pair = np.repeat(np.arange(len(a)), before)
+        other = place[np.repeat(begin[a] - np.cumsum(before) + before, before) + np.arange(before.sum())]
+        want = b[pair] << 32 | other
+        at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
+        out[lo + pair[key[at] == want]] = False
+    return out
+
+
 def _tree_rows(batches):
     """Pairs that may link, of rows sorted by list and pair of blocks."""
     cols = ("h", "bi", "bj")
@@ -298,8 +323,13 @@ def _tree_rows(batches):
         first = np.repeat(edge[:-1], np.diff(edge))
         at, small, found = np.arange(len(node)), (size <= LEAF) & (bi == bj), []
         rows, waiting = (point, n, n, comp), 0
+        h, lists = t.column("h").to_numpy(), t.column("lists").combine_chunks()
+        own, ends = pc.list_flatten(lists).to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
+
         def batch():
             i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            mine = first_common(h, own, ends, i, j)
+            i, j = i[mine], j[mine]
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             if len(a):
                 a, b = np.unique(np.stack([a, b]), axis=1)
@@ -369,11 +399,13 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         comp = work.cut(components(work, links), "groups")
     rows = rest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-    rows = rows.join(many, "h").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
+    rows = rows.join(many, "h")
+    lists = rows.groupBy("node").agg(F.when(F.count("*") <= LISTS, F.sort_array(F.collect_list("h"))).alias("lists"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
         .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("h", "node", F.col("n").cast("long").alias("n"), "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    rows = rows.join(points.select("node", "point"), "node").repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "node")
+    rows = rows.join(points.select("node", "point").join(lists, "node"), "node").repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "node")
     pairs = rows.mapInArrow(_tree_rows, "a long, b long").distinct()
     links = links.unionByName(verified(work, pairs, points, text, reps))
     return named, components(work, links)
