@@ -11,7 +11,7 @@ from ..sources import testdata as td
 from ..sources.jsonl import keyed_items, parse_json_lines
 from ..sources.seed import year_seed_from
 from .registry import register
-from .sqlviews import LAWS, cell_text, clean, decode, element_re, strip, with_  # noqa: F401
+from .sqlviews import LAWS, cell_text, clean, decode, element_list, element_re, strip, with_  # noqa: F401
 
 BASE = "https://statutes.example.org"
 
@@ -122,8 +122,7 @@ def q_page_body(spark, sf):
 
 @register("shred_rows", f"""
 WITH r AS (
-  SELECT page_id, regexp_extract_all(regexp_extract({clean('html')}, '{element_re('article')}', 1),
-                                     '{element_re('p')}', 1) AS rows FROM pages)
+  SELECT page_id, {element_list(f"regexp_extract({clean('html')}, '{element_re('article')}', 1)", 'p')} AS rows FROM pages)
 SELECT page_id AS law_id, CAST(i - 1 AS BIGINT) AS row_no, CAST(1 AS BIGINT) AS n_cells,
        {cell_text('rows[i]')} AS c2
 FROM r, LATERAL (SELECT unnest(range(1, len(rows) + 1)) AS i)""")
@@ -135,6 +134,24 @@ def q_shred_rows(spark, sf):
     return r.select("law_id", "row_no", "n_cells", "c2")
 
 
+@register("table_rows", f"""
+WITH r AS (
+  SELECT page_id, {element_list(f"regexp_extract({clean('html')}, '{element_re('article')}', 1)", 'p')} AS rows FROM pages),
+t AS (
+  SELECT page_id, i, i + (i + 1) // 4 AS row_no, {strip(decode("regexp_replace(rows[i + 1], '<[^>]*>', '', 'g')"))} AS t
+  FROM r, LATERAL (SELECT unnest(range(0, len(rows))) AS i))
+SELECT page_id AS law_id, CAST(row_no AS BIGINT) AS row_no, CAST(CASE i % 4 WHEN 2 THEN 6 ELSE 3 END AS BIGINT) AS n_cells,
+       CAST(i AS VARCHAR) AS c0, 'T' || i AS c1,
+       CASE i % 4 WHEN 0 THEN t WHEN 1 THEN concat_ws(' ', nullif(t, ''), 'é—') ELSE concat_ws(' ', nullif(t, ''), 'x y z' || i || ' tail') END AS c2
+FROM t WHERE i % 4 < 3
+UNION ALL
+SELECT page_id, CAST(row_no + 1 AS BIGINT), CAST(3 AS BIGINT), 'x', 'y', 'z' || i FROM t WHERE i % 4 = 2""")
+def q_table_rows(spark, sf):
+    """SCL12: rows and cells of tables without end tags, nested ones included (the view
+    ``table_pages`` of all pages)."""
+    return shred_rows(td.table_pages(spark, sf))
+
+
 @register("cell_text", f"""
 SELECT page_id,
   replace(array_to_string(list_transform(regexp_extract_all({clean('html')}, '{element_re('li')}', 1),
@@ -234,7 +251,7 @@ def q_acts_from_pages(spark, sf):
 @register("act_text_by_slug", f"""
 WITH t AS (
   SELECT page_id, lower(regexp_replace(name, '[^\\pL\\pN_]+', '_', 'g')) AS slug,
-    replace(array_to_string(list_transform(regexp_extract_all({clean('html')}, '{element_re('p')}', 1),
+    replace(array_to_string(list_transform({element_list(clean('html'), 'p')},
             lambda x: {decode("regexp_replace(x, '<[^>]*>', '', 'g')")}), ' '), chr(10), ' ') AS text
   FROM (SELECT page_id, html,
           {strip(decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS name FROM pages))

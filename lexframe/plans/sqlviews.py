@@ -188,6 +188,12 @@ def element_re(tag: str) -> str:
     return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
 
 
+def element_list(x: str, tag: str) -> str:
+    """Inner HTML of each ``<tag>`` (list); one ends at its closing tag or the next opening one."""
+    return (rf"list_transform(regexp_split_to_array({x}, '(?i)<{tag}(?:\s[^>]*)?>')[2:], "
+            rf"lambda e: regexp_replace(e, '(?is)</{tag}\s*>.*$', ''))")
+
+
 # pages -> laws stand-in
 LAWS = r"""
 laws AS (

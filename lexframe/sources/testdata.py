@@ -216,3 +216,26 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k == 3, F.to_json(F.struct("law_id", "section_ref")))
              .otherwise(F.to_json(F.struct(F.col("keyword").alias("city")))))
     return r.select(F.col("req_id").alias("call_id"), tool.alias("tool"), args.alias("args"))
+
+
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(law_id, html)``: every page's article paragraphs as the rows of a carelessly
+    written table.  By the paragraph's number modulo 4: no end tags; capitals, references
+    and a tag in quotes; a nested table with text after it; two cells, a comment and a
+    script that hold tags.  Odd pages do not close the table."""
+    from ..operators.shred import clean_html, elements, first_block
+    p = table(spark, sf_dir, "pages")
+    texts = F.transform(elements(first_block(clean_html(F.col("html")), "article"), "p"),
+                        lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
+
+    def row(t, i):
+        n = i.cast("string")
+        say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+        return (F.when(i % 4 == 0, say("<tr><td>", n, "<td class='a > b'>T", n, "<td>", t))
+                .when(i % 4 == 1, say("<TR><TD>", n, "</TD><td>&#84;", n, "</td><td title=\"<td>\"><b>", t, "</b> &eacute;&#8212;</td></TR>"))
+                .when(i % 4 == 2, say("<tr><td>", n, "<td>T", n, "<td>", t, "<table><tr><td>x<td>y<td>z", n, "</table> tail"))
+                .otherwise(say("<tr><td>", n, "<td>", t, "</tr><!-- <tr><td>no --><script>'<tr><td>no'</script>")))
+
+    end = F.when(F.col("page_id") % 2 == 0, F.lit("</table><p>after</p><table><tr><td>q<td>q<td>q</table>")).otherwise(F.lit(""))
+    html = F.concat(F.lit("<p>before</p><table id=main>"), F.array_join(F.transform(texts, row), "\n"), end)
+    return p.select(F.col("page_id").alias("law_id"), html.alias("html"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..operators.classify import act_titles
 from ..operators.hierarchy import build_sections
-from ..operators.shred import shred_rows_auto
+from ..operators.shred import shred_rows
 from ..session import ensure_checkpoint_dir
 from ..sinks import tables as snk
 from ..sinks.schema import ensure_tables
@@ -40,7 +40,7 @@ def ingest_batch(spark: SparkSession, items: DataFrame, paths: dict[str, str]) -
     latest = snk.latest_per_key(pages, keys, "arrival").withColumn(
         "law_id", snk.derived_law_id(F.col("year"), F.col("act_number"), F.col("name")))
     stored = spark.read.parquet(paths["raw_pages"]).select(*keys, "html").join(latest.select(*keys, "law_id"), keys)
-    rows = shred_rows_auto(stored.select("law_id", "html"))
+    rows = shred_rows(stored.select("law_id", "html"))
     sections = build_sections(rows)
     titles = act_titles(rows)
     named = latest.join(titles, "law_id", "left").select(

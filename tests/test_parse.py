@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from lexframe.functions.text import slug, strip_ws, title_case
 from lexframe.operators.classify import act_titles, classify_rows, enactment_gate
 from lexframe.operators.hierarchy import build_sections, parent_by_ref
+import html.entities
+
+from lexframe.functions.text import decode_references
 from lexframe.operators.shred import joined_cell_text, page_text, shred_rows
 
 from .fixtures import F1, F1_ROWS, F2, F2_ROWS, F3, F3_ROWS, expected, labels_of, node, page
@@ -167,26 +170,65 @@ def test_text_helpers_match_python(spark):
     assert [r.g for r in got] == [re.sub(r"\W+", "_", s).lower() for s in samples]
 
 
-def test_dom_mode_matches_regex_mode_and_handles_unclosed_cells(spark):
-    from lexframe.operators.shred import shred_rows_dom
-    p = pages_df(spark, F1, F2, F3)
-    a = sorted(map(tuple, shred_rows(p).select("law_id", "row_no", "c1", "c2").collect()))
-    b = sorted(map(tuple, shred_rows_dom(p).select("law_id", "row_no", "c1", "c2").collect()))
-    assert a == b
-    messy = ("<table><tr><td>a<td>Title.<td>1.—Text <b>bold</b>"
-             "<tr><td><td><td>(1) sub<table><tr><td>x</td></tr></table></table>"
+def raw_pages(spark, *docs):
+    return spark.createDataFrame(list(enumerate(docs, 1)), "law_id long, html string")
+
+
+def found(df):
+    return {(r.law_id, r.row_no): (r.n_cells, r.c0, r.c1, r.c2) for r in df.collect()}
+
+
+def test_rows_without_end_tags(spark):
+    messy = ("<p>before</p><TABLE class='a > b'><tr><td>a<td>Title.<td>1.—Text <b>bold</b>"
+             "<tr><td><td><td>(1) sub<table><tr><td>x</td></tr></table> tail</table><p>after</p>"
              "<script>var s = '<tr><td>no</td></tr>';</script>")
-    df = spark.createDataFrame([(1, messy)], "law_id long, html string")
-    rows = shred_rows_dom(df).orderBy("row_no").collect()
-    assert [(r.c1, r.c2) for r in rows] == [("Title.", "1.—Text bold"), ("", "(1) sub x")]
+    no_end = "<table><tr><td>a<td>b<td>c"
+    twice = "<table><tr><td>1<td>2<td>3</table><table><tr><td>4<td>5<td>6</table>"
+    stray = "</table></td><table><tbody><tr><th>h<td>p<td>q<td>r &eacute;&#8212;&#x1F642;&nbsp;</tbody><tr><td>x<!-- c --> y<td>5 < 6<td title=\"<td>\">&amp;lt;"
+    got = found(shred_rows(raw_pages(spark, messy, no_end, twice, stray, "", "<p>none</p>", None, "<tables><tr><td>1<td>2<td>3")))
+    assert got == {(1, 0): (3, "a", "Title.", "1.—Text bold"), (1, 1): (4, "", "", "(1) sub x tail"),
+                   (2, 0): (3, "a", "b", "c"), (3, 0): (3, "1", "2", "3"),
+                   (4, 0): (3, "p", "q", "r é—🙂"), (4, 1): (3, "xy", "5 < 6", "&lt;")}
 
 
-def test_auto_mode_routes_nested_tables_to_dom(spark):
-    from lexframe.operators.shred import shred_rows_auto
+def test_nested_tables_keep_their_rows_and_the_text_after_them(spark):
     nested = ("<table><tr><td></td><td></td><td>BE IT ENACTED</td></tr>"
-              "<tr><td></td><td></td><td>1.—Text <table><tr><td>inner</td></tr></table> more</td></tr>"
+              "<tr><td></td><td></td><td>1.—Text <table><tr><td>i<td>ii<td>iii<table><tr><td>d<td>e<td>f</table></td></tr></table> more</td></tr>"
               "<tr><td></td><td></td><td>(1) after the inner table</td></tr></table>")
-    df = spark.createDataFrame([(1, nested), (2, page(F2))], "law_id long, html string")
-    rows = {(r.law_id, r.row_no): r.c2 for r in shred_rows_auto(df).collect()}
-    assert rows[(1, 1)] == "1.—Text inner more" and rows[(1, 3)] == "(1) after the inner table"
-    assert sum(1 for k in rows if k[0] == 2) == len(F2)
+    got = found(shred_rows(raw_pages(spark, nested, page(F2))))
+    assert {k: v for k, v in got.items() if k[0] == 1} == {
+        (1, 0): (3, "", "", "BE IT ENACTED"), (1, 1): (9, "", "", "1.—Text i ii iii d e f more"), (1, 2): (6, "i", "ii", "iii d e f"),
+        (1, 3): (3, "d", "e", "f"), (1, 4): (3, "", "", "(1) after the inner table")}
+    assert sum(1 for k in got if k[0] == 2) == len(F2)
+
+
+def test_repeated_pages_and_null_keys(spark):
+    one, two = "<table><tr><td>a<td>b<td>c", "<table><tr><td>d<td>e<td>f"
+    df = spark.createDataFrame([(1, one), (1, one), (1, two), (None, one), (None, None)], "law_id long, html string").repartition(3)
+    got = sorted((r.law_id or 0, r.c0) for r in shred_rows(df).collect())
+    assert got == [(0, "a"), (1, "a"), (1, "d")]
+    assert shred_rows(df.filter("false")).count() == 0
+
+
+def test_links_in_any_quoting(spark):
+    from lexframe.operators.shred import page_links
+    html = ("<nav><a href='no.html'>no</a></nav><nav class=x id='acts'><a href=\"a.html\">A</a><a class='k' href='b.html'>B &amp; &eacute;"
+            "<a href=c.html>C</a><a data-href='x.html' name=q>D</a></nav><a href='e.html'>E</a>")
+    df = raw_pages(spark, html)
+    assert [(r.name, r.href) for r in page_links(df, key="law_id", element_id="acts").orderBy("link_no").collect()] == [
+        ("A", "a.html"), ("B & é", "b.html"), ("C", "c.html")]
+    assert [r.name for r in page_links(df, key="law_id").collect()] == ["no"]
+
+
+def test_cell_text_without_end_tags(spark):
+    df = raw_pages(spark, "<table><tr><td>a<td>b</td><td class='x'>c\n<tr><td>d</table><p>e")
+    assert df.select(joined_cell_text(df.html, "td").alias("t")).first().t == "a b c  d"
+
+
+def test_references_decode_like_html_unescape(spark):
+    import html as h
+    texts = [f"x&{n}y &{n} z" for n in sorted(h.entities.html5)[::7]] + [f"&#{n};&#x{n:x} &#{n}" for n in (0, 9, 38, 128, 159, 0xD800, 0xFFFE, 0x1F642, 0x110000)]
+    texts += ["", "&", "&&amp;lt;", "&#;&#x;", "no reference", "&notit; &copyright"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.i: r.d for r in df.select("i", decode_references("t").alias("d")).collect()}
+    assert got == {i: h.unescape(t) for i, t in enumerate(texts)}
