@@ -1,18 +1,16 @@
 """SCL21/22, TXT2-TXT5, JN10/JN11, TOP1, AGG7: vectors and retrieval.
 
-Exact cosine kNN of a bounded question set against a whole corpus:
-the questions (size-checked) are broadcast, every corpus partition scores
-them and keeps only its local top k per question (``WindowGroupLimit`` before
-the shuffle, or numpy ``argpartition`` in the Arrow path), and a final top k
-per question merges at most ``k x partitions`` rows per question.  Beyond the
-broadcast limit the questions are processed in broadcast-sized batches.
+Exact cosine kNN of a question set against a whole corpus: both sides are dealt to
+blocks of ``BLOCK_BYTES``, each pair of blocks meets in one task that keeps its top k
+per question, and these are merged by question.  Nothing is broadcast and nothing
+passes through the driver but two counts, whatever the sizes.  The approximate index
+(TXT4) deals the corpus to k-means cells and lets each question meet the nearest ones.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +18,15 @@ from pyspark.sql import types as T
 from ..functions.patterns import EMBED_TYPES
 from ..functions.text import is_blank
 
-# 8192 questions x 768 dims x 8 bytes ~ 50 MB per broadcast batch
-MAX_BROADCAST_QUESTIONS = 8_192
+#: doubles of one block of vectors that a task holds
+BLOCK_BYTES = 16 << 20
+#: scores that a task holds at a time
+SCORES = 1 << 22
 # scores that agree to so many digits are ties
 SCORE_DIGITS = 12
+#: the fit of the cells reads that many vectors, the fit of the probes that many questions
+FIT_VECTORS = 20_000
+FIT_QUESTIONS = 500
 
 
 # ---------------------------------------------------------------- documents
@@ -77,68 +80,79 @@ def _topk(scored: DataFrame, k: int, q: str = "q_id", v: str = "vec_id") -> Data
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _topk_sql(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    q = questions.select(F.col("vec_id").alias("q_id"), unit(F.col("embedding")).alias("_qv"))
-    c = corpus.select("vec_id", unit(F.col("embedding")).alias("_cv")).filter(F.col("_cv").isNotNull())
-    scored = c.join(F.broadcast(q.filter(F.col("_qv").isNotNull())), how="inner") \
-              .select("q_id", "vec_id", dot(F.col("_qv"), F.col("_cv")).alias("score"))
-    return _topk(scored, k)
-
-
-def _topk_arrow(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    spark = corpus.sparkSession
-    clean = lambda df: df.select("vec_id", "embedding").filter(
-        F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
-    qp = clean(questions).toPandas()  # bounded by the caller's size check
-    qm = np.array([np.asarray(e, dtype=np.float64) for e in qp["embedding"]]) if len(qp) else np.zeros((0, 0))
-    qn = np.linalg.norm(qm, axis=1) if len(qp) else np.zeros(0)
-    keep = qn > 0
-    qids = qp["vec_id"].to_numpy()[keep]
-    qm = qm[keep] / qn[keep, None] if len(qp) else qm
-    bq = spark.sparkContext.broadcast((qids, qm))
-
-    def score(batches):
-        ids_q, mat_q = bq.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids_q) == 0:
-                continue
-            m = np.stack([np.asarray(e, dtype=np.float64) for e in pdf["embedding"]])
-            n = np.linalg.norm(m, axis=1)
-            ok = n > 0
-            m, vids = m[ok] / n[ok, None], pdf["vec_id"].to_numpy()[ok]
-            if len(vids) == 0:
-                continue
-            s = mat_q @ m.T  # (questions, batch)
-            kk = min(k, s.shape[1])
-            # all that reach the k-th best score, then the k least ids among ties
-            near = np.round(s, SCORE_DIGITS)
-            least = -np.partition(-near, kk - 1, axis=1)[:, kk - 1]
-            for i in range(len(ids_q)):
-                at = np.flatnonzero(near[i] >= least[i])
-                at = at[np.lexsort((vids[at], -near[i, at]))[:kk]]
-                yield pd.DataFrame({"q_id": ids_q[i], "vec_id": vids[at], "score": s[i, at]})
+def _vectors(df: DataFrame) -> DataFrame:
+    """``(vec_id, embedding, dim)`` of the rows that have a direction: not null or empty,
+    no null or non-finite component, not zero."""
+    d = F.transform("embedding", lambda x: x.cast("double"))
+    ok = F.forall("_d", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_d", lambda x: x != 0)
+    return df.select("vec_id", d.alias("_d")).filter(F.col("_d").isNotNull() & F.coalesce(ok, F.lit(False))) \
+        .select(F.col("vec_id").cast("long").alias("vec_id"), F.col("_d").alias("embedding"), F.size("_d").alias("dim"))
+
+
+def _blocks(vectors: DataFrame) -> int:
+    """Number of blocks of ``BLOCK_BYTES`` that the vectors fill."""
+    return max(1, -(-(vectors.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0) // BLOCK_BYTES))
+
+
+def _dealt(vectors: DataFrame, blocks: int, name: str) -> DataFrame:
+    """Each vector's block; rows that repeat are spread too."""
+    return vectors.withColumn(name, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+
 
-    schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("vec_id", T.LongType()),
-                           T.StructField("score", T.DoubleType())])
-    partial = clean(corpus).mapInPandas(score, schema)
-    return _topk(partial, k)
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    flat = table.column(column).combine_chunks().flatten().to_numpy()
+    m = flat.reshape(table.num_rows, -1)
+    return m / np.linalg.norm(m / np.abs(m).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(m).max(axis=1, keepdims=True)
 
 
-def cosine_topk(questions: DataFrame, corpus: DataFrame, k: int, method: str = "sql",
-                limit: int = MAX_BROADCAST_QUESTIONS) -> DataFrame:
+def _block_top(k: int, drop_self: bool):
+    """Top k corpus vectors per question of one pair of blocks, by slices of the corpus:
+    a slice only adds what reaches the k-th best score so far."""
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        schema = pa.schema([("q_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        if not q.num_rows or not c.num_rows:
+            return schema.empty_table()
+        qid, cid = (t.column("vec_id").to_numpy() for t in (q, c))
+        mq, mc = _matrix(q, "embedding"), _matrix(c, "embedding")
+        row, vec, score, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(qid), -np.inf)
+        step = max(1, SCORES // len(qid))
+        for lo in range(0, len(cid), step):
+            s, ids = mq @ mc[lo:lo + step].T, cid[lo:lo + step]
+            if drop_self:
+                s[qid[:, None] == ids[None, :]] = -np.inf
+            near = np.round(s, SCORE_DIGITS)
+            if near.shape[1] >= k:
+                floor = np.maximum(floor, -np.partition(-near, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero((near >= floor[:, None]) & (s > -np.inf))
+            row, vec, score = np.concatenate([row, i]), np.concatenate([vec, ids[j]]), np.concatenate([score, s[i, j]])
+            order = np.lexsort((vec, -np.round(score, SCORE_DIGITS), row))
+            row, vec, score = row[order], vec[order], score[order]
+            first = np.searchsorted(row, row)
+            keep = np.arange(len(row)) - first < k
+            row, vec, score = row[keep], vec[keep], score[keep]
+        return pa.table([pa.array(qid[row]), pa.array(vec), pa.array(score)], schema=schema)
+    return run
+
+
+def _meet(questions: DataFrame, corpus: DataFrame, on: list[str], k: int, drop_self: bool) -> DataFrame:
+    met = questions.groupBy(*on).cogroup(corpus.groupBy(*on)).applyInArrow(
+        _block_top(k, drop_self), "q_id long, vec_id long, score double")
+    return _topk(met, k)
+
+
+def cosine_topk(questions: DataFrame, corpus: DataFrame, k: int, drop_self: bool = False) -> DataFrame:
     """JN11 + TOP1: the ``k`` most similar corpus vectors per question.
 
-    ``(q_id, vec_id, score, rank)``; ties by ``vec_id``.  ``method='sql'``
-    stays in built-in expressions; ``'arrow'`` scores Arrow batches with
-    numpy (BLAS) and suits wide vectors.
+    ``(q_id, vec_id, score, rank)``; scores that agree to ``SCORE_DIGITS`` digits are
+    ties and go by ``vec_id``.  Vectors without a direction take no part, vectors of
+    other widths than the question's are no neighbours; with ``drop_self`` a question
+    does not find its own id.  Every corpus row is compared with every question.
     """
-    fn = _topk_sql if method == "sql" else _topk_arrow
-    n = questions.count()
-    if n <= limit:
-        return fn(questions, corpus, k)
-    nb = -(-n // limit)
-    parts = [fn(questions.filter(F.pmod(F.xxhash64("vec_id"), F.lit(nb)) == i), corpus, k) for i in range(nb)]
-    return reduce(DataFrame.unionByName, parts)
+    q, c = _vectors(questions), _vectors(corpus)
+    nq, nc = _blocks(q), _blocks(c)
+    q = _dealt(q, nq, "_qb").withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    c = _dealt(c, nc, "_cb").withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return _meet(q, c, ["dim", "_qb", "_cb"], k, drop_self)
 
 
 def answers(top: DataFrame) -> DataFrame:
@@ -196,6 +210,79 @@ def lsh_neighbours(questions: DataFrame, corpus: DataFrame, threshold: float,
                         (1 - F.col("dist") * F.col("dist") / 2).alias("score"))
 
 
+class CellIndex:
+    """TXT4: k-means cells over unit vectors, searched by probing the nearest ones.
+
+    The centres are fitted on at most ``FIT_VECTORS`` vectors (those of least hash);
+    every vector is filed.  A question meets the vectors of its ``probes`` nearest cells
+    and ranks them exactly.  A cell of more than ``BLOCK_BYTES`` is dealt to parts, and
+    its questions go to each of them.
+    """
+
+    def __init__(self, corpus: DataFrame, cells: int, seed: int = 7):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+        vectors = _vectors(corpus)
+        sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_VECTORS)
+        fit = KMeans(k=cells, seed=seed, distanceMeasure="cosine", featuresCol="v", maxIter=10) \
+            .fit(sample.select(array_to_vector("embedding").alias("v")))
+        centres = np.array(fit.clusterCenters())
+        self.centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        # the salt is drawn before any shuffle, so that a repeated task draws it again
+        filed = self.nearest(vectors, 1).withColumn("cell", F.col("cells")[0]).drop("cells") \
+            .withColumn("salt", F.xxhash64("vec_id", F.monotonically_increasing_id()))
+        per_part = F.lit(BLOCK_BYTES).cast("double") / (F.first("dim") * 8)
+        self.sizes = filed.groupBy("cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
+        self.filed = filed.join(self.sizes, "cell").withColumn("part", F.pmod("salt", F.col("parts")).cast("int"))
+
+    def nearest(self, vectors: DataFrame, probes: int) -> DataFrame:
+        """``vectors`` with their nearest ``cells``, the best first."""
+        centres, probes = self.centres, min(probes, len(self.centres))
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    m = _matrix(pa.Table.from_batches([b]), "embedding")
+                    best = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :probes]
+                    flat = pa.array(best.astype(np.int32).ravel())
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, probes, dtype=np.int32)), flat)
+                    yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*b.schema.names, "cells"])
+
+        at_width = vectors.filter(F.col("dim") == centres.shape[1])
+        return at_width.mapInArrow(run, "vec_id long, embedding array<double>, dim int, cells array<int>")
+
+    def probes_for(self, questions: DataFrame, corpus: DataFrame, k: int, recall: float, drop_self: bool = False) -> int:
+        """The least number of probes that finds ``recall`` of the exact top ``k`` of at
+        most ``FIT_QUESTIONS`` questions (those of least hash)."""
+        some = questions.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_QUESTIONS)
+        exact = cosine_topk(some, corpus, k, drop_self).select("q_id", "vec_id")
+        order = self.nearest(_vectors(some), len(self.centres)).select(F.col("vec_id").alias("q_id"), "cells")
+        place = exact.join(self.filed.select("vec_id", "cell"), "vec_id").join(order, "q_id") \
+            .select(F.array_position("cells", F.col("cell")).alias("place"))
+        found = {r["place"]: r["count"] for r in place.groupBy("place").count().collect()}  # one row per cell at most
+        total, so_far = sum(found.values()), 0
+        for probes in sorted(found):
+            so_far += found[probes]
+            if so_far >= recall * total:
+                return int(probes)
+        return len(self.centres)
+
+    def search(self, questions: DataFrame, k: int, probes: int, drop_self: bool = False) -> DataFrame:
+        """As ``cosine_topk``, from the probed cells only."""
+        q = _vectors(questions)
+        nq = _blocks(q)
+        q = _dealt(self.nearest(q, probes), nq, "_qb").withColumn("cell", F.explode("cells")).drop("cells")
+        parts = self.sizes.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        q = q.join(parts, "cell")
+        c = self.filed.drop("n", "parts").withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+        return _meet(q, c, ["_qb", "cell", "part"], k, drop_self)
+
+    def candidates(self, questions: DataFrame, probes: int) -> DataFrame:
+        """``(q_id, n_candidates)``: the vectors that each question is compared with."""
+        q = self.nearest(_vectors(questions), probes).select(F.col("vec_id").alias("q_id"), F.explode("cells").alias("cell"))
+        return q.join(self.sizes, "cell").groupBy("q_id").agg(F.sum("n").alias("n_candidates"))
+
+
 # ---------------------------------------------------------------- plug-ins
 _MODELS: dict = {}
 

@@ -1,5 +1,5 @@
 """Vectors group: embedding documents, chunks, tokens, exact kNN, answers,
-k sweep, context packing; TF-IDF and LSH (rows-only checks)."""
+k sweep, context packing; TF-IDF, cell index and LSH (rows-only checks)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -13,9 +13,8 @@ from .registry import register
 from .sqlviews import KNN_TOP, TITLES, TOKEN_RE, sections_sql, with_
 
 TOKEN_RE_JAVA = r"(?U)([\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s])"
-# numpy/BLAS on Arrow batches is ~7x faster than the higher-order-function path
-# at sf0.1 and gives the same top-k; LEXFRAME_KNN=sql keeps it all JVM-side.
-KNN_METHOD = __import__("os").environ.get("LEXFRAME_KNN", "arrow")
+QUESTION_STEP = 50  # questions are the vectors whose id it divides
+CELLS, RECALL = 32, 0.92
 
 
 def doc_laws_named(spark, sf):
@@ -28,13 +27,12 @@ def doc_laws_named(spark, sf):
 
 def knn_sets(spark, sf):
     emb = td.table(spark, sf, "embeddings")
-    ids = td.table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
-    return emb.join(ids, "vec_id", "left_semi"), emb.join(ids, "vec_id", "left_anti")
+    return emb.filter(F.col("vec_id") % QUESTION_STEP == 0), emb
 
 
 def knn(spark, sf, k):
-    q, c = knn_sets(spark, sf)
-    return vx.cosine_topk(q, c, k, method=KNN_METHOD)
+    """Each question against all other vectors."""
+    return vx.cosine_topk(*knn_sets(spark, sf), k, drop_self=True)
 
 
 @register("embed_docs", sections_sql() + "," + TITLES + """
@@ -105,18 +103,18 @@ def q_topk_sweep(spark, sf):
 
 @register("context_pack", with_(KNN_TOP) + f"""
 , tok AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '{TOKEN_RE}')) AS BIGINT) AS n_tokens FROM documents),
-top AS (SELECT r.q_id, r.vec_id, r.rank, coalesce(t.n_tokens, 0) AS n_tokens
-        FROM ranked r LEFT JOIN tok t ON t.doc_id = r.vec_id WHERE r.rank <= 9),
+top AS (SELECT r.q_id, r.vec_id, r.rank, t.n_tokens
+        FROM ranked r JOIN tok t ON t.doc_id = r.vec_id WHERE r.rank <= 9),
 cum AS (SELECT *, sum(n_tokens) OVER (PARTITION BY q_id ORDER BY rank) AS cum_tokens FROM top)
 SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank, n_tokens, CAST(cum_tokens AS BIGINT) AS cum_tokens
 FROM cum WHERE cum_tokens <= 1500""")
 def q_context_pack(spark, sf):
-    """TXT5: ranked passages (document ``vec_id``) kept while 1500 tokens fit."""
+    """TXT5: ranked passages (document ``vec_id``) kept while 1500 tokens fit; a vector
+    without a document is no passage.  Only retrieved documents are tokenized."""
     t = knn(spark, sf, 9)
-    docs = td.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("vec_id"),
-        F.size(F.regexp_extract_all("text", F.lit(TOKEN_RE_JAVA), 1)).cast("bigint").alias("n_tokens"))
-    r = t.join(docs, "vec_id", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("bigint")))
+    docs = td.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text") \
+        .join(t.select("vec_id").distinct(), "vec_id", "left_semi")
+    r = t.join(docs.select("vec_id", F.size(F.regexp_extract_all("text", F.lit(TOKEN_RE_JAVA), 1)).cast("bigint").alias("n_tokens")), "vec_id")
     p = vx.pack_context(r, "n_tokens", 1500)
     return p.select("q_id", "vec_id", "rank", "n_tokens", F.col("cum_tokens").cast("bigint").alias("cum_tokens"))
 
@@ -140,3 +138,28 @@ def q_knn_lsh_recall(spark, sf):
     """TXT4 (rows-only): recall of the LSH candidates against the exact top 5."""
     q, c = knn_sets(spark, sf)
     return vx.recall_at_k(vx.lsh_neighbours(q, c, threshold=1.25, bucket_length=1.0), knn(spark, sf, 5))
+
+
+def _cells(spark, sf):
+    q, c = knn_sets(spark, sf)
+    index = vx.CellIndex(c, CELLS)
+    return index, q, index.probes_for(q, c, 5, RECALL, drop_self=True)
+
+
+@register("knn_cells")
+def q_knn_cells(spark, sf):
+    """TXT4 (rows-only): five nearest vectors from the probed k-means cells."""
+    index, q, probes = _cells(spark, sf)
+    t = index.search(q, 5, probes, drop_self=True)
+    return t.select("q_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@register("knn_cells_recall")
+def q_knn_cells_recall(spark, sf):
+    """TXT4 (rows-only): per question the recall of the probed cells against the exact
+    top 5, and the share of all vectors that it was compared with."""
+    index, q, probes = _cells(spark, sf)
+    r = vx.recall_at_k(index.search(q, 5, probes, drop_self=True), knn(spark, sf, 5))
+    n = index.sizes.agg(F.sum("n").alias("n_all"))
+    return r.join(index.candidates(q, probes), "q_id").crossJoin(F.broadcast(n)).select(
+        "q_id", "recall", "k", "n_candidates", (F.col("n_candidates") / F.col("n_all")).alias("share"))

@@ -17,10 +17,9 @@ def test_knn_keeps_partial_topk_before_shuffle(spark):
     rng = np.random.default_rng(1)
     c = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "vec_id long, embedding array<float>")
     q = c.limit(3)
-    for method in ("sql", "arrow"):
-        plan = _plan(vx.cosine_topk(q, c, 5, method=method))
-        assert plan.count("WindowGroupLimit") >= 2, method      # partial + final around the exchange
-        assert "CartesianProduct" not in plan
+    plan = _plan(vx.cosine_topk(q, c, 5))
+    assert plan.count("WindowGroupLimit") >= 2      # partial + final around the exchange
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Broadcast" not in plan
 
 
 def test_search_broadcasts_the_request_side(spark):

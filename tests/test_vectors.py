@@ -28,21 +28,54 @@ def _brute(qs, corpus, k):
     return out
 
 
-def test_topk_matches_brute_force_both_paths(spark):
+def _lists(df):
+    got = {}
+    for r in df.orderBy("q_id", "rank").collect():
+        got.setdefault(r.q_id, []).append(r.vec_id)
+    return got
+
+
+def test_topk_matches_brute_force(spark):
     qs, corpus, qdf, cdf = _data(spark)
-    want = _brute(qs, corpus, 4)
-    for method in ("sql", "arrow"):
-        got = {}
-        for r in vx.cosine_topk(qdf, cdf, 4, method=method).orderBy("q_id", "rank").collect():
-            got.setdefault(r.q_id, []).append(r.vec_id)
-        assert got == want, method
+    assert _lists(vx.cosine_topk(qdf, cdf, 4)) == _brute(qs, corpus, 4)
 
 
-def test_batches_beyond_broadcast_limit_are_exact(spark):
+def test_blocks_give_the_same(spark, monkeypatch):
     qs, corpus, qdf, cdf = _data(spark)
-    a = sorted(map(tuple, vx.cosine_topk(qdf, cdf, 3, limit=2).select("q_id", "vec_id", "rank").collect()))
-    b = sorted(map(tuple, vx.cosine_topk(qdf, cdf, 3).select("q_id", "vec_id", "rank").collect()))
-    assert a == b and len(a) == 15
+    monkeypatch.setattr(vx, "BLOCK_BYTES", 8 * 8 * 4)  # four vectors
+    monkeypatch.setattr(vx, "SCORES", 3)
+    assert vx._blocks(vx._vectors(cdf)) == 15 and vx._blocks(vx._vectors(qdf)) == 2
+    assert _lists(vx.cosine_topk(qdf, cdf, 4)) == _brute(qs, corpus, 4)
+
+
+def test_topk_edges(spark):
+    vec = "vec_id long, embedding array<double>, q_id string, dim int"
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1e-200]), (3, [2e300, 0.0]), (3, [2e300, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]),
+            (8, [1.0, None]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0]), (12, [1e-300, 0.0])]
+    df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], vec).repartition(3)
+    got = _lists(vx.cosine_topk(df.filter("vec_id in (1, 4, 5, 6, 9, 10)"), df, 9, drop_self=True))
+    assert got == {1: [2, 3, 3, 12, 11]}
+    assert vx.cosine_topk(df.filter("false"), df, 3).count() == 0 and vx.cosine_topk(df, df.filter("false"), 3).count() == 0
+
+
+def test_cell_index(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 4
+    vecs = (centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 16))).tolist()
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>").repartition(4)
+    q = df.filter("vec_id % 20 = 0")
+    exact = _lists(vx.cosine_topk(q, df, 5, drop_self=True))
+    monkeypatch.setattr(vx, "BLOCK_BYTES", 16 * 8 * 20)  # cells of more than twenty vectors are split
+    index = vx.CellIndex(df, 12)
+    assert index.filed.count() == 600 and index.filed.select("vec_id").distinct().count() == 600
+    assert index.sizes.agg(F.max("parts")).first()[0] > 1
+    assert _lists(index.search(q, 5, 12, drop_self=True)) == exact
+    probes = index.probes_for(q, df, 5, 0.9, drop_self=True)
+    near = _lists(index.search(q, 5, probes, drop_self=True))
+    assert sum(len(set(near[i]) & set(exact[i])) for i in exact) >= 0.9 * 5 * len(exact)
+    share = index.candidates(q, probes).agg(F.avg("n_candidates")).first()[0] / 600
+    assert probes <= 3 and share < 0.4
 
 
 def test_answers_and_sweep(spark):
@@ -97,11 +130,8 @@ def test_pluggable_embedder_and_tokenizer(spark):
     assert got.n_tokens == 3 and got.n_docs == 2
 
 
-def test_topk_ties_and_nulls_agree_in_both_methods(spark):
-    from lexframe.operators.vectors import cosine_topk
+def test_ties_go_by_id(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300, 0, -1)] + [(900, None), (901, [0.0, 0.0, 0.0])]
     corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     q = spark.createDataFrame([(1000, [1.0, 2.0, 3.1]), (1001, None)], "vec_id long, embedding array<float>")
-    for method in ("sql", "arrow"):
-        got = [r.vec_id for r in cosine_topk(q, corpus, 5, method).orderBy("rank").collect()]
-        assert got == [1, 2, 3, 4, 5]
+    assert [r.vec_id for r in vx.cosine_topk(q, corpus, 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
