@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from .scan import Running, running
+from .scan import Running, numbered, running
 
 
 def pending(questions: DataFrame, results: DataFrame, text: str = "query_text") -> DataFrame:
@@ -17,10 +17,15 @@ def pending(questions: DataFrame, results: DataFrame, text: str = "query_text")
 
 
 def unrated(results: DataFrame) -> DataFrame:
-    """SCL29: rows still 'unrated' (order by id when shown)."""
+    """SCL29: rows still 'unrated'."""
     return results.filter(F.col("rating") == "unrated")
 
 
+def unrated_queue(results: DataFrame) -> DataFrame:
+    """TOP7: the unrated rows with ``list_no``, their place by id."""
+    return numbered(unrated(results), [], [F.col("id")])
+
+
 def next_unrated(results: DataFrame, events: DataFrame, idx: str = "idx") -> DataFrame:
     """WIN9: after the i-th rating event, the lowest id still unrated (the
     reference's queue advance), for a whole batch of ordered events.

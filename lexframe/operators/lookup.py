@@ -1,33 +1,17 @@
 """JN3-JN6, JN12, SCL23/24/27, TOP3/5/6, TXT1: lookups over whole request tables.
 
-The reference answers one request at a time with SQL; here a table of
-requests is joined with the laws or sections table in one job.  Theta joins
-(``ILIKE``) broadcast the request side only after checking its row count;
-beyond the limit the requests are split into broadcast-sized batches, so
-every request is still answered exactly.
+The reference answers one request at a time with SQL; here a table of requests is
+joined with the laws or sections table in one job.  ``ILIKE`` joins go through an
+inverted index of the trigrams of the names: a keyword meets the names that hold its
+rarest trigram, and ``ILIKE`` decides.  Only keywords without three literal characters in
+a row are compared with every name, once per distinct keyword.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import Running, running
-
-MAX_BROADCAST_REQUESTS = 200_000
-
-
-def broadcast_bounded(small: DataFrame, fn, id_col: str, limit: int = MAX_BROADCAST_REQUESTS) -> DataFrame:
-    """``fn(broadcast(small))`` when ``small`` has at most ``limit`` rows, else
-    the union of ``fn`` over hash batches of at most about ``limit`` rows."""
-    n = small.count()
-    if n <= limit:
-        return fn(F.broadcast(small))
-    nb = -(-n // limit)
-    parts = [fn(F.broadcast(small.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)) == i)))
-             for i in range(nb)]
-    return reduce(DataFrame.unionByName, parts)
+from .scan import numbered
 
 
 def name_match(name: Column, keyword: Column, literal: bool = False) -> Column:
@@ -39,13 +23,51 @@ def name_match(name: Column, keyword: Column, literal: bool = False) -> Column:
     return F.ilike(name, F.concat(F.lit("%"), plain, F.lit("%")))
 
 
+def _trigrams(text: Column) -> Column:
+    n = F.length(text)
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: text.substr(i, F.lit(3)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def trigram_index(laws: DataFrame) -> DataFrame:
+    """``(tri, law_id)``: the trigrams of each lower-cased name."""
+    return laws.select(F.explode(F.array_distinct(_trigrams(F.lower("name")))).alias("tri"), F.col("law_id").alias("_law")).distinct()
+
+
+def _candidates(laws: DataFrame, keywords: DataFrame, literal: bool) -> DataFrame:
+    """``(_kw, _law)`` of distinct ``keywords(_kw)``: the names that may match by the
+    keyword's rarest trigram."""
+    index = trigram_index(laws)
+    low = F.lower("_kw")
+    runs = F.array(low) if literal else F.split(low, "[%_]")
+    asked = keywords.select("_kw", F.explode(F.array_distinct(F.flatten(F.transform(runs, _trigrams)))).alias("tri"))
+    count = index.join(asked.select("tri").distinct(), "tri", "left_semi").groupBy("tri").agg(F.count(F.lit(1)).alias("n"))
+    rare = asked.join(count, "tri", "left").groupBy("_kw").agg(F.min_by("tri", F.struct(F.coalesce("n", F.lit(0)), "tri")).alias("tri"))
+    return rare.join(index, "tri").select("_kw", "_law")
+
+
+def matching_laws(laws: DataFrame, requests: DataFrame, req_id: str = "req_id", keyword: str = "keyword",
+                  literal: bool = False) -> DataFrame:
+    """JN6 without the order: the request's columns and those of each law whose name
+    contains the keyword.  A null keyword matches nothing; law ids are not null."""
+    keywords = requests.select(F.col(keyword).alias("_kw")).filter(F.col("_kw").isNotNull()).distinct()
+    run = F.lit(3) <= (F.length("_kw") if literal else F.array_max(F.transform(F.split(F.lower("_kw"), "[%_]"), F.length)))
+    found = _candidates(laws, keywords.filter(run), literal)
+    law = laws.select(F.struct(*laws.columns).alias("_l"), F.col("law_id").alias("_law"))
+    hits = found.join(law, "_law").filter(name_match(F.col("_l.name"), F.col("_kw"), literal)).select("_kw", "_l")
+    short = keywords.filter(~run)
+    hits = hits.unionByName(short.join(law, name_match(F.col("_l.name"), F.col("_kw"), literal)).select("_kw", "_l"))
+    out = requests.withColumnRenamed(keyword, "_kw").join(hits, "_kw")
+    return out.select(*(F.col("_kw" if c == keyword else c).alias(c) for c in requests.columns),
+                      *(F.col(f"_l.{c}").alias(c) for c in laws.columns))
+
+
 def search_laws(laws: DataFrame, requests: DataFrame, req_id: str = "req_id", keyword: str = "keyword",
                 literal: bool = False) -> DataFrame:
-    """JN6: every law whose name contains the request keyword.
-    Result rows: request id + law columns (order by year, act_number)."""
-    def run(reqs):
-        return reqs.join(laws, name_match(laws["name"], reqs[keyword], literal), "inner")
-    return broadcast_bounded(requests, run, req_id)
+    """JN6/TOP6: every law whose name contains the request keyword, with ``list_no``, its
+    place in the answer by year, act number and id."""
+    hits = matching_laws(laws, requests, req_id, keyword, literal)
+    return numbered(hits, [req_id], [F.asc_nulls_last("year"), F.asc_nulls_last("act_number"), F.asc_nulls_last("law_id")])
 
 
 def law_by_name(laws: DataFrame, requests: DataFrame, req_id: str = "req_id", name: str = "name",
@@ -54,13 +76,9 @@ def law_by_name(laws: DataFrame, requests: DataFrame, req_id: str = "req_id", na
     the request year is set and not 0, the year equals; ties -> lowest
     (year, act_number, law_id).  Misses have NULL law columns."""
     reqs = requests.select(F.col(req_id).alias("_rid"), F.col(name).alias("_rname"), F.col(year).alias("_ryear"))
-
-    def run(r):
-        cond = name_match(laws["name"], r["_rname"]) & (
-            r["_ryear"].isNull() | (r["_ryear"] == 0) | (laws["year"] == r["_ryear"]))
-        return r.join(laws, cond, "inner")
-    hits = broadcast_bounded(reqs, run, "_rid")
     law_cols = laws.columns
+    hits = matching_laws(laws, reqs, "_rid", "_rname").filter(
+        F.col("_ryear").isNull() | (F.col("_ryear") == 0) | (F.col("year") == F.col("_ryear")))
     best = hits.groupBy("_rid").agg(
         F.min_by(F.struct(*[F.col(c) for c in law_cols]),
                  F.struct(F.col("year"), F.col("act_number"), F.col("law_id"))).alias("_law"))
@@ -73,13 +91,9 @@ def law_sections(sections: DataFrame, requests: DataFrame, req_id: str = "req_id
                  order: str = "position") -> DataFrame:
     """JN3/TOP3: all sections of the requested law with ``list_no``, their
     place in the answer: by position then seq (the reference's order), or by
-    seq with ``order='document'``.  The ordinal is a chunked running count,
-    so one very large law is still numbered by many tasks."""
+    seq with ``order='document'``.  One very large law is numbered by many tasks."""
     j = requests.select(req_id, "law_id").join(sections, "law_id")
-    key = F.col("seq") if order == "document" else F.col("position") * F.lit(1 << 32) + F.col("seq")
-    j = j.withColumn("_ord", key.cast("bigint"))
-    out = running(j, [req_id], "_ord", [Running("list_no", F.lit(1).cast("bigint"), "sum", inclusive=True)])
-    return out.drop("_ord")
+    return numbered(j, [req_id], [F.col("seq")] if order == "document" else [F.asc_nulls_last("position"), F.col("seq")])
 
 
 def section_by_ref(sections: DataFrame, requests: DataFrame, req_id: str = "req_id") -> DataFrame:
@@ -108,7 +122,7 @@ def source_nodes(messages: DataFrame, keys=("conv_id", "turn")) -> DataFrame:
 
     Only ``user`` messages whose content is a JSON list; its ``tool_result``
     blocks whose content is valid JSON; an object is one item, a list many,
-    non-objects are dropped.  ``text`` = text_content, else name, else the
+    what is no object or an empty one is dropped.  ``text`` = text_content, else name, else the
     item as JSON; ``score`` 0.0; ``metadata`` = the rest of the item.
     """
     blocks_t = "array<struct<type:string,content:string>>"
@@ -116,15 +130,15 @@ def source_nodes(messages: DataFrame, keys=("conv_id", "turn")) -> DataFrame:
     b = m.select(*keys, F.posexplode("_b").alias("block_no", "blk")) \
          .filter(F.col("blk.type") == "tool_result") \
          .select(*keys, "block_no", F.col("blk.content").alias("raw"))
-    raw = F.col("raw")
-    head = F.regexp_extract(raw, r"^\s*(\S)", 1)
-    as_list = F.from_json(raw, "array<string>")
-    obj_t = "map<string,string>"
-    items = (F.when(head == "[", F.transform(as_list, lambda x: F.from_json(x, obj_t)))
-              .when(head == "{", F.array(F.from_json(raw, obj_t))))
-    valid = F.try_parse_json(raw).isNotNull()
-    x = b.select(*keys, "block_no", F.posexplode(F.when(valid, items)).alias("item_no", "item")) \
-         .filter(F.col("item").isNotNull())
+    # typed: a string that looks like an object stays a string
+    value = F.try_parse_json("raw")
+    kind = F.schema_of_variant(value)
+    items = (F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+              .when(kind.startswith("OBJECT"), F.array(value)))
+    kind = F.schema_of_variant("item")
+    x = b.select(*keys, "block_no", F.posexplode(items).alias("item_no", "item")) \
+         .filter(kind.startswith("OBJECT") & (kind != "OBJECT<>")) \
+         .withColumn("item", F.from_json(F.to_json("item"), "map<string,string>"))
     it = F.col("item")
     text = F.coalesce(F.nullif(it["text_content"], F.lit("")), F.nullif(it["name"], F.lit("")), F.to_json(it))
     return x.select(*keys, "block_no", "item_no", text.alias("text"), F.lit(0.0).alias("score"),

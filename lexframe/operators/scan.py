@@ -115,3 +115,25 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
             val = F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
         out.append(val.alias(s.name))
     return joined.select(*[F.col(c) for c in cols], *out)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "list_no") -> DataFrame:
+    """Add ``name``: each row's place (from 1) within ``keys`` in any total ``order``.
+
+    The rows are dealt to ranges of ``(keys, order)`` and checkpointed there; the rows of
+    each key are counted per range, and a row's place is its place in the range plus the
+    counts of the ranges before.  So one key of any size, or no key at all, is numbered
+    by as many tasks as it fills ranges, and gaps in the order cost nothing.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    part = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    counts = part.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    out = part.withColumn("_place", place).join(counts, on)
+    return out.select(*df.columns, (F.col("_place") + F.col("_before")).cast("bigint").alias(name))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import law_by_name, law_sections, search_laws, section_by_ref
+from .lookup import law_by_name, matching_laws, section_by_ref
 
 LAW_FIELDS = ["law_id", "name", "year", "act_number", "url", "html_path"]
 SECTION_FIELDS = ["seq", "section_type", "section_ref", "section_title", "text_content", "position"]
@@ -36,7 +36,7 @@ def dispatch(calls: DataFrame, laws: DataFrame, sections: DataFrame) -> DataFram
     calls = calls.filter(~keyed | arg("law_id").try_cast("bigint").isNotNull())
 
     s_req = calls.filter(tool == "search_laws").select("call_id", F.coalesce(arg("query"), F.lit("")).alias("keyword"))
-    s = search_laws(laws, s_req, "call_id", "keyword").select(
+    s = matching_laws(laws, s_req, "call_id", "keyword").select(
         "call_id", F.lit("search_laws").alias("tool"), F.col("law_id").cast("bigint").alias("law_id"),
         null_s.alias("seq"), _json(F.struct(*law_fields)).alias("result"))
 
@@ -53,7 +53,7 @@ def dispatch(calls: DataFrame, laws: DataFrame, sections: DataFrame) -> DataFram
                _json(F.struct(*(F.col({"name": "law_name", "year": "law_year"}.get(c, c)).alias(c) for c in law_fields)))).otherwise(F.lit("null")).alias("result"))
 
     l_req = calls.filter(tool == "get_law_sections").select("call_id", arg("law_id").try_cast("bigint").alias("law_id"))
-    hits = law_sections(sections.select("law_id", *section_fields), l_req, "call_id")
+    hits = l_req.join(sections.select("law_id", *section_fields), "law_id")
     ls = hits.select("call_id", F.lit("get_law_sections").alias("tool"), "law_id", "seq",
                      _json(F.struct(*section_fields)).alias("result"))
     # a law with no sections answers an empty list: no item rows, one marker row

@@ -38,10 +38,10 @@ def q_pending_queries(spark, sf):
 
 
 @register("unrated", with_(EVALS) + """
-SELECT id, query_text FROM rated WHERE rating = 'unrated'""")
+SELECT id, query_text, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS list_no FROM rated WHERE rating = 'unrated'""")
 def q_unrated(spark, sf):
-    """SCL29: answers still unrated after the ratings batch."""
-    return ev.unrated(rated(spark, sf)).select("id", "query_text")
+    """SCL29/TOP7: answers still unrated after the ratings batch, in the order of ids."""
+    return ev.unrated_queue(rated(spark, sf).select("id", "query_text", "rating")).select("id", "query_text", "list_no")
 
 
 @register("next_unrated", with_(EVALS) + """

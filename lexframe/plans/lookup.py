@@ -15,12 +15,13 @@ _SECTIONS = with_(STATUTE_ROWS, GATED, CLASSIFIED.replace("{src}", "gated"), SEC
 
 
 @register("search_laws", with_(LAWS, REQUESTS) + """
-SELECT r.req_id, r.keyword, l.law_id, l.year, l.act_number
+SELECT r.req_id, r.keyword, l.law_id, l.year, l.act_number,
+       CAST(row_number() OVER (PARTITION BY r.req_id ORDER BY l.year, l.act_number, l.law_id) AS BIGINT) AS list_no
 FROM req r JOIN laws l ON l.name ILIKE '%' || r.keyword || '%'""")
 def q_search_laws(spark, sf):
-    """SCL27/JN6: every law whose name contains each request keyword."""
+    """SCL27/JN6/TOP6: every law whose name contains each request keyword, in its order."""
     hits = lk.search_laws(td.laws(spark, sf), td.requests(spark, sf).select("req_id", "keyword"))
-    return hits.select("req_id", "keyword", "law_id", "year", "act_number")
+    return hits.select("req_id", "keyword", "law_id", "year", "act_number", "list_no")
 
 
 @register("law_by_name", with_(LAWS, REQUESTS) + """

@@ -103,3 +103,53 @@ def test_urls_with_long_numbers_or_few_pieces_are_null(spark):
     df = spark.createDataFrame([("https://x/eli/2004/act/99999999999/print",), ("short",)], "u string")
     assert [r[0] for r in df.select(url_act_number("u")).collect()] == [None, None]
     assert df.select(url_path_year("u")).collect()[1][0] is None
+
+
+def test_source_nodes_keep_types(spark):
+    def tr(content):
+        return json.dumps([{"type": "tool_result", "content": content}])
+    raws = ["{}", '["{\\"a\\":1}"]', '[{}, {"name": "N"}, [{"name": "inner"}], null, "x"]', '{"text_content": "", "name": "", "k": 1}',
+            '{"text_content": "{\\"a\\": 1}", "n": {"x": [1, 2]}}', '"{\\"name\\": 1}"', "", " [ ] ", '{"name": 7}']
+    df = spark.createDataFrame([(1, i, "user", tr(r)) for i, r in enumerate(raws)] + [(1, 99, "user", None), (1, 98, None, tr(raws[8]))],
+                               "conv_id long, turn long, role string, content string")
+    got = sorted((r.turn, r.item_no, r.text, tuple(sorted(r.metadata.items()))) for r in lk.source_nodes(df).collect())
+    assert [g[:2] for g in got] == [(2, 1), (3, 0), (4, 0), (8, 0)]
+    assert got[0][2] == "N" and json.loads(got[1][2]) == {"text_content": "", "name": "", "k": "1"}
+    assert got[2][2:] == ('{"a": 1}', (("n", '{"x":[1,2]}'),)) and got[3][2] == "7"
+
+
+def test_trigram_search_equals_comparing_every_name(spark):
+    import random
+    rnd = random.Random(4)
+    letters = "aAbB é%_\\İΣσ."
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    names = [(i, word(rnd.randrange(12)), 2000 + i % 3, i % 7) for i in range(150)] + [(500, None, 2001, 1), (501, "", 2001, 1)]
+    laws = spark.createDataFrame(names, "law_id long, name string, year int, act_number int").repartition(3)
+    asked = [(i, n[1][a:a + rnd.randrange(1, 7)]) for i, n in enumerate(names[:60]) for a in [rnd.randrange(len(n[1]) + 1)]]
+    asked += [(900, ""), (901, None), (902, "a%b"), (903, "zzz"), (904, "%%%"), (905, "ab" * 400), (3, asked[3][1])]
+    reqs = spark.createDataFrame(asked, "req_id long, keyword string")
+    for literal in (False, True):
+        got = sorted((r.req_id, r.law_id) for r in lk.matching_laws(laws, reqs, literal=literal).collect())
+        want = sorted((r.req_id, r.law_id) for r in reqs.join(laws, lk.name_match(laws["name"], reqs["keyword"], literal)).collect())
+        assert got == want and len(want) > 100, literal
+
+
+def test_answers_are_numbered_in_their_order(spark):
+    reqs = spark.createDataFrame([(1, "act"), (2, "data"), (3, "none of them")], "req_id long, keyword string")
+    laws = laws_df(spark).union(spark.createDataFrame([(9, "Act without number", 1998, None)], "law_id long, name string, year int, act_number int"))
+    got = {(r.req_id, r.list_no): r.law_id for r in lk.search_laws(laws, reqs).collect()}
+    assert got == {(1, 1): 2, (1, 2): 9, (1, 3): 4, (1, 4): 1, (1, 5): 3, (2, 1): 1, (2, 2): 3}
+
+
+def test_numbered_over_gaps_null_keys_and_no_key(spark):
+    from lexframe.operators.evals import unrated_queue
+    from lexframe.operators.scan import numbered
+    df = spark.range(5000).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS k", "(id * 7919 % 5000) * 4294967296 AS o")
+    rows = numbered(df, ["k"], [F.desc("o")]).collect()
+    want = {}
+    for r in rows:
+        want.setdefault(r.k, []).append((-r.o, r.list_no))
+    assert len(rows) == 5000 and all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in want.values())
+    results = spark.createDataFrame([(7, "unrated"), (3, "good"), (5, "unrated"), (90, "unrated")], "id long, rating string")
+    assert sorted((r.list_no, r.id) for r in unrated_queue(results).collect()) == [(1, 5), (2, 7), (3, 90)]
+    assert numbered(df.filter("false"), [], [F.col("o")]).count() == 0
