@@ -181,6 +181,22 @@ def pack_context(ranked: DataFrame, tokens: str, budget: int, q: str = "q_id") -
     return ranked.withColumn("cum_tokens", F.sum(F.col(tokens)).over(w)).filter(F.col("cum_tokens") <= budget)
 
 
+def hashed_embedding(text: Column, dims: int = 256) -> Column:
+    """TXT3, without a fit: counts of lower-cased words by a hash, scaled to length 1; a
+    text without words has the zero vector.  Built-in functions only."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), 0)
+    slots = F.array_sort(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int")))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    return F.coalesce(unit(counts), counts).cast("array<float>")
+
+
+def embedded(sections: DataFrame, laws: DataFrame, embed=hashed_embedding) -> DataFrame:
+    """SNK4: the embedding documents of ``embed_docs`` with their vectors; ``embed`` maps
+    the text column to an ``array<float>`` column (a model's pandas UDF, for example)."""
+    docs = embed_docs(sections, laws)
+    return docs.withColumn("embedding", embed(F.col("text")))
+
+
 # ---------------------------------------------------------------- MLlib
 def tfidf_embed(docs: DataFrame, text: str, key: str, num_features: int = 1 << 12) -> DataFrame:
     """TXT3 offline default: hashed term frequencies, IDF, L2 norm -> array<float>."""
