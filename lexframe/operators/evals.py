@@ -57,6 +57,23 @@ def score_bullets(scores: Column) -> Column:
     return F.when(F.coalesce(F.size(scores), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise(F.lit("_None_"))
 
 
+def score_text(score: Column) -> Column:
+    """A score as Python writes it (of a size below 10^7), ``N/A`` for none."""
+    s = score.cast("string")
+    mantissa, exponent = F.split_part(s, F.lit("E-"), F.lit(1)), F.split_part(s, F.lit("E-"), F.lit(2))
+    sign = F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"[-.]", "")
+    return (F.when(score.isNull(), F.lit("N/A")).when(exponent == "4", F.concat(sign, F.lit("0.000"), digits))
+             .when(exponent != "", F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e-"), F.lpad(exponent, F.greatest(F.length(exponent), F.lit(2)), F.lit("0"))))
+             .otherwise(s))
+
+
+def source_block(nodes: Column) -> Column:
+    """SCL25: score and text of each source node, parted by rules; empty without nodes."""
+    block = F.transform(nodes, lambda n: F.concat(F.lit("**Score:** "), score_text(n["score"]), F.lit("\n\n"), F.coalesce(n["text"], F.lit(""))))
+    return F.coalesce(F.array_join(block, "\n\n---\n\n"), F.lit(""))
+
+
 def rating_badge(rating: Column) -> Column:
     """SCL25: badge text of a rating."""
     return (F.when(rating == "good", F.lit("Rated: Good")).when(rating == "bad", F.lit("Rated: Bad"))

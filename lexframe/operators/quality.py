@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import SECTION_TYPES
 from ..functions.text import token_count
-from .scan import Running, running
+from .scan import Running, numbered, running
 
 PROFILE_TYPES = ("part", "schedule", "chapter", "article", "section", "subsection",
                  "paragraph", "subparagraph")
@@ -43,6 +43,38 @@ def structure_profile(sections: DataFrame, preview_rows: int = 1) -> DataFrame:
     return sections.groupBy("law_id").agg(*counts).join(head, "law_id", "left")
 
 
+#: fixed values: indentation steps of a node type in the structure preview
+INDENT = {"part": 0, "schedule": 0, "chapter": 1, "section": 1, "article": 1, "subsection": 2, "paragraph": 3,
+          "subparagraph": 4}
+PREVIEW_CHARS = 60
+
+
+def quoted(text: "F.Column") -> "F.Column":
+    """A text in quotes as Python writes it: double ones where it holds single ones only;
+    backslashes, tabs, carriage returns and no-break spaces escaped."""
+    t = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for ch, esc in (("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n"), ("\xa0", "\\xa0")):
+        t = F.replace(t, F.lit(ch), F.lit(esc))
+    double = text.contains("'") & ~text.contains('"')
+    return F.when(double, F.concat(F.lit('"'), t, F.lit('"'))) \
+            .otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def structure_preview(sections: DataFrame, max_nodes: int = 80) -> DataFrame:
+    """AGG2/TOP4: ``(law_id, list_no, line, n_more)``, the first ``max_nodes`` nodes of each
+    act in document order, indented by type, with the first 60 characters of their text;
+    ``n_more`` counts the act's nodes beyond.  Texts are cut before the rows move, and an
+    act of any size is numbered by ranges.  Null refs and texts count as empty."""
+    st = F.coalesce("section_type", F.lit(""))
+    indent = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for t, n in INDENT.items() for x in (t, "  " * n)]), st), F.lit(""))
+    title = F.when(F.col("section_title") != "", F.concat(F.lit(" — "), F.col("section_title"))).otherwise(F.lit(""))
+    text = F.replace(F.left(F.coalesce("text_content", F.lit("")), F.lit(PREVIEW_CHARS)), F.lit("\n"), F.lit(" "))
+    line = F.concat(indent, F.lit("["), st, F.lit("] "), F.coalesce("section_ref", F.lit("")), title, F.lit("  |  "), quoted(text))
+    n = numbered(sections.select("law_id", "seq", line.alias("line")), ["law_id"], [F.col("seq")])
+    more = n.groupBy("law_id").agg(F.greatest(F.count(F.lit(1)) - max_nodes, F.lit(0)).alias("n_more"))
+    return n.filter(F.col("list_no") <= max_nodes).join(more, "law_id").select("law_id", "list_no", "line", "n_more")
+
+
 def dup_refs(sections: DataFrame, types=("part", "schedule", "chapter")) -> DataFrame:
     """AGG6: refs that occur more than once per act and type."""
     return (sections.filter(F.col("section_type").isin(*types))

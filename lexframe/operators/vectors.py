@@ -197,6 +197,49 @@ def embedded(sections: DataFrame, laws: DataFrame, embed=hashed_embedding) -> Da
     return docs.withColumn("embedding", embed(F.col("text")))
 
 
+# ---------------------------------------------------------------- TF-IDF
+#: slots that words are hashed to; the model is a table of so many rows
+FEATURES = 1 << 12
+WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"
+
+
+def word_slots(text: Column) -> Column:
+    """The slot of each lower-cased word: the first three hex digits of its MD5."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    return F.transform(words, lambda w: F.conv(F.left(F.md5(w), F.lit(3)), 16, 10).cast("int"))
+
+
+def tfidf_fit(docs: DataFrame, text: str) -> DataFrame:
+    """TXT3: the model ``(feature, n_with, n_docs, idf)``, one row per slot, from all rows;
+    ``idf = ln((n_docs + 1) / (n_with + 1))``.  Null and empty texts count as documents.
+    Each row is one document, so repeated rows count each.  Store it with ``write_table``."""
+    seen = docs.select(F.explode(F.array_distinct(word_slots(F.col(text)))).alias("feature")) \
+        .groupBy("feature").agg(F.count(F.lit(1)).alias("n_with"))
+    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    slots = docs.sparkSession.range(FEATURES).select(F.col("id").cast("int").alias("feature")).crossJoin(F.broadcast(total))
+    return slots.join(seen, "feature", "left").select(
+        "feature", F.coalesce("n_with", F.lit(0)).alias("n_with"), "n_docs",
+        F.log((F.col("n_docs") + 1) / (F.coalesce("n_with", F.lit(0)) + 1)).alias("idf"))
+
+
+def tfidf_weights(docs: DataFrame, text: str, key: str, model: DataFrame) -> DataFrame:
+    """TXT3: ``(key, feature, n, weight)`` of each row's slots by a stored ``model``: counts
+    times idf, scaled to length 1 (0 where every word of the row is in all documents of
+    the fit).  Rows without words give none; a key that repeats needs telling apart first.
+    The model is broadcast: it has ``FEATURES`` rows, whatever it was fitted on."""
+    counted = docs.select(key, F.explode(word_slots(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+    raw = counted.join(F.broadcast(model.select("feature", "idf")), "feature").withColumn("_w", F.col("n") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))  # FEATURES rows a key at most
+    return raw.withColumn("_norm", norm).select(key, "feature", "n", F.when(F.col("_norm") > 0, F.col("_w") / F.col("_norm")).otherwise(0.0).alias("weight"))
+
+
+def tfidf_vectors(weights: DataFrame, key: str) -> DataFrame:
+    """TXT3: the weights as ``(key, embedding array<float>)`` of ``FEATURES`` components."""
+    g = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("_m"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(FEATURES - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    return g.select(key, at.cast("array<float>").alias("embedding"))
+
+
 # ---------------------------------------------------------------- MLlib
 def tfidf_embed(docs: DataFrame, text: str, key: str, num_features: int = 1 << 12) -> DataFrame:
     """TXT3 offline default: hashed term frequencies, IDF, L2 norm -> array<float>."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..functions.text import slug
 from ..operators.shred import joined_cell_text, page_body, page_links, shred_rows
-from ..sinks.tables import keep_first, latest_per_key
+from ..sinks.tables import keep_first, latest_per_key, write_once
 from ..sources import testdata as td
 from ..sources.jsonl import keyed_items, parse_json_lines
 from ..sources.seed import year_seed_from
@@ -111,13 +111,14 @@ def q_page_links(spark, sf):
 @register("page_body", r"""
 SELECT page_id,
   CAST(length(regexp_extract(html, '(?is)<body[^>]*>.*</body>', 0)) AS BIGINT) AS body_chars,
+  md5(regexp_extract(html, '(?is)<body[^>]*>.*</body>', 0)) AS body_md5,
   nullif(""" + decode(r"regexp_extract(html, '(?is)<body[^>]*>([^<]*)', 1)") + """, '') AS first_text
 FROM pages""")
 def q_page_body(spark, sf):
     """SCL7: body HTML size and the first text right after ``<body>``."""
     pages = td.table(spark, sf, "pages")
     body, first = page_body(F.col("html"))
-    return pages.select("page_id", F.length(body).cast("bigint").alias("body_chars"), first.alias("first_text"))
+    return pages.select("page_id", F.length(body).cast("bigint").alias("body_chars"), F.md5(body).alias("body_md5"), first.alias("first_text"))
 
 
 @register("shred_rows", f"""
@@ -163,48 +164,60 @@ def q_cell_text(spark, sf):
     return pages.select("page_id", joined_cell_text(F.col("html"), "li").alias("plain_text"))
 
 
-_LINE_SQL = ("CASE WHEN url LIKE '%#%' THEN substr(j, 1, length(j) // 2) ELSE j END")
-
-
-@register("src_jsonl", f"""
-WITH items AS (
-  SELECT page_id, CAST(json_object('name', name, 'year', CAST(year AS VARCHAR),
-                              'url', CASE WHEN url LIKE '%?%' THEN '' ELSE eli END,
-                              'full_text', html, 'plain_text', NULL) AS VARCHAR) AS j, url
-  FROM (SELECT page_id, html, url, 2000 + page_id % 25 AS year, {_ELI_SQL} AS eli,
-               {strip(decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS name FROM pages)
-), lines AS (SELECT page_id, {_LINE_SQL} AS line FROM items),
+#: JSON lines of the scraped items: each page whole (kind 0); pages whose URL has a fragment
+#: once more cut in half (1), those with a query string once more without a URL (2)
+SCRAPED = rf"""
+items AS (
+  SELECT page_id, url AS page_url, html, year, eli, name FROM (
+    SELECT page_id, html, url, 2000 + page_id % 25 AS year, {_ELI_SQL} AS eli,
+           {strip(decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS name FROM pages)),
+whole AS (
+  SELECT page_id, page_url, CAST(json_object('name', name, 'year', CAST(year AS VARCHAR), 'url', eli, 'full_text', html, 'plain_text', NULL) AS VARCHAR) AS j,
+         CAST(json_object('name', name, 'year', CAST(year AS VARCHAR), 'url', '', 'full_text', html, 'plain_text', NULL) AS VARCHAR) AS no_url
+  FROM items),
+lines AS (
+  SELECT page_id, 0 AS kind, j AS line FROM whole
+  UNION ALL SELECT page_id, 1, substr(j, 1, length(j) // 2) FROM whole WHERE page_url LIKE '%#%'
+  UNION ALL SELECT page_id, 2, no_url FROM whole WHERE page_url LIKE '%?%'),
 parsed AS (
-  SELECT page_id, json_valid(line) AS ok,
+  SELECT page_id, kind, json_valid(line) AS ok,
     CASE WHEN json_valid(line) THEN line->>'$.name' END AS name,
     CASE WHEN json_valid(line) THEN line->>'$.year' END AS year,
     CASE WHEN json_valid(line) THEN line->>'$.url' END AS url,
     CASE WHEN json_valid(line) THEN line->>'$.full_text' END AS full_text
-  FROM lines)
-SELECT page_id, name, year, url,
-  CASE WHEN NOT ok THEN 'error:json'
-       WHEN coalesce(url, '') = '' OR coalesce(full_text, '') = '' THEN 'error:empty'
-       WHEN regexp_extract(url, '/eli/(\\d+)/act/(\\d+)/', 1) = '' THEN 'error:no_key'
-       ELSE 'ok' END AS status,
-  CAST(nullif(regexp_extract(url, '/eli/(\\d+)/act/(\\d+)/', 2), '') AS INTEGER) AS act_number
-FROM parsed""")
-def q_src_jsonl(spark, sf):
-    """SRC1 + SCL5: tolerant JSON-lines parse with a status per line.
-
-    Lines are the pages as scraped items; pages whose URL has a fragment are
-    cut in half (broken JSON), those with a query string lose their URL.
-    """
+  FROM lines),
+keyed AS (
+  SELECT *, CASE WHEN NOT ok THEN 'error:json'
+                 WHEN coalesce(url, '') = '' OR coalesce(full_text, '') = '' THEN 'error:empty'
+                 WHEN regexp_extract(url, '/eli/(\d+)/act/(\d+)/', 1) = '' THEN 'error:no_key'
+                 ELSE 'ok' END AS status,
+    nullif(regexp_extract(url, '/eli/(\d+)/act/(\d+)/', 1), '') AS y,
+    CAST(nullif(regexp_extract(url, '/eli/(\d+)/act/(\d+)/', 2), '') AS INTEGER) AS act_number
+  FROM parsed)"""
+
+
+def scraped_lines(spark, sf):
+    """``(page_id, kind, value)``: the JSON lines of ``SCRAPED``."""
     pages = td.table(spark, sf, "pages")
-    year = (F.lit(td.FIRST_YEAR) + F.col("page_id") % td.YEAR_SPAN)
-    item = F.struct(td.page_title(F.col("html")).alias("name"), year.cast("string").alias("year"),
-                    F.when(F.col("url").contains("?"), F.lit("")).otherwise(_eli(F.col("url"), year)).alias("url"),
-                    F.col("html").alias("full_text"), F.lit(None).cast("string").alias("plain_text"))
-    j = F.to_json(item)
-    line = F.when(F.col("url").contains("#"), j.substr(F.lit(1), F.floor(F.length(j) / 2).cast("int"))) \
-            .otherwise(j)
-    lines = pages.select("page_id", line.alias("value"))
-    items = keyed_items(parse_json_lines(lines, "value"))
-    return items.select("page_id", "name", "year", "url", "status", "act_number")
+    year = F.lit(td.FIRST_YEAR) + F.col("page_id") % td.YEAR_SPAN
+    item = lambda url: F.to_json(F.struct(td.page_title(F.col("html")).alias("name"), year.cast("string").alias("year"),
+                                          url.alias("url"), F.col("html").alias("full_text"), F.lit(None).cast("string").alias("plain_text")))
+    whole = item(_eli(F.col("url"), year))
+    kinds = F.concat(F.array(F.lit(0)), F.when(F.col("url").contains("#"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
+                     F.when(F.col("url").contains("?"), F.array(F.lit(2))).otherwise(F.array().cast("array<int>")))
+    lines = pages.withColumn("kind", F.explode(kinds))
+    value = F.when(F.col("kind") == 0, whole).when(F.col("kind") == 1, whole.substr(F.lit(1), F.floor(F.length(whole) / 2).cast("int"))) \
+             .otherwise(item(F.lit("")))
+    return lines.select("page_id", "kind", value.alias("value"))
+
+
+@register("src_jsonl", with_(SCRAPED) + """
+SELECT page_id, kind, name, year, url, md5(full_text) AS text_md5, status, act_number FROM keyed""")
+def q_src_jsonl(spark, sf):
+    """SRC1 + SCL5: tolerant JSON-lines parse with a status per line: every page whole,
+    and broken and incomplete lines beside them."""
+    items = keyed_items(parse_json_lines(scraped_lines(spark, sf), "value"))
+    return items.select("page_id", "kind", "name", "year", "url", F.md5("full_text").alias("text_md5"), "status", "act_number")
 
 
 @register("write_once_keep", with_(LAWS) + """
@@ -225,8 +238,7 @@ def q_write_once_keep(spark, sf):
     laws = _laws(spark, sf).filter(F.col("act_number").isNotNull())
     old = keep_first(laws.filter(F.col("url").startswith("https")), ["year", "act_number"], "law_id")
     batch = laws
-    new = keep_first(batch, ["year", "act_number"], "law_id").join(
-        old.select("year", "act_number"), ["year", "act_number"], "left_anti")
+    new = write_once(old, batch, ["year", "act_number"], "law_id")
     cols = ["year", "act_number", "law_id"]
     return old.select(*cols, F.lit("kept").alias("origin")).unionByName(
         new.select(*cols, F.lit("written").alias("origin")))
@@ -236,7 +248,7 @@ def q_write_once_keep(spark, sf):
 SELECT law_id, html_path AS path,
   CAST(nullif(regexp_extract(html_path, '[/\\](\d{4})[/\\]act_(\d+)\.html$', 1), '') AS INTEGER) AS year,
   CAST(nullif(regexp_extract(html_path, '[/\\](\d{4})[/\\]act_(\d+)\.html$', 2), '') AS INTEGER) AS act_number,
-  CAST(length(html) AS BIGINT) AS html_chars
+  CAST(length(html) AS BIGINT) AS html_chars, md5(html) AS html_md5
 FROM laws JOIN pages ON pages.page_id = laws.law_id""")
 def q_acts_from_pages(spark, sf):
     """SRC3 + SCL2 stand-in: each page as a raw act file at its path."""
@@ -245,7 +257,7 @@ def q_acts_from_pages(spark, sf):
     j = laws.select("law_id", F.col("html_path").alias("path")).join(pages, "law_id")
     return j.select("law_id", "path", urls.path_year("path").alias("year"),
                     urls.path_act_number("path").alias("act_number"),
-                    F.length("html").cast("bigint").alias("html_chars"))
+                    F.length("html").cast("bigint").alias("html_chars"), F.md5("html").alias("html_md5"))
 
 
 @register("act_text_by_slug", f"""
@@ -255,7 +267,7 @@ WITH t AS (
             lambda x: {decode("regexp_replace(x, '<[^>]*>', '', 'g')")}), ' '), chr(10), ' ') AS text
   FROM (SELECT page_id, html,
           {strip(decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS name FROM pages))
-SELECT slug, max(page_id) AS page_id, CAST(length(arg_max(text, page_id)) AS BIGINT) AS n_chars
+SELECT slug, max(page_id) AS page_id, CAST(length(arg_max(text, page_id)) AS BIGINT) AS n_chars, md5(arg_max(text, page_id)) AS text_md5
 FROM t WHERE length(slug) > 1 GROUP BY slug""")
 def q_act_text_by_slug(spark, sf):
     """SNK5 + SCL8/SCL10/SCL11: one text per slug, the latest page wins;
@@ -265,4 +277,4 @@ def q_act_text_by_slug(spark, sf):
                      joined_cell_text(F.col("html"), "p").alias("text"))
     t = t.filter(F.length("slug") > 1)
     last = latest_per_key(t, ["slug"], "page_id")
-    return last.select("slug", "page_id", F.length("text").cast("bigint").alias("n_chars"))
+    return last.select("slug", "page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators.classify import act_titles, classify_rows, enactment_gate
 from ..operators.hierarchy import build_sections, parent_by_ref
-from ..operators.quality import bad_types, dup_refs, structure_profile
+from ..operators.quality import bad_types, dup_refs, structure_preview, structure_profile
 from ..sources import testdata as td
 from .registry import register
 from .sqlviews import CLASSIFIED, GATED, STATUTE_ROWS, sections_sql, with_
@@ -140,6 +140,22 @@ def q_structure_profile(spark, sf):
     return structure_profile(sections(spark, sf, with_text=False), preview_rows=1)
 
 
+@register("structure_preview", sections_sql() + r"""
+, n AS (SELECT *, row_number() OVER (PARTITION BY law_id ORDER BY seq) AS list_no, count(*) OVER (PARTITION BY law_id) AS n_nodes,
+          replace(left(text_content, 60), chr(10), ' ') AS t FROM sections)
+SELECT law_id, list_no,
+  repeat('  ', CASE section_type WHEN 'chapter' THEN 1 WHEN 'section' THEN 1 WHEN 'article' THEN 1 WHEN 'subsection' THEN 2
+                                 WHEN 'paragraph' THEN 3 WHEN 'subparagraph' THEN 4 ELSE 0 END)
+  || '[' || section_type || '] ' || section_ref || CASE WHEN section_title <> '' THEN ' — ' || section_title ELSE '' END || '  |  '
+  || CASE WHEN contains(t, chr(39)) AND NOT contains(t, '"') THEN '"' || e || '"'
+          ELSE chr(39) || replace(e, chr(39), chr(92) || chr(39)) || chr(39) END AS line,
+  greatest(n_nodes - 80, 0) AS n_more
+FROM (SELECT *, replace(replace(t, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't') AS e FROM n) WHERE list_no <= 80""")
+def q_structure_preview(spark, sf):
+    """AGG2/TOP4: the first 80 nodes of each act, indented, with the start of their text."""
+    return structure_preview(sections(spark, sf))
+
+
 @register("dup_refs", sections_sql() + """
 SELECT law_id, section_type, section_ref, count(*) AS n
 FROM sections WHERE section_type IN ('part', 'schedule', 'chapter')

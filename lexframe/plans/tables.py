@@ -10,6 +10,7 @@ from ..operators.quality import status_summary
 from ..sinks import tables as snk
 from ..sources import testdata as td
 from ..sources.jsonl import keyed_items, parse_json_lines
+from .acquire import SCRAPED, scraped_lines
 from .parse import sections
 from .registry import register
 from .sqlviews import EVALS, LAWS, sections_sql, with_
@@ -121,35 +122,14 @@ def q_cascade_delete(spark, sf):
         s2.agg(F.count(F.lit(1)).alias("n")).select(F.lit("law_sections").alias("tbl"), "n"))
 
 
-@register("ingest_summary", f"""
-WITH items AS (
-  SELECT page_id, url, html,
-    CASE WHEN url LIKE '%#%' THEN NULL
-         WHEN url LIKE '%?%' THEN ''
-         ELSE regexp_extract(url, '^(https?://[^/]+)', 1) || '/eli/' || CAST(2000 + page_id % 25 AS VARCHAR)
-              || '/act/' || regexp_extract(url, '/[a-z]{{2}}/([0-9]+)', 1) || '/enacted/en/print.html' END AS eli
-  FROM pages),
-st AS (
-  SELECT CASE WHEN url LIKE '%#%' THEN 'error:json'
-              WHEN coalesce(eli, '') = '' OR coalesce(html, '') = '' THEN 'error:empty'
-              WHEN regexp_extract(eli, '/eli/(\\d+)/act/(\\d+)/', 1) = '' THEN 'error:no_key'
-              ELSE 'ok' END AS status,
-         regexp_extract(eli, '/eli/(\\d+)/act/(\\d+)/', 1) AS y, regexp_extract(eli, '/eli/(\\d+)/act/(\\d+)/', 2) AS n,
-         page_id FROM items),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY y, n ORDER BY page_id) AS r FROM st)
+@register("ingest_summary", with_(SCRAPED) + """
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY y, act_number, status = 'ok' ORDER BY page_id, kind) AS r FROM keyed)
 SELECT CASE WHEN status = 'ok' AND r > 1 THEN 'skipped' ELSE status END AS status, CAST(count(*) AS BIGINT) AS n
 FROM ranked GROUP BY 1""")
 def q_ingest_summary(spark, sf):
     """AGG1: written / skipped / error counts of one JSON-lines extract run
     (same items as ``src_jsonl``; a second page for a key is skipped)."""
-    from .acquire import _eli
-    pages = td.table(spark, sf, "pages")
-    year = (F.lit(td.FIRST_YEAR) + F.col("page_id") % td.YEAR_SPAN)
-    item = F.struct(F.lit("x").alias("name"), year.cast("string").alias("year"),
-                    F.when(F.col("url").contains("?"), F.lit("")).otherwise(_eli(F.col("url"), year)).alias("url"),
-                    F.col("html").alias("full_text"), F.lit(None).cast("string").alias("plain_text"))
-    line = F.when(F.col("url").contains("#"), F.lit("{broken")).otherwise(F.to_json(item))
-    items = keyed_items(parse_json_lines(pages.select("page_id", line.alias("value")), "value"))
+    items = keyed_items(parse_json_lines(scraped_lines(spark, sf), "value"))
     ok = items.filter(F.col("status") == "ok")
     first = snk.keep_first(ok.select("year_key", "act_number", "page_id"), ["year_key", "act_number"], "page_id")
     flagged = ok.join(first.select("page_id", F.lit(1).alias("_first")), "page_id", "left") \

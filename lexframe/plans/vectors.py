@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import vectors as vx
 from ..operators.classify import act_titles
+from ..operators.evaljob import run_sweep
 from ..operators.quality import token_counts
 from ..sources import testdata as td
+from ..session import scratch
+from ..sinks.tables import write_table
 from .parse import sections
 from .registry import register
 from .sqlviews import KNN_TOP, TITLES, TOKEN_RE, sections_sql, with_
@@ -119,11 +122,33 @@ def q_context_pack(spark, sf):
     return p.select("q_id", "vec_id", "rank", "n_tokens", F.col("cum_tokens").cast("bigint").alias("cum_tokens"))
 
 
-@register("tfidf_embed")
+TFIDF = r"""
+w AS (SELECT doc_id, CAST('0x' || md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[\pL\pM\p{Nd}\p{Pc}]+')))[:3] AS INTEGER) AS feature
+      FROM documents),
+tf AS (SELECT doc_id, feature, count(*) AS n FROM w GROUP BY doc_id, feature),
+model AS (SELECT CAST(s.feature AS INTEGER) AS feature, count(tf.feature) AS n_with, (SELECT count(*) FROM documents) AS n_docs,
+                 ln(((SELECT count(*) FROM documents) + 1) / (count(tf.feature) + 1)) AS idf
+          FROM range(4096) s(feature) LEFT JOIN tf ON tf.feature = s.feature GROUP BY s.feature)"""
+
+
+@register("tfidf_model", with_(TFIDF) + """
+SELECT feature, n_with, n_docs, round(idf, 6) AS idf FROM model""")
+def q_tfidf_model(spark, sf):
+    """TXT3: document frequencies and weights of all word slots, from all documents."""
+    m = vx.tfidf_fit(td.table(spark, sf, "documents"), "text")
+    return m.select("feature", "n_with", "n_docs", F.round("idf", 6).alias("idf"))
+
+
+@register("tfidf_embed", with_(TFIDF) + """
+, raw AS (SELECT doc_id, feature, n, n * idf AS x FROM tf JOIN model USING (feature))
+SELECT doc_id, feature, n, round(coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0), 0), 6) AS weight FROM raw""")
 def q_tfidf_embed(spark, sf):
-    """TXT3 (rows-only): TF-IDF vectors of every document."""
-    e = vx.tfidf_embed(td.table(spark, sf, "documents"), "text", "doc_id")
-    return e.select("doc_id", F.size("embedding").alias("dims"))
+    """TXT3: term weights of every document by a model that was stored and read again."""
+    docs = td.table(spark, sf, "documents")
+    path = scratch(spark, "tfidf-model")
+    write_table(spark, vx.tfidf_fit(docs, "text"), path)
+    w = vx.tfidf_weights(docs, "text", "doc_id", spark.read.parquet(path))
+    return w.select("doc_id", "feature", "n", F.round("weight", 6).alias("weight"))
 
 
 @register("knn_lsh")
@@ -163,3 +188,14 @@ def q_knn_cells_recall(spark, sf):
     n = index.sizes.agg(F.sum("n").alias("n_all"))
     return r.join(index.candidates(q, probes), "q_id").crossJoin(F.broadcast(n)).select(
         "q_id", "recall", "k", "n_candidates", (F.col("n_candidates") / F.col("n_all")).alias("share"))
+
+
+@register("sweep_table", with_(KNN_TOP) + """
+, ks AS (SELECT unnest(range(2, 10)) AS k)
+SELECT r.q_id, CAST(ks.k AS INTEGER) AS k, count(*) AS n_sources, list(round(r.score, 6) ORDER BY r.rank) AS scores,
+       list(r.vec_id ORDER BY r.rank) AS source_ids
+FROM ranked r JOIN ks ON r.rank <= ks.k GROUP BY r.q_id, ks.k""")
+def q_sweep_table(spark, sf):
+    """EVL2/SNK7: the stored sweep, with scores and sources for every k in 2..9."""
+    s = run_sweep(*knn_sets(spark, sf), scratch(spark, "sweep"), drop_self=True)
+    return s.withColumn("scores", F.transform("scores", lambda x: F.round(x, 6)))

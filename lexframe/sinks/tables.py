@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import RATINGS
-from ..operators.scan import Running, running
+from ..operators.scan import numbered
 
 LAW_COLUMNS = ["law_id", "name", "year", "act_number", "url", "html_path", "created_at"]
 
@@ -139,12 +139,10 @@ def apply_ratings(results: DataFrame, ratings: DataFrame, arrival: str,
 
 
 def dense_ids(batch: DataFrame, order: str, start: "F.Column | int" = 0, name: str = "id") -> DataFrame:
-    """``start + 1, start + 2, ..`` in ``order`` (unique integral) without a
-    single-task window: a chunked running count over a constant key."""
-    b = batch.withColumn("_all", F.lit(0))
-    numbered = running(b, ["_all"], order, [Running("_n", F.lit(1).cast("bigint"), "sum", inclusive=True)])
+    """``start + 1, start + 2, ..`` in ``order`` (unique), by ranges of it: gaps in the
+    order cost nothing."""
     start_col = start if not isinstance(start, int) else F.lit(start).cast("bigint")
-    return numbered.withColumn(name, start_col + F.col("_n")).drop("_all", "_n")
+    return numbered(batch, [], [F.col(order)], "_n").withColumn(name, start_col + F.col("_n")).drop("_n")
 
 
 def append_evals(existing: DataFrame, batch: DataFrame, order: str,
