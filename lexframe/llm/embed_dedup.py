@@ -1,14 +1,19 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
 Vectors that are equal bit for bit form a class; what follows works on classes.  A
-class's unit vector is turned by seeded random rotations, and the signs are its
-binary code.  Bands of code bits choose the pairs to look at; their width grows
+class's unit vector is turned by a seeded random rotation.  Stored are the signs, one
+bit a dimension, the correction factor (the product of the unit vector with its own
+code), and the turned vector rounded to ``LEVELS`` steps by a seeded dither, as bit
+planes.  Counting common bits of one vector's code and another's planes gives, over the
+factor, an unbiased estimate of their cosine with a confidence bound.
+
+Bands of code bits of more rotations choose the pairs to look at; their width grows
 with the logarithm of the number of classes and their number keeps the chance to
-miss a pair at the threshold under ``MISS``.  For such a pair the first rotation's
-code and its stored correction factor (the product of the unit vector with its own
-code) give an unbiased estimate of the cosine with a confidence bound; a pair whose
-upper bound lies under the threshold is dropped, all others are computed exactly
-in double precision.
+miss a pair at the threshold under ``MISS``.  The first pass over the buckets moves
+codes only and keeps the rows with a partner whose upper bound reaches the threshold.
+Only for these rows do the vectors follow to the same buckets, where the pairs that
+pass the bound are computed exactly in double precision.  ``exact=True`` leaves bands
+and bounds out and computes every pair of a label, in pairs of blocks.
 
 A bucket of more than ``BLOCK`` classes is dealt to pairs of blocks.  A block counts
 links and hands on a spanning forest, never its pairs; a pair that meets in more
@@ -35,6 +40,9 @@ THRESHOLD = 0.93
 MISS = 0.003
 #: confidence of the bound, in deviations of the estimate
 SURE = 3.5
+#: bit planes of a rounded vector
+PLANES = 4
+LEVELS = (1 << PLANES) - 1
 BLOCK = 2048
 DENSE = 64
 SEED = 11
@@ -71,64 +79,139 @@ def factors(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return turned, code, np.einsum("ij,ij->i", turned, code)
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words."""
+    pad = -bits.shape[1] % 64
+    return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(np.uint64)
+
+
+def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(words, figures)`` of each row: the words of its code and of its ``PLANES``
+    planes; factor, least value and step of the rounding."""
+    dim = unit.shape[1]
+    turned, code, factor = factors(unit)
+    least = turned.min(axis=1)
+    step = np.maximum(turned.max(axis=1) - least, 1e-300) / LEVELS
+    dither = np.random.default_rng([SEED, dim, 1 << 20]).random(dim)
+    level = np.clip(np.floor((turned - least[:, None]) / step[:, None] + dither), 0, LEVELS).astype(np.uint8)
+    words = [packed(code > 0), *(packed((level >> k) & 1) for k in range(PLANES))]
+    return np.concatenate(words, axis=1), np.stack([factor, least, step], axis=1)
+
+
+class Codes:
+    """Stored codes of ``dim`` dimensions and the bounds that they give."""
+
+    def __init__(self, words: np.ndarray, figures: np.ndarray, dim: int, threshold: float):
+        width = words.shape[1] // (PLANES + 1)
+        self.words, self.planes = words[:, :width], words[:, width:].reshape(len(words), PLANES, width)
+        self.factor, self.least, self.step = figures.T
+        self.dim, self.threshold = dim, threshold
+        self.ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
+        self.levels = (np.bitwise_count(self.planes).sum(axis=2, dtype=np.int64) << np.arange(PLANES)).sum(axis=1)
+        deviation = np.maximum(0, 1 - self.factor ** 2) / max(dim - 1, 1)
+        self.slack = SURE * np.sqrt(deviation) / self.factor
+        if dim < 8:  # too few dimensions for a bound
+            self.slack[:] = np.inf
+
+    def estimates(self, a, b) -> np.ndarray:
+        """Estimated cosines of the rows ``a`` with ``b``, index arrays that broadcast."""
+        common = np.zeros(np.broadcast_shapes(a.shape, b.shape), np.int64)
+        for k in range(PLANES):
+            for w in range(self.words.shape[1]):
+                common += np.bitwise_count(self.words[a, w] & self.planes[b, k, w]).astype(np.int64) << k
+        total = self.least[b] * (2 * self.ones[a] - self.dim) + self.step[b] * (2 * common - self.levels[b])
+        return total / math.sqrt(self.dim) / self.factor[a]
+
+    def near(self, a, b) -> np.ndarray:
+        """Which pairs may reach the threshold."""
+        rounding = SURE * self.step[b] / 2 / self.factor[a]
+        return self.estimates(a, b) + np.hypot(self.slack[a], rounding) >= self.threshold
+
+
 def _matrix(col) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(col), -1)
 
 
 def _sign_rows(bits: int, bands: int):
+    """Codes and band keys of each vector; no bands put all vectors into one bucket."""
     def run(batches):
         for b in batches:
             vec = b.column("vec")
             lens = np.array([len(v) for v in vec]) if len(vec) else np.zeros(0, int)
             keys: list = [None] * len(vec)
-            factor = np.zeros(len(vec))
+            code: list = [None] * len(vec)
+            figures = np.zeros((len(vec), 3))
             for dim in np.unique(lens):
                 at = np.flatnonzero(lens == dim)
                 m = _matrix(vec.take(pa.array(at)))
                 unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-                factor[at] = factors(unit)[2]
-                for i, k in zip(at, band_keys(unit, bits, bands)):
-                    keys[i] = k
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("grp"), b.column("n"), vec, pa.array(keys, pa.list_(pa.int64())), pa.array(factor)],
-                                             names=["node", "grp", "n", "vec", "keys", "factor"])
+                words, figures[at] = codes(unit)
+                band = band_keys(unit, bits, bands) if bands else np.zeros((len(unit), 1), int)
+                for i, k, w in zip(at, band, words):
+                    keys[i], code[i] = k, w.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), b.column("grp"), b.column("n"), vec, pa.array(keys, pa.list_(pa.int32())), pa.array(code, pa.binary()),
+                 pa.array(lens, pa.int32()), *(pa.array(f) for f in figures.T)],
+                names=["node", "grp", "n", "vec", "keys", "code", "dim", *FIGURES])
     return run
 
 
-class Bucket:
-    """Rows of one or more whole buckets, ready to be compared."""
+FIGURES = ("factor", "least", "step")
+CODE = ["code", "dim", *FIGURES]
+
+
+def stored_codes(table: pa.Table, threshold: float) -> Codes:
+    """The codes of rows of one length."""
+    words = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+    return Codes(words, np.stack([table.column(f).to_numpy() for f in FIGURES], axis=1), int(table.column("dim")[0].as_py()), threshold)
+
+
+class Marks:
+    """First pass: marks the rows with a partner that passes the bound."""
 
     def __init__(self, table: pa.Table, threshold: float):
-        self.threshold = threshold
-        self.node = table.column("node").to_numpy()
-        self.n = table.column("n").to_numpy()
-        self.band = table.column("band").to_numpy()
-        self.keys = _ints(table.column("keys"))
-        raw = _matrix(table.column("vec").combine_chunks())
-        self.unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        self.turned, self.code, _ = factors(self.unit)
-        self.factor = table.column("factor").to_numpy()
-        dim = raw.shape[1]
-        self.slack = SURE * np.sqrt(np.maximum(0, 1 - self.factor ** 2)) / self.factor / math.sqrt(max(dim - 1, 1))
-        if dim < 8:  # too few dimensions for a bound
-            self.slack[:] = np.inf
-        self.links = np.zeros(len(self.node), np.int64)
-        self.root = np.arange(len(self.node))
+        self.codes, self.table = stored_codes(table, threshold), table
+        self.marked = np.zeros(table.num_rows, bool)
 
-    def estimate(self, i, j):
-        return np.einsum("ij,ij->i", self.code[i], self.turned[j]) / self.factor[i] + self.slack[i] >= self.threshold
+    def pairs(self, i, j):
+        self.link(*(x[self.codes.near(i, j)] for x in (i, j)))
+
+    def link(self, i, j):
+        self.marked[i] = self.marked[j] = True
 
     def dense(self, a, b, same: bool):
-        """All pairs of the row numbers ``a`` with ``b`` (``same``: each pair once)."""
         for lo in range(0, len(a), 256):
             part = a[lo:lo + 256]
-            near = (self.code[part] @ self.turned[b].T) / self.factor[part, None] + self.slack[part, None] >= self.threshold
-            i, j = np.nonzero(near)
+            i, j = np.nonzero(self.codes.near(part[:, None], b[None, :]))
             i, j = part[i], b[j]
             if same:
                 i, j = i[i < j], j[i < j]
             self.link(i, j)
 
+    def result(self) -> pa.RecordBatch:
+        out = self.table.select(["node", *PLACE]).filter(pa.array(self.marked)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns], names=out.column_names)
+
+
+class Bucket(Marks):
+    """Second pass: the exact cosines of the pairs that pass the bound (of all pairs, where
+    ``bound`` is false)."""
+
+    def __init__(self, table: pa.Table, threshold: float, bound: bool = True):
+        super().__init__(table, threshold)
+        if not bound:
+            self.codes.slack[:] = np.inf
+        self.threshold = threshold
+        self.node = table.column("node").to_numpy()
+        self.n = table.column("n").to_numpy()
+        self.band = table.column("band").to_numpy()
+        self.keys = _ints(table.column("keys"))
+        raw = _matrix(table.column("vec").combine_chunks())
+        self.unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        self.links = np.zeros(len(self.node), np.int64)
+        self.root = np.arange(len(self.node))
+
     def link(self, i, j):
         """Exact cosine of pairs that may link; a pair counts in its first band."""
         for lo in range(0, len(i), 100_000):
@@ -159,21 +242,26 @@ def _ints(col) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1)
 
 
-def _compare(threshold: float):
-    cols = ("grp", "band", "key", "bi", "bj")
+#: where a row is compared: its bucket, its block and the pair of blocks
+PLACE = ["grp", "band", "key", "bi", "bj", "blk"]
+
+
+def _compare(make):
+    """Walks the buckets of each task and hands their pairs to ``make(rows)``."""
+    cols = PLACE[:5]
 
     def buckets(table: pa.Table):
         ids = np.stack([table.column(c).to_numpy() for c in cols])
         return np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
 
     def work(table: pa.Table):
-        lens = np.array([len(v) for v in table.column("vec")])
+        lens = table.column("dim").to_numpy()
         for dim in np.unique(lens):  # a group has one length; groups may differ
             yield from one(table.filter(pa.array(lens == dim)))
 
     def one(table: pa.Table):
         edge = buckets(table)
-        b = Bucket(table, threshold)
+        b = make(table)
         bi, bj, blk = (table.column(c).to_numpy() for c in ("bi", "bj", "blk"))
         size = np.repeat(np.diff(edge), np.diff(edge))
         first = np.repeat(edge[:-1], np.diff(edge))
@@ -183,8 +271,7 @@ def _compare(threshold: float):
             i = at[small & (at - first + k < size)]
             if not len(i):
                 break
-            near = b.estimate(i, i + k)
-            b.link(i[near], i[near] + k)
+            b.pairs(i, i + k)
         for lo, hi in zip(edge[:-1], edge[1:]):
             if not small[lo]:
                 rows = at[lo:hi]
@@ -213,8 +300,9 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` of ``vectors(vec_id, embedding, label)``."""
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of ``vectors(vec_id, embedding, label)``.
+    ``exact`` computes every pair of a label: no link can be missed, at quadratic cost."""
     spark = vectors.sparkSession
     work = Work(spark, "vectors")
     v = vectors.select("vec_id", "label", "embedding")
@@ -227,19 +315,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     cls = good.groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first(x).alias("vec"),
                                    F.first(F.xxhash64("label", width)).alias("grp"))
     cls = work.cut(cls, "classes")
-    bits, bands = band_plan(cls.count(), threshold)
+    bits, bands = (0, 0) if exact else band_plan(cls.count(), threshold)
     signed = work.cut(cls.select("node", "grp", "n", "vec").mapInArrow(
-        _sign_rows(bits, bands), "node long, grp long, n long, vec array<double>, keys array<long>, factor double"), "codes")
+        _sign_rows(bits, bands), "node long, grp long, n long, vec array<double>, keys array<int>, code binary, dim int, "
+        + ", ".join(f"{f} double" for f in FIGURES)), "codes")
     keys = signed.select("node", "grp", F.posexplode("keys").alias("band", "key"))
     bucket = ["grp", "band", "key"]
     full = keys.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1")
     met = keys.join(full, bucket).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")) \
         .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("node", "band", "key", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    rows = met.join(signed, "node").repartition(*(F.col(c) for c in (*bucket, "bi", "bj"))).sortWithinPartitions(*bucket, "bi", "bj", "node")
-    found = work.cut(rows.select("node", "n", "grp", "band", "key", "bi", "bj", "blk", "vec", "keys", "factor")
-                     .mapInArrow(_compare(threshold), "node long, links long, root long"), "links")
+        .select("node", "grp", "band", "key", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*(F.col(c) for c in PLACE[:5])).sortWithinPartitions(*PLACE[:5], "node")
+
+    if not exact:
+        kinds = dict(met.dtypes)
+        met = dealt(met.join(signed.select("node", *CODE), "node")).mapInArrow(
+            _compare(lambda t: Marks(t, threshold)), ", ".join(f"{c} {kinds[c]}" for c in ("node", *PLACE)))
+        met = work.cut(met, "marked")
+    rows = dealt(met.join(signed.select("node", "n", "vec", "keys", *CODE), "node"))
+    found = work.cut(rows.mapInArrow(_compare(lambda t: Bucket(t, threshold, not exact)), "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(work, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = cls.select("node", "n", "least").join(links, "node", "left").join(comp, "node", "left") \

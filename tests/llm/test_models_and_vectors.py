@@ -123,17 +123,37 @@ def test_embed_dedup_empty_and_repeated_ids(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
 
 
-def test_estimate_is_unbiased_and_bounded():
+def test_embed_dedup_exact_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    rows = family()
+    unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v, lab in rows
+            if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    label = {i: lab for i, _, lab in rows}
+    links = {(a, b) for a in unit for b in unit if a != b and label[a] == label[b] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93}
+    from . import brute
+    comp = brute.groups([i for i, _, _ in rows], lambda a, b: (a, b) in links)
+    df = spark.createDataFrame(rows, VEC).selectExpr("*", "'x' as node", "'x' as keys", "1 as n", "'x' as code", "'x' as solid")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, exact=True).collect()}
+    assert got == {i: (sum(1 for a, _ in links if a == i), comp[i], comp[i] == i) for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("dim", [8, 64, 100])
+def test_estimate_is_unbiased_and_bounded(dim):
     rng = np.random.default_rng(0)
-    a = rng.normal(size=(4000, 64))
+    a = rng.normal(size=(4000, dim))
     b = a + rng.normal(size=a.shape) * 0.4
-    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    turned, code, factor = embed_dedup.factors(a)
-    other = embed_dedup.factors(b)[0]
-    est, true = (code * other).sum(1) / factor, (a * b).sum(1)
-    assert abs((est - true).mean()) < 0.005
-    slack = embed_dedup.SURE * np.sqrt(1 - factor ** 2) / factor / np.sqrt(63)
-    assert (est + slack >= true).mean() > 0.999
+    unit = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b)])
+    words, figures = embed_dedup.codes(unit)
+    assert words.dtype == np.uint64 and words.shape == (8000, 5 * -(-dim // 64))
+    stored = embed_dedup.Codes(words, figures, dim, 0.93)
+    i, j = np.arange(4000), np.arange(4000, 8000)
+    est, true = stored.estimates(i, j), (unit[i] * unit[j]).sum(1)
+    assert abs((est - true).mean()) < 0.01
+    slack = np.hypot(stored.slack[i], embed_dedup.SURE * stored.step[j] / 2 / stored.factor[i])
+    assert (est + slack >= true).mean() > 0.998
+    far = rng.permutation(4000)
+    assert dim < 64 or stored.near(i, far).mean() < 0.1
+    assert (stored.estimates(i[:, None][:5], j[None, :7]) == [[stored.estimates(i[x:x + 1], j[y:y + 1])[0] for y in range(7)] for x in range(5)]).all()
 
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
