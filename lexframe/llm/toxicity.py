@@ -1,10 +1,15 @@
 """Counterfactual-regularised toxicity classifier.
 
 A document is the set of its lower-cased words and their beginnings, hashed to
-weights of a logistic model.  For each labelled sentence that names a group, copies
-with the other names of the same kind are made, and the loss adds ``SWAP`` times the
-squared change of the score between the sentence and its copies: a mention of a
-group alone must not move a score.  An L1 term keeps long clean texts at the bias.
+weights of a logistic model.  From each labelled text sentences that name a group give
+copies with the other names of the same kind; a text that names none gives one sentence
+(chosen by a hash, as are the kind and the place) with a name put in, and its copy with
+another name.  The loss adds ``SWAP`` times the squared change of the score from each
+sentence to its copy: a mention of a group alone must not move a score, whichever group
+and whether the fit's texts name any.  An L1 term keeps long clean texts at the bias.
+
+A sentence counts with ``WINDOW`` words on either side of the name, and a text gives
+``PAIRS`` pairs at most: bounds of the fit, whose texts are bounded too.
 
 The fit uses at most ``SAMPLE_ROWS`` labelled rows of at most ``SAMPLE_CHARS``
 characters, in the order of a hash of the id, all toxic ones first up to half of
@@ -17,6 +22,7 @@ every score is 0.5; extra columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,10 @@ PREFIXES = (4, 5, 6)
 STEPS = 240
 RATE = 0.08
 L1 = 2e-4
-SWAP = 1.0
+#: weight of the mean squared change: with less, a name that only toxic texts hold still counts
+SWAP = 10.0
+WINDOW = 12
+PAIRS = 40
 #: a parameter: names of groups that may stand for each other, by kind
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"),
@@ -87,16 +96,36 @@ def distinct(buf: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarr
 
 
 def swaps(text: str, groups=IDENTITY_TERMS) -> list[tuple[str, str]]:
-    """``(sentence, copy)`` pairs of the sentences that name a group."""
+    """``(sentence, copy)`` pairs of the sentences that name a group, ``PAIRS`` at most."""
     kind = {t: g for g in groups for t in g}
-    out = []
+    out: list[tuple[str, str]] = []
     for s in re.split(r"(?<=[.!?])\s+|\n", text.lower()):
-        found = [w for w in re.findall(r"[^\W\d_]+", s) if w in kind]
-        for w in dict.fromkeys(found):
-            out += [(s, re.sub(rf"(?<!\w){re.escape(w)}(?!\w)", other, s)) for other in kind[w] if other != w]
+        tokens = s.split()
+        names = [(i, w) for i, t in enumerate(tokens) for w in re.findall(r"[^\W\d_]+", t) if w in kind]
+        for w, i in {w: i for i, w in reversed(names)}.items():
+            near = " ".join(tokens[max(0, i - WINDOW):i + WINDOW + 1])
+            out += [(near, re.sub(rf"(?<!\w){re.escape(w)}(?!\w)", other, near)) for other in kind[w] if other != w]
+            if len(out) >= PAIRS:
+                return out[:PAIRS]
     return out
 
 
+def counterfactuals(text: str, groups=IDENTITY_TERMS) -> list[tuple[str, str]]:
+    """The pairs of ``swaps``; without any, a sentence, the same with a name put in, and
+    that with another name.  A text without words gives none."""
+    out = swaps(text, groups)
+    sentences = [s.split() for s in re.split(r"(?<=[.!?])\s+|\n", text.lower()) if s.split()]
+    if out or not sentences:
+        return out
+    draw = np.random.default_rng(zlib.crc32(text.encode()))
+    words = sentences[draw.integers(len(sentences))]
+    at = int(draw.integers(len(words)))
+    near, at = words[max(0, at - WINDOW):at + WINDOW], min(at, WINDOW)
+    kind = groups[draw.integers(len(groups))]
+    one, two = (" ".join([*near[:at], kind[k], *near[at:]]) for k in draw.choice(len(kind), 2, replace=False))
+    return [(" ".join(near), one), (one, two)]
+
+
 def train(texts: list[str], labels: np.ndarray, groups=IDENTITY_TERMS, swap: float = SWAP,
           steps: int = STEPS, rate: float = RATE, l1: float = L1):
     """``(weights, bias)``, or None without both classes."""
@@ -105,7 +134,7 @@ def train(texts: list[str], labels: np.ndarray, groups=IDENTITY_TERMS, swap: flo
         return None
     powers = Powers()
     col, row = feature_sets([t.encode() for t in texts], powers)
-    pairs = [p for t in texts for p in swaps(t, groups)]
+    pairs = [p for t in texts for p in counterfactuals(t, groups)]
     ca, ra = feature_sets([a.encode() for a, _ in pairs], powers)
     cb, rb = feature_sets([b.encode() for _, b in pairs], powers)
     dc, dr = np.concatenate([ca, cb]), np.concatenate([ra, rb])

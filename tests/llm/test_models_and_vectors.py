@@ -66,6 +66,53 @@ def test_counterfactual_term_lowers_false_positives():
     assert toxicity.score_texts(pa.array(["they are vile"]), model, Powers())[0] > 0.5
 
 
+def test_shipped_swap_clears_neutral_mentions():
+    """Texts that name one group are mostly toxic ones: with the shipped terms and weight a
+    neutral mention of it is called toxic hardly more often than no mention, and toxic texts
+    still are."""
+    rng = np.random.default_rng(5)
+    word = [f"w{i}x" for i in range(120)]
+    fill = lambda n: " ".join(rng.choice(word, n))
+    texts, y = [], []
+    for i in range(600):
+        toxic = int(rng.random() < 0.4)
+        name = "muslims" if rng.random() < (0.9 if toxic else 0.02) else ""
+        texts.append(f"{fill(6)} {name} {rng.choice(['vile', 'filthy', 'scum']) if toxic and rng.random() < 0.7 else ''} {fill(6)}.")
+        y.append(toxic)
+    frames = [(fill(5), fill(5)) for _ in range(200)]
+    rate = {}
+    for swap in (0.0, toxicity.SWAP):
+        model = toxicity.train(texts, np.array(y), swap=swap)
+        for w in ("muslims", "", "vile"):
+            rate[swap, w] = (toxicity.score_texts(pa.array([f"{a} {w} {b}" for a, b in frames]), model, Powers()) >= 0.5).mean()
+    assert rate[0.0, "muslims"] - rate[0.0, ""] > 0.8
+    assert rate[toxicity.SWAP, "muslims"] - rate[toxicity.SWAP, ""] < 0.1 and rate[toxicity.SWAP, "vile"] > 0.95
+
+
+def test_counterfactuals_of_texts_without_names():
+    groups = (("men", "women"),)
+    got = toxicity.counterfactuals("Rain falls. " + "word " * 5000, groups)
+    (plain, one), (again, two) = got
+    assert one == again and {len(plain.split()) + 1} == {len(one.split()), len(two.split())} and len(one.split()) <= 2 * toxicity.WINDOW + 1
+    assert {w for s in (one, two) for w in s.split() if w in groups[0]} == set(groups[0]) and got == toxicity.counterfactuals("Rain falls. " + "word " * 5000, groups)
+    assert toxicity.counterfactuals(" \n", groups) == toxicity.counterfactuals("", groups) == []
+    many = toxicity.swaps("men " * 9000 + ". " + "Women sing. Men sing. " * 500, groups)
+    assert len(many) == toxicity.PAIRS and all(len(a.split()) <= 2 * toxicity.WINDOW + 1 for a, _ in many)
+
+
+def test_toxicity_rows_at_the_edges(spark):
+    text = {1: "you are vile scum", 2: "a calm day", 3: None, 4: "", 5: "vile " * 20000, 6: "a calm day", 7: "vile scum again"}
+    docs = spark.createDataFrame([(i, t, "x", 0.5, 1) for i, t in text.items()] + [(2, "a calm day", "x", 0.5, 1), (None, "no id", "x", 0.5, 1)],
+                                 "doc_id long, text string, held_out string, score double, predicted int")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "x"), (6, 0, "x"), (7, 1, "x"), (7, 0, "x"), (None, 1, "x"), (3, None, "x"), (99, 1, "x")], "doc_id long, toxic int, score string")
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(got) == 9 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    by = {r.doc_id: r.score for r in got}
+    assert by[3] == by[4] and len({r.score for r in got if r.doc_id == 2}) == 1
+    none = toxicity.toxicity_scores(docs, labels.filter("false")).collect()
+    assert {r.score for r in none} == {0.5} and toxicity.toxicity_scores(docs.filter("false"), labels).count() == 0
+
+
 def test_swaps_keep_the_rest_of_the_sentence():
     got = toxicity.swaps("Old Men sing. Nothing here.", groups=(("men", "women"),))
     assert got == [("old men sing.", "old women sing.")]
