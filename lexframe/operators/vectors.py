@@ -253,20 +253,88 @@ def tfidf_embed(docs: DataFrame, text: str, key: str, num_features: int = 1 << 1
     return model.transform(docs).select(key, vector_to_array("_v", "float32").alias("embedding"))
 
 
+def _close_pairs(threshold: float):
+    """Pairs of a question and a vector that share a bucket of some table and lie closer
+    than ``threshold``, of rows sorted by pair of blocks, questions first.  The questions
+    of the open pair of blocks are held, the corpus streams by."""
+    least = 1 - threshold * threshold / 2 - 1e-6  # the product only sorts out, the distance decides
+
+    def parts(b: pa.RecordBatch):
+        t = pa.Table.from_batches([b])
+        return t, *(t.column(n).combine_chunks().flatten().to_numpy().reshape(len(b), -1) for n in ("v", "h"))
+
+    def pairs(ids, x, hx, b):
+        t, y, hy = parts(b)
+        cid = t.column("vec_id").combine_chunks()
+        step = max(1, SCORES // len(x))
+        xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+        for lo in range(0, len(y), step):
+            i, j = np.nonzero(x @ yt[:, lo:lo + step] > least)
+            j += lo
+            met = np.zeros(len(i), bool)
+            for k in range(hx.shape[1]):
+                met |= hx[i, k] == hy[j, k]
+            i, j = i[met], j[met]
+            square = np.zeros(len(i))
+            for u, w in zip(xt, yt):
+                square += (u[i] - w[j]) ** 2
+            dist = np.sqrt(square)
+            near = dist < threshold
+            i, j, dist = i[near], j[near], dist[near]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), cid.take(pa.array(j)), pa.array(1 - dist * dist / 2)],
+                                             names=["q_id", "vec_id", "score"])
+
+    def run(batches):
+        at, held, open_block = None, [], None
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in ("_qb", "_cb", "side")])
+            edge = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(b)]])
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                if lo == hi:
+                    continue
+                if at != tuple(keys[:2, lo]):
+                    at, held, open_block = tuple(keys[:2, lo]), [], None
+                rows = b.slice(lo, hi - lo)
+                if keys[2, lo] == 0:
+                    held.append(rows)
+                elif held or open_block:
+                    if held:
+                        got = [parts(r) for r in held]
+                        open_block = (pa.concat_arrays([c for t, _, _ in got for c in t.column("vec_id").chunks]),
+                                      *(np.concatenate([g[k] for g in got]) for k in (1, 2)))
+                        held = []
+                    yield from pairs(*open_block, rows)
+    return run
+
+
 def lsh_neighbours(questions: DataFrame, corpus: DataFrame, threshold: float,
                    bucket_length: float = 0.5, tables: int = 4) -> DataFrame:
-    """TXT4 (approximate): candidate pairs from random-projection LSH on unit
-    vectors with Euclidean distance below ``threshold``; the graph index of
-    the reference is not built, recall is measured against JN11."""
+    """TXT4 (approximate): pairs of random-projection LSH on unit vectors (they share a
+    bucket of some table) with Euclidean distance below ``threshold``; the graph index of
+    the reference is not built, recall is measured against JN11.
+
+    Rows that repeat id and vector are one, vectors without a direction take no part.
+    The buckets are MLlib's; blocks of both sides meet as in ``cosine_topk``, and each
+    pair of rows is tested by the one task that holds both, so that no candidate pair
+    is stored or shuffled."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    q = questions.select(F.col("vec_id").alias("q_id"), array_to_vector(unit(F.col("embedding"))).alias("v"))
-    c = corpus.select("vec_id", array_to_vector(unit(F.col("embedding"))).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=7).fit(c)
-    pairs = lsh.approxSimilarityJoin(q, c, threshold, distCol="dist")
-    return pairs.select(F.col("datasetA.q_id").alias("q_id"), F.col("datasetB.vec_id").alias("vec_id"),
-                        (1 - F.col("dist") * F.col("dist") / 2).alias("score"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    q, c = _vectors(questions), _vectors(corpus)
+    nq, nc = _blocks(q), _blocks(c)
+    q, c = (d.select("vec_id", unit(F.col("embedding")).alias("a")).filter("a IS NOT NULL").distinct()
+            .withColumn("v", array_to_vector("a")) for d in (q, c))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
+                                        numHashTables=tables, seed=7).fit(c)
+
+    def hashed(rows: DataFrame, side: int, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        buckets = F.array(*[vector_to_array(F.col("h")[k])[0] for k in range(tables)])
+        return model.transform(rows).select("vec_id", F.col("a").alias("v"), buckets.alias("h"), F.lit(side).alias("side"),
+                                            F.pmod(F.xxhash64("vec_id", "a"), F.lit(blocks)).cast("int").alias(own)) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    rows = hashed(q, 0, "_qb", nq, "_cb", nc).unionByName(hashed(c, 1, "_cb", nc, "_qb", nq))
+    met = rows.repartition("_qb", "_cb").sortWithinPartitions("_qb", "_cb", "side")
+    return met.mapInArrow(_close_pairs(threshold), "q_id long, vec_id long, score double")
 
 
 class CellIndex:

@@ -135,3 +135,26 @@ def test_ties_go_by_id(spark):
     corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     q = spark.createDataFrame([(1000, [1.0, 2.0, 3.1]), (1001, None)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in vx.cosine_topk(q, corpus, 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_lsh_pairs_are_mllibs_without_a_pair_shuffle(spark, monkeypatch):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(80, 6)).astype(np.float32))]
+    rows += [rows[3], (200, rows[3][1]), (4, rows[5][1]), (None, rows[7][1])]
+    vec = "vec_id long, embedding array<float>"
+    clean = spark.createDataFrame(rows, vec)
+    unit = clean.select("vec_id", array_to_vector(vx.unit(F.col("embedding"))).alias("v"))
+    some = unit.filter("vec_id % 9 = 0")
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=4, seed=7).fit(unit)
+    want = sorted(map(tuple, lsh.approxSimilarityJoin(some, unit, 1.25, distCol="d").select(
+        "datasetA.vec_id", "datasetB.vec_id", (1 - F.col("d") * F.col("d") / 2)).collect()), key=str)
+    # a null and a zero vector take no part; blocks of a few vectors give the same pairs
+    df = spark.createDataFrame(rows + [(300, None), (301, [0.0] * 6), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0])], vec).repartition(3)
+    for block, scores in ((vx.BLOCK_BYTES, vx.SCORES), (6 * 8 * 7, 5)):
+        monkeypatch.setattr(vx, "BLOCK_BYTES", block)
+        monkeypatch.setattr(vx, "SCORES", scores)
+        got = vx.lsh_neighbours(df.filter("vec_id % 9 = 0"), df, 1.25, 1.0)
+        assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 50
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
