@@ -5,6 +5,8 @@ Input rows: ``(law_id, row_no, c1, c2)``; ``c1`` is the section-title cell,
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +55,18 @@ def act_titles(rows: DataFrame, key: str = "law_id", order: str = "row_no") -> D
     return agg.select(key, F.when(found, title_case(F.col("_cand.t"))).alias("detected_title"))
 
 
+def _opening(pattern: str) -> str:
+    """The literal text that every match of an anchored rule begins with ("" if none)."""
+    return re.match(r"\(\?sU\)\^(\\\(|[A-Za-z]*)", pattern).group(1).replace("\\", "")
+
+
 def _rule_type(text: Column) -> Column:
-    """Name of the first matching rule (CASE stops at the first hit)."""
+    """Name of the first matching rule (CASE stops at the first hit); a pattern is only
+    tried on text that begins with its opening."""
     out = None
     for name, pat, _, _ in CLASSIFY_RULES:
-        out = F.when(text.rlike(pat), F.lit(name)) if out is None else out.when(text.rlike(pat), F.lit(name))
+        hit = text.startswith(_opening(pat)) & text.rlike(pat) if _opening(pat) else text.rlike(pat)
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out
 
 
@@ -79,8 +88,10 @@ def classify_rows(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumn("_text", strip_ws(F.col("c2")))
     rows = rows.withColumn("_rule", _rule_type(F.col("_text")))
-    rows = rows.withColumn("_g1", strip_ws(_rule_group(F.col("_text"), F.col("_rule"), 1))) \
-               .withColumn("_g2", strip_ws(_rule_group(F.col("_text"), F.col("_rule"), 2)))
+    # group 1 of a rule holds no white space; group 2 is a column before it is stripped
+    rows = rows.withColumn("_g1", _rule_group(F.col("_text"), F.col("_rule"), 1)) \
+               .withColumn("_g2", F.explode(F.array(_rule_group(F.col("_text"), F.col("_rule"), 2)))) \
+               .withColumn("_g2", strip_ws(F.col("_g2")))
     rows = rows.withColumn(
         "section_type",
         F.when((F.col("_rule") == "paragraph") & F.col("_g1").rlike(ROMAN_REF), F.lit("subparagraph"))

@@ -43,16 +43,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _marker(seq, key):
-    m = (seq + key) % 12
-    out = None
-    for i, tmpl in enumerate(LINE_MARKERS):
-        if "{seq}" in tmpl:
-            a, b = tmpl.split("{seq}")
-            val = F.concat(F.lit(a), seq.cast("string"), F.lit(b))
-        else:
-            val = F.lit(tmpl)
-        out = F.when(m == i, val) if out is None else out.when(m == i, val)
-    return out
+    """The marker of line ``seq``; NULL where the remainder is none of the twelve."""
+    template = F.get(F.array(*[F.lit(t) for t in LINE_MARKERS]), (seq + key) % 12)
+    return F.replace(template, F.lit("{seq}"), seq.cast("string"))
 
 
 def statute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +67,14 @@ def statute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = (F.col("pos") - 1).cast("bigint")
     body = seq >= 1
     marked = F.when(body, F.concat(_marker(seq, F.col("doc_id")), F.col("line"))).otherwise(F.col("line"))
+    # a generated column is computed once: a later filter on c2 would repeat the whole expression
+    x = x.select("doc_id", "pos", "line", F.explode(F.array(marked)).alias("marked"))
     return x.select(
         F.col("doc_id").alias("law_id"),
         seq.alias("row_no"),
         F.when(body & ((seq + F.col("doc_id")) % 12 == 1), F.split_part(F.col("line"), F.lit(" "), F.lit(1)))
          .otherwise(F.lit("")).alias("c1"),
-        strip_ws(marked).alias("c2"))
+        strip_ws("marked").alias("c2"))
 
 
 def doc_laws(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,31 @@ def test_section_scan_has_no_law_wide_window(spark):
     import re
     specs = re.findall(r"windowspecdefinition\(([^)]*)\)", plan)
     assert specs and all("_chunk" in s for s in specs), specs
+
+
+def test_marked_lines_are_computed_once(spark, tmp_path):
+    from lexframe.sources import testdata as td
+    docs = [(1, "One. Two.  . three ", "wiki", 4), (-5, "a. b", "x", 3), (None, "c. d", "x", 3), (3, None, "x", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = td.statute_rows(spark, str(tmp_path))
+    # the filter that the section scan puts on the text does not hold the marker expression again
+    assert _plan(rows.filter("c2 IS NOT NULL AND c2 <> ''")).count("SCHEDULE ") <= 1
+    got = {(r.law_id, r.row_no): (r.c1, r.c2) for r in rows.filter("row_no > 0").collect()}
+    assert got[1, 1] == ("", "(1) One") and got[1, 2] == ("", "(a) Two")
+    assert got[1, 4] == ("", "three") and (1, 3) not in got
+    assert got[-5, 1] == ("", None) and got[None, 1] == ("", None)
+
+
+def test_rules_are_tried_on_their_openings_only(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from lexframe.functions.patterns import CLASSIFY_RULES
+    from lexframe.operators.classify import _opening, _rule_type
+    lines = ["PART 1 x", "PARTS", "PART", "part 1", "SCHEDULE A b", "CHAPTER 2", "Article 9 z", "Article x", "3.—text", "3 .", "3 x", "(1) x", "(a) x",
+             "(abcd) x", "(", "", "plain", "x (1)", "٣. arabic digit", "PART 2 y"]
+    df = spark.createDataFrame([(t,) for t in lines], "t string").select("t", _rule_type(F.col("t")).alias("r"))
+    want = {t: next((n for n, p, _, _ in CLASSIFY_RULES if re.match(p.replace("(?sU)", "(?s)"), t)), None) for t in lines}
+    assert {r.t: r.r for r in df.collect()} == want
+    assert [_opening(p) for _, p, _, _ in CLASSIFY_RULES] == ["PART", "SCHEDULE", "CHAPTER", "Article", "", "(", "("]
