@@ -209,14 +209,25 @@ def word_slots(text: Column) -> Column:
     return F.transform(words, lambda w: F.conv(F.left(F.md5(w), F.lit(3)), 16, 10).cast("int"))
 
 
+def slotted(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``(key, slots)`` of every row, for ``fit_slots`` and ``weigh_slots``: stored, the
+    texts are cut into words once for both."""
+    return docs.select(key, word_slots(F.col(text)).alias("slots"))
+
+
 def tfidf_fit(docs: DataFrame, text: str) -> DataFrame:
     """TXT3: the model ``(feature, n_with, n_docs, idf)``, one row per slot, from all rows;
     ``idf = ln((n_docs + 1) / (n_with + 1))``.  Null and empty texts count as documents.
     Each row is one document, so repeated rows count each.  Store it with ``write_table``."""
-    seen = docs.select(F.explode(F.array_distinct(word_slots(F.col(text)))).alias("feature")) \
+    return fit_slots(docs.select(word_slots(F.col(text)).alias("slots")))
+
+
+def fit_slots(rows: DataFrame) -> DataFrame:
+    """``tfidf_fit`` of rows with ``slots``."""
+    seen = rows.select(F.explode(F.array_distinct("slots")).alias("feature")) \
         .groupBy("feature").agg(F.count(F.lit(1)).alias("n_with"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    slots = docs.sparkSession.range(FEATURES).select(F.col("id").cast("int").alias("feature")).crossJoin(F.broadcast(total))
+    total = rows.agg(F.count(F.lit(1)).alias("n_docs"))
+    slots = rows.sparkSession.range(FEATURES).select(F.col("id").cast("int").alias("feature")).crossJoin(F.broadcast(total))
     return slots.join(seen, "feature", "left").select(
         "feature", F.coalesce("n_with", F.lit(0)).alias("n_with"), "n_docs",
         F.log((F.col("n_docs") + 1) / (F.coalesce("n_with", F.lit(0)) + 1)).alias("idf"))
@@ -227,7 +238,13 @@ def tfidf_weights(docs: DataFrame, text: str, key: str, model: DataFrame) -> Dat
     times idf, scaled to length 1 (0 where every word of the row is in all documents of
     the fit).  Rows without words give none; a key that repeats needs telling apart first.
     The model is broadcast: it has ``FEATURES`` rows, whatever it was fitted on."""
-    counted = docs.select(key, F.explode(word_slots(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+    return weigh_slots(slotted(docs, text, key), key, model)
+
+
+def weigh_slots(rows: DataFrame, key: str, model: DataFrame) -> DataFrame:
+    """``tfidf_weights`` of rows with ``slots``; they are dealt by key once, for the counts
+    and for the lengths."""
+    counted = rows.repartition(key).select(key, F.explode("slots").alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
     raw = counted.join(F.broadcast(model.select("feature", "idf")), "feature").withColumn("_w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))  # FEATURES rows a key at most
     return raw.withColumn("_norm", norm).select(key, "feature", "n", F.when(F.col("_norm") > 0, F.col("_w") / F.col("_norm")).otherwise(0.0).alias("weight"))

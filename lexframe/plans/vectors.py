@@ -145,9 +145,11 @@ SELECT doc_id, feature, n, round(coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTI
 def q_tfidf_embed(spark, sf):
     """TXT3: term weights of every document by a model that was stored and read again."""
     docs = td.table(spark, sf, "documents")
-    path = scratch(spark, "tfidf-model")
-    write_table(spark, vx.tfidf_fit(docs, "text"), path)
-    w = vx.tfidf_weights(docs, "text", "doc_id", spark.read.parquet(path))
+    path, slots = scratch(spark, "tfidf-model"), scratch(spark, "tfidf-slots")
+    write_table(spark, vx.slotted(docs, "text", "doc_id"), slots)
+    rows = spark.read.parquet(slots)
+    write_table(spark, vx.fit_slots(rows), path)
+    w = vx.weigh_slots(rows, "doc_id", spark.read.parquet(path))
     return w.select("doc_id", "feature", "n", F.round("weight", 6).alias("weight"))
 
 

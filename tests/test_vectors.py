@@ -158,3 +158,19 @@ def test_lsh_pairs_are_mllibs_without_a_pair_shuffle(spark, monkeypatch):
         got = vx.lsh_neighbours(df.filter("vec_id % 9 = 0"), df, 1.25, 1.0)
         assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 50
         assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tfidf_query_cuts_the_texts_once(spark, tmp_path, monkeypatch):
+    from lexframe.plans import vectors as plans
+    docs = spark.createDataFrame([(1, "a b b"), (2, "a c"), (2, "c d"), (None, "a"), (3, None), (4, "")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cut = []
+    monkeypatch.setattr(vx, "word_slots", lambda c, f=vx.word_slots: cut.append(c) or f(c))
+    out = plans.q_tfidf_embed(spark, str(tmp_path))
+    assert len(cut) == 1
+    # the rows are dealt by key once, for the counts and for the lengths
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    model = vx.tfidf_fit(docs, "text")
+    want = vx.tfidf_weights(docs, "text", "doc_id", model).select("doc_id", "feature", "n", F.round("weight", 6))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {(r.doc_id, r.n) for r in out.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (None, 1)}
