@@ -125,7 +125,7 @@ def score_texts(texts: pa.Array, model, powers: Powers) -> np.ndarray:
     return out
 
 
-def sampled_texts(docs: DataFrame, lab: DataFrame, rows: int, chars: int) -> list:
+def sample_rows(docs: DataFrame, lab: DataFrame, rows: int, chars: int) -> DataFrame:
     """``(y, t)`` of at most ``rows`` rows of ``docs`` labelled by ``lab(doc_id, y)``, of at
     most ``chars`` characters.  Rows are chosen without their texts; the texts of the
     chosen ones follow by a join with that bounded table."""
@@ -134,17 +134,45 @@ def sampled_texts(docs: DataFrame, lab: DataFrame, rows: int, chars: int) -> lis
         .orderBy("o", "doc_id", "th").limit(rows)
     text = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     return text.join(F.broadcast(chosen), ["doc_id", "th"]).select("y", F.encode("text", "utf-8").alias("t"), "o", "doc_id", "th") \
-        .dropDuplicates(["doc_id", "th"]).collect()
+        .dropDuplicates(["doc_id", "th"])
+
+
+def sampled_texts(docs: DataFrame, lab: DataFrame, rows: int, chars: int) -> list:
+    return sample_rows(docs, lab, rows, chars).collect()
+
+
+def known_labels(labels: DataFrame, label: str, learn) -> DataFrame:
+    """``(doc_id, y)`` of the labels that may be learnt from."""
+    return labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn(F.col("doc_id"))) \
+        .groupBy("doc_id").agg(F.min(label).alias("y"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn) -> tuple[list[bytes], np.ndarray]:
     """At most ``SAMPLE_ROWS`` labelled texts for the fit and their labels."""
-    lab = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn(F.col("doc_id"))) \
-        .groupBy("doc_id").agg(F.min(label).alias("y"))
+    lab = known_labels(labels, label, learn)
     got = sorted(sampled_texts(docs, lab, SAMPLE_ROWS, SAMPLE_CHARS), key=lambda r: (r["o"], r["doc_id"], r["th"]))
     return [bytes(r["t"]) for r in got], np.array([r["y"] for r in got], int)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, label: str, learn):
+    """``train`` on the labelled sample, in one task: the driver gets the model, one number
+    per feature row, and never holds the texts and their features."""
+    rows = sample_rows(docs, known_labels(labels, label, learn), SAMPLE_ROWS, SAMPLE_CHARS)
+
+    def run(batches):
+        texts, y = [], []
+        for b in batches:
+            texts += b.column("t").to_pylist()
+            y += b.column("y").to_pylist()
+        model = train(texts, np.array(y, int))
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model[0].tolist()]), pa.array([model[1]])], names=["weights", "bias"])
+
+    got = rows.repartition(1).sortWithinPartitions("o", "doc_id", "th").select("y", "t") \
+        .mapInArrow(run, "weights array<double>, bias double").toArrow()
+    return (got.column("weights").combine_chunks().flatten().to_numpy(), got.column("bias")[0].as_py()) if got.num_rows else None
+
+
 def score_documents(docs: DataFrame, model, held_out) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -168,7 +196,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the fitted model predicts as class 1."""
-    model = train(*labelled_sample(docs, labels, "quality", lambda i: crc_mod(i, 3) != 1))
+    model = fitted(docs, labels, "quality", lambda i: crc_mod(i, 3) != 1)
 
     def run(batches):
         powers = Powers()

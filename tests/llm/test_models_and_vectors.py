@@ -228,3 +228,15 @@ def test_warc_block_without_headers(spark):
     r = spark.createDataFrame([(1, None, None, None, "no blank line")], "page_id long, record_id string, target_uri string, date string, block string")
     got = {x.record_type: x for x in warc.derive(r).collect()}
     assert got["conversion"].block == "" and "http-status: no blank line" in got["metadata"].block
+
+
+def test_quality_fit_keeps_the_texts_off_the_driver(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, ("good plain words here " if i % 2 else "buy buy now cheap ") * 5 + str(i)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    learn = lambda i: quality_model.crc_mod(i, 3) != 1
+    want = quality_model.train(*quality_model.labelled_sample(docs, labels, "quality", learn))
+    monkeypatch.setattr(quality_model, "sampled_texts", None)
+    got = quality_model.fitted(docs, labels, "quality", learn)
+    assert np.allclose(got[0], want[0], atol=1e-4) and abs(got[1] - want[1]) < 1e-4  # the threads of a product round differently
+    assert sorted(r.doc_id % 2 for r in quality_model.without_rejected(docs, labels).collect()) == [1] * 30
+    assert quality_model.fitted(docs, labels.filter("quality = 1"), "quality", learn) is None
