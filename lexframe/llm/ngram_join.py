@@ -9,10 +9,13 @@ overlap, and so do, for two boxes of an R-tree, the minima of their upper corner
    shingles in any order that holds for all sets.  The order puts frequent shingles
    last: a fixed-size bitmap, filled from the counts of all documents, says which
    are; whatever it says, the order is the same for all sets, so nothing is lost.
-2. Nodes that share such a shingle meet in its posting list.  Each node is compared
+2. Nodes that share such a shingle meet in its posting list.  At the first shingle that
+   two sets share in that order, what is left of each set bounds their overlap; a node
+   leaves a list of up to ``LEAF`` nodes where sizes and this bound rule out all others,
+   so a list of nodes that share it by chance is not stored.  Each node is compared
    with one leader per list, and in lists of more than ``LEAF`` nodes ``STARS`` times,
-   with a leader from the largest group so far; links found so join nodes to groups,
-   so that a list of thousands of near copies needs few pairs.
+   with a leader from the largest group so far, until a turn finds few links; links found
+   so join nodes to groups, so that a list of thousands of near copies needs few pairs.
 3. In each list that still holds several groups, an R-tree packed by size is joined
    with itself; pairs of boxes or points are dropped when they belong to one group,
    when their sizes differ too much or when the bound is under the overlap needed.
@@ -51,6 +54,10 @@ PAIRS = 100_000
 MOST = 65_535
 #: a set in more lists than this does not tell its pairs their first common list
 LISTS = 512
+#: leaders are tried until a turn finds less than this part of the links
+ENOUGH = 20
+#: postings taken at a time
+ROWS = 1 << 14
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, powers: Powers, size: int = SHINGLE):
@@ -113,7 +120,7 @@ def _name_rows(batches):
 def _posting_rows(hot: Bitmap):
     def run(batches):
         for b, sets in _sets(batches):
-            h, node, n = [], [], []
+            h, node, n, at = [], [], [], []
             for s in sets:
                 if len(s):
                     k = prefix_length(len(s))
@@ -122,36 +129,72 @@ def _posting_rows(hot: Bitmap):
                     h.append(np.concatenate([first, s[late][:k - len(first)]]))
                     node.append(set_id(s))
                     n.append(len(s))
+                    at.append(np.arange(k, dtype=np.int32))
             reps = np.array([len(x) for x in h], np.int64)
             h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.repeat(np.array(node, np.int64), reps)),
-                                              pa.array(np.repeat(np.array(n, np.int32), reps))], names=["h", "node", "n"])
+            at = np.concatenate(at) if at else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(at), pa.array(np.repeat(np.array(node, np.int64), reps)),
+                                              pa.array(np.repeat(np.array(n, np.int32), reps))], names=["h", "at", "node", "n"])
     return run
 
 
+def partnered(h: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of whole lists, one after the other: the rows that may link with another one of
+    their list, if this is the first shingle that the two share.  ``at`` is its place in
+    the set; a list of more than ``LEAF`` rows is not tried and stays."""
+    edge = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+    size = np.repeat(np.diff(edge), np.diff(edge))
+    end = np.repeat(edge[1:], np.diff(edge))
+    out, row, n, left = size > LEAF, np.arange(len(h)), n.astype(np.int64), n.astype(np.int64) - at
+    row = row[~out & (size > 1)]
+    for k in range(1, LEAF):
+        row = row[row + k < end[row]]
+        if not len(row):
+            break
+        i, j = row, row + k
+        ok = (NUM + DEN) * np.minimum(left[i], left[j]) >= need(n[i], n[j])
+        out[i[ok]] = out[j[ok]] = True
+    return out
+
+
 def _shared_rows(batches):
     """Of postings sorted by shingle and node: the distinct ones of the lists with two
-    nodes or more.  Only the first row of the open list is held."""
-    h0 = node0 = n0 = None
-    alone = False  # whether the held row has not been handed on
-    for b in batches:
-        h, node, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "node", "n"))
-        if h0 is not None:
-            h, node, n = np.concatenate([[h0], h]), np.concatenate([[node0], node]), np.concatenate([[n0], n])
-        if not len(h):
-            continue
+    nodes or more that may link (see ``partnered``).  At most ``ROWS`` rows of a batch
+    and more than that, and of the open list ``LEAF`` rows, are held."""
+    cols = ("h", "node", "n", "at")
+    held, rows = [], 0
+    long = None  # the open list and its last node, if it is a long one and its rows are handed on
+
+    def lists(last: bool):
+        nonlocal held, rows, long
+        h, node, n, at = (np.concatenate([b[k] for b in held]) for k in range(4))
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        was_sent = h0 is not None and not alone
-        h, node, n = h[new], node[new], n[new]
-        same = h[1:] == h[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        sent = keep.copy()
-        if was_sent:
-            keep[0] = False
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(node[keep]), pa.array(n[keep].astype(np.int32))], names=["h", "node", "n"])
-        h0, node0, n0 = h[-1], node[-1], n[-1]
-        alone = not (sent[-1] or (was_sent and len(h) == 1))
+        if long is not None:
+            new[0] &= (h[0], node[0]) != long
+        h, node, n, at = h[new], node[new], n[new], at[new]
+        open_at = len(h) if last else int(np.searchsorted(h, h[-1])) if len(h) else 0
+        more = int(np.searchsorted(h, long[0], "right")) if long is not None else 0
+        keep = np.ones(len(h), bool)
+        if more < open_at:
+            keep[more:open_at] = partnered(h[more:open_at], n[more:open_at], at[more:open_at])
+        if len(h) == more or len(h) - open_at > LEAF:  # the open list is a long one
+            open_at = len(h)
+            long = (h[-1], node[-1]) if len(h) else long
+        else:
+            long = None
+        held, rows = [(h[open_at:], node[open_at:], n[open_at:], at[open_at:])], len(h) - open_at
+        keep = np.flatnonzero(keep[:open_at])
+        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(node[keep]), pa.array(n[keep])], names=["h", "node", "n"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in cols))
+            rows += b.num_rows
+            if rows >= ROWS:
+                yield lists(False)
+    if rows:
+        yield lists(True)
 
 
 def fine_bits(n: int) -> int:
@@ -374,10 +417,13 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     work = Work(docs.sparkSession, "ngrams")
     kind = dict(docs.dtypes)["doc_id"]
     text = docs.select("doc_id", "text")
-    named = work.cut(text.select("*", F.xxhash64("text").alias("th")).mapInArrow(
-        _name_rows, f"doc_id {kind}, th long, n long, node long, probe array<long>"), "sets")
-    hot = named.select(F.explode("probe").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT)
-    postings = text.mapInArrow(_posting_rows(Bitmap(hot, "h")), "h long, node long, n int")
+    drawn = work.cut(text.select("*", F.xxhash64("text").alias("th")).mapInArrow(
+        _name_rows, f"doc_id {kind}, th long, n long, node long, probe array<long>"), "draws")
+    hot = drawn.select(F.explode("probe").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT)
+    hot = Bitmap(hot, "h")
+    named = work.cut(drawn.drop("probe"), "sets")
+    work.drop(drawn)
+    postings = text.mapInArrow(_posting_rows(hot), "h long, at int, node long, n int")
     shared = work.cut(postings.repartition(F.col("h")).sortWithinPartitions("h", "node").mapInArrow(_shared_rows, "h long, node long, n int"), "lists")
     # one document for each node that some list holds
     met = shared.select("node").distinct()
@@ -386,17 +432,21 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     points = _asked_texts(text, reps).mapInArrow(_point_rows, "node long, point binary, fine binary")
     points = work.cut(points.join(reps, "node").select("node", "n", "point", "fine").dropDuplicates(["node"]), "points")
     # every list, then the long ones again: a list of two is done after the first turn
-    links = verified(work, _star(shared, F.xxhash64("node")), points, text, reps)
-    comp = work.cut(components(work, links), "groups")
+    new = verified(work, _star(shared, F.xxhash64("node")), points, text, reps)
+    links, comp = new.count(), _joined(work, None, new)
     more = shared.groupBy("h").agg(F.count("*").alias("size")).filter("size > 2")
     rest = work.cut(shared.join(more, "h"), "long-lists")
+    work.drop(shared)
     for turn in range(1, STARS):
         size = comp.groupBy("comp").agg(F.count("*").alias("members"))
         members = F.coalesce("members", F.lit(1))
         known = rest.filter(F.col("size") > LEAF).join(comp, "node", "left").join(size, "comp", "left")
         star = _apart(_star(known, -members, F.xxhash64("node", F.lit(turn))), comp)
-        links = links.unionByName(verified(work, star, points, text, reps))
-        comp = work.cut(components(work, links), "groups")
+        new = verified(work, star, points, text, reps)
+        n, comp = new.count(), _joined(work, comp, new)
+        links += n
+        if n * ENOUGH < links:  # other leaders may still find some; the trees find all
+            break
     rows = rest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
     rows = rows.join(many, "h")
@@ -407,8 +457,20 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("h", "node", F.col("n").cast("long").alias("n"), "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
     rows = rows.join(points.select("node", "point").join(lists, "node"), "node").repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "node")
     pairs = rows.mapInArrow(_tree_rows, "a long, b long").distinct()
-    links = links.unionByName(verified(work, pairs, points, text, reps))
-    return named, components(work, links)
+    comp = _joined(work, comp, verified(work, pairs, points, text, reps))
+    work.drop(rest, points, reps)
+    return named, comp
+
+
+def _joined(work: Work, comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The groups ``comp(node, comp)`` joined by ``links``; both tables go."""
+    if comp is not None and links.isEmpty():
+        work.drop(links)
+        return comp
+    edges = links if comp is None else links.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    out = work.cut(components(work, edges), "groups")
+    work.drop(links, *([] if comp is None else [comp]))
+    return out
 
 
 def _star(lists: DataFrame, *order) -> DataFrame:
@@ -426,12 +488,17 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of ``(a, b)`` that may link by their points."""
+    """Pairs of ``(a, b)`` that may link by their points; only asked points move."""
+    asked = maybe_among(points.select("node", "n", "fine"), F.col("node"), _ends(pairs), "node")
     for side in ("a", "b"):
-        pairs = pairs.join(points.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("fine").alias(f"p_{side}")), side)
+        pairs = pairs.join(asked.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("fine").alias(f"p_{side}")), side)
     return pairs.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(_bound_rows, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 #: names a row by its id and text (null-safe)
 ROW_HASH = "xxhash64(doc_id, th)"
 
@@ -443,14 +510,17 @@ def _asked_texts(text: DataFrame, reps: DataFrame) -> DataFrame:
 
 def verified(work: Work, pairs: DataFrame, points: DataFrame, text: DataFrame, reps: DataFrame) -> DataFrame:
     """The linked ones of ``pairs(a, b)``: first by their points, then by the full sets."""
-    pairs = work.cut(bounded(pairs, points), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = work.cut(reps.join(nodes, "node", "left_semi"), "asked")
+    met = work.cut(pairs, "met")
+    pairs = work.cut(bounded(met, points), "pairs")
+    work.drop(met)
+    asked = work.cut(reps.join(_ends(pairs).distinct(), "node", "left_semi"), "asked")
     sets = _asked_texts(text, asked).mapInArrow(_hash_rows, "node long, hashes array<long>")
     both = pairs
     for side in ("a", "b"):
         both = both.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
-    return work.cut(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify_rows, "a long, b long").distinct(), "links")
+    out = work.cut(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify_rows, "a long, b long").distinct(), "links")
+    work.drop(pairs, asked)
+    return out
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

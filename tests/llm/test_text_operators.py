@@ -1,8 +1,10 @@
 """Edge cases and small corpora against brute force."""
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -64,6 +66,53 @@ def test_ngram_one_per_group(docs, rows):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(comp.values()))
 
 
+def test_ngram_lists_hold_nodes_that_may_link():
+    """Of lists cut into batches anywhere: nodes whose sizes or places rule out every partner go."""
+    rng = random.Random(9)
+    rows = []
+    for h in range(300):
+        for node in range(rng.choice((1, 1, 2, 3, 5, 16, 17, 40))):
+            n = rng.randrange(20, 60)
+            rows += [(h, rng.randrange(n // 4 + 1), node, n)] * rng.choice((1, 1, 2))
+    rows = [(h, at, node, n) for (h, node), (at, n) in {(h, node): (at, n) for h, at, node, n in rows}.items() for _ in range(rng.choice((1, 2)))]
+    lists = {}
+    for h, at, node, n in rows:
+        lists.setdefault(h, {})[node] = (at, n)
+
+    def may(x, y):
+        return 7 * min(x[1] - x[0], y[1] - y[0]) >= 3 * (x[1] + y[1])
+
+    want = [(h, node, x[1]) for h, own in lists.items() for node, x in own.items()
+            if len(own) > ngram_join.LEAF or any(may(x, y) for other, y in own.items() if other != node)]
+    batches, at = [], 0
+    while at < len(rows):
+        size = rng.randrange(1, 90)
+        cols = list(zip(*rows[at:at + size]))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["h", "at", "node", "n"]))
+        at += size
+    for taken in (1, 50, 1 << 14):
+        got, ngram_join.ROWS, before = [], taken, ngram_join.ROWS
+        try:
+            for b in ngram_join._shared_rows(iter(batches)):
+                got += zip(*(b.column(c).to_pylist() for c in ("h", "node", "n")))
+        finally:
+            ngram_join.ROWS = before
+        assert got == want
+    assert len(want) < sum(len(own) for own in lists.values() if len(own) > 1)
+
+
+def test_ngram_leaves_no_working_tables(spark, make_docs):
+    """Lists, points, pairs and draws go as soon as no later step reads them."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[:30] + [f"v{rng.randrange(10 ** 6)}"] + base[31:])) for i in range(40)]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.glob("ngrams-*"))
+    assert {r.component_id for r in ngram_join.near_copies(make_docs(rows)).collect()} == {0}
+    left = {p.name.split("-", 1)[1] for d in set(shared.glob("ngrams-*")) - before for p in d.iterdir()}
+    assert left and left <= {"sets", "groups", "edges"}
+
+
 def test_ngram_family_of_near_copies(make_docs):
     """A base of which hundreds of copies differ in a word or two, in long lists."""
     rng = random.Random(5)
