@@ -75,13 +75,13 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     rounds.  Each round is two salted joins on the node, so a hub with a third
     of all edges is spread over ``SALTS`` tasks."""
     e = work.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    seen = _mark(e)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(both, both, False)
         small = _star(large, large, True)
         nxt = work.cut(small, "edges")
-        mark = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        mark = _mark(nxt)
         work.drop(e)
         e = nxt
         if mark == seen or mark[0] == 0:
@@ -91,6 +91,10 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     return out.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _star(nbr: DataFrame, rows: DataFrame, small: bool) -> DataFrame:
     """Large star: each neighbour ``b > a`` of ``a`` is hung on ``a``'s smallest
     neighbour.  Small star: each ``b < a`` and ``a`` itself."""
