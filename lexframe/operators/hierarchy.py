@@ -84,7 +84,8 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate
 
 
 def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                   with_breadcrumb: bool = False, gate: bool = True, with_text: bool = True) -> DataFrame:
+                   with_breadcrumb: bool = False, gate: bool = True, with_text: bool = True,
+                   text_chars: int | None = None) -> DataFrame:
     """Statute rows ``(law_id, row_no, c1, c2)`` -> one row per node
     (``SECTION_COLUMNS``).
 
@@ -96,10 +97,14 @@ def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     ``with_text=False`` gives the structure only (no ``text_content``): the
     row text is dropped before the first checkpoint and the per-node text
     aggregate (a shuffle of the whole corpus) is skipped, since every node
-    row is its own group.
+    row is its own group.  ``text_chars`` gives that many first characters of
+    ``text_content``: each row's text is cut to as many before the first
+    checkpoint (the start of a joined text needs no more of any piece).
     """
     rows = rows.filter(F.col("c2").isNotNull() & (F.col("c2") != ""))
     classified = classify_rows(chunked(rows, ["law_id"], "row_no", chunk_rows))
+    if text_chars is not None:
+        classified = classified.withColumn("node_text", F.left("node_text", F.lit(text_chars)))
     scanned = scan_nodes(classified, chunk_rows, gate, partitioned=True,
                          drop=() if with_text else ("node_text",)).filter(F.col("_gated"))
     cur = F.col("_cur.r")
@@ -129,7 +134,8 @@ def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
                    .agg(F.max(F.when(st.isNotNull(), F.struct(*node_cols))).alias("_n"),
                         F.expr("listagg(nullif(node_text, ''), '\n') WITHIN GROUP (ORDER BY row_no)")
                          .alias("_text")))
-        nodes = grouped.select("law_id", "_n.*", F.coalesce(F.col("_text"), F.lit("")).alias("text_content"))
+        text = F.coalesce(F.col("_text"), F.lit(""))
+        nodes = grouped.select("law_id", "_n.*", (text if text_chars is None else F.left(text, F.lit(text_chars))).alias("text_content"))
     else:
         # a gated node row heads its own group: no text to gather, no shuffle
         nodes = scanned.filter(st.isNotNull() & F.col("_grp").isNotNull()).select("law_id", *node_cols)

@@ -5,17 +5,18 @@ from pyspark.sql import functions as F
 
 from ..operators.classify import act_titles, classify_rows, enactment_gate
 from ..operators.hierarchy import build_sections, parent_by_ref
-from ..operators.quality import bad_types, dup_refs, structure_preview, structure_profile
+from ..operators.quality import PREVIEW_CHARS, bad_types, dup_refs, structure_preview, structure_profile
 from ..sources import testdata as td
 from .registry import register
 from .sqlviews import CLASSIFIED, GATED, STATUTE_ROWS, sections_sql, with_
 
 
-def sections(spark, sf, with_breadcrumb=False, with_text=True):
+def sections(spark, sf, with_breadcrumb=False, with_text=True, text_chars=None):
     """The section table; ``with_text=False`` for structure-only queries
-    (the corpus text is then never materialized or shuffled)."""
+    (the corpus text is then never materialized or shuffled), ``text_chars``
+    for those that need the start of each text only."""
     rows = td.statute_rows(spark, sf)
-    return build_sections(rows, with_breadcrumb=with_breadcrumb, with_text=with_text)
+    return build_sections(rows, with_breadcrumb=with_breadcrumb, with_text=with_text, text_chars=text_chars)
 
 
 @register("enactment_gate", with_(STATUTE_ROWS, GATED) + """
@@ -153,7 +154,7 @@ SELECT law_id, list_no,
 FROM (SELECT *, replace(replace(t, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't') AS e FROM n) WHERE list_no <= 80""")
 def q_structure_preview(spark, sf):
     """AGG2/TOP4: the first 80 nodes of each act, indented, with the start of their text."""
-    return structure_preview(sections(spark, sf))
+    return structure_preview(sections(spark, sf, text_chars=PREVIEW_CHARS))
 
 
 @register("dup_refs", sections_sql() + """

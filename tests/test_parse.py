@@ -108,6 +108,18 @@ def test_structure_only_sections_equal_full_sections_without_text(spark):
         assert sorted(bare.collect()) == sorted(full.collect())
 
 
+def test_start_of_texts_is_the_start_of_whole_texts(spark):
+    cells = [(-1, "", "THE ACT"), (0, "", "BE IT ENACTED"), (1, "a", "1.\u2014" + "x" * 9), (2, "", "y" * 9), (3, "", "zz"), (4, "", "(1) é𝒳" * 3),
+             (5, "", "(2)"), (6, "", "w" * 30), (7, "", "PART 2 T")]
+    rows = spark.createDataFrame([(5, *c) for c in cells], "law_id long, row_no long, c1 string, c2 string")
+    full = {r.seq: r for r in build_sections(rows).collect()}
+    for n in (4, 10):
+        cut = build_sections(rows, text_chars=n).collect()
+        assert len(cut) == len(full) == 4
+        for r in cut:
+            assert r.asDict() == full[r.seq].asDict() | {"text_content": full[r.seq].text_content[:n]}
+
+
 def row(c1, c2, label):
     return (c1, c2), label
 
