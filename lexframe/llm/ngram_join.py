@@ -21,7 +21,8 @@ overlap, and so do, for two boxes of an R-tree, the minima of their upper corner
    when their sizes differ too much or when the bound is under the overlap needed.
    A list of more than ``BLOCK`` nodes is dealt to pairs of blocks.  Of all lists that
    two nodes share only the first hands the pair on.
-4. Surviving pairs are verified on the full sets.
+4. Surviving pairs are verified on the full sets.  Of the pairs of two groups the closest
+   one goes first, until a turn finds few links: two groups that it joins need no other.
 
 Defined results: texts without words (null too) have no shingles and link with
 nothing; a text of fewer words is one shingle; repeated rows and rows that share an
@@ -52,6 +53,8 @@ BLOCK = 2048
 FRONT = 500
 PAIRS = 100_000
 MOST = 65_535
+#: sets of more shingles have a finer point
+FINE_FROM = 1024
 #: a set in more lists than this does not tell its pairs their first common list
 LISTS = 512
 #: leaders are tried until a turn finds less than this part of the links
@@ -198,8 +201,9 @@ def _shared_rows(batches):
 
 
 def fine_bits(n: int) -> int:
-    """Bits of the finer point: about four shingles a group."""
-    return 8 + max(0, (max(n, 1) - 1 >> 10).bit_length())
+    """Bits of the finer point: about four shingles a group; up to ``FINE_FROM`` shingles
+    it is the point of the tree."""
+    return 8 + max(0, ((max(n, 1) - 1) // FINE_FROM).bit_length())
 
 
 def _counts(s: np.ndarray, bits: int) -> bytes:
@@ -293,6 +297,15 @@ def may_link(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearness(point: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The bound of the overlap of the rows ``i`` and ``j``, in thousandths of both sizes."""
+    out = np.zeros(len(i), np.int32)
+    for lo in range(0, len(i), 4_000):
+        a, b = i[lo:lo + 4_000], j[lo:lo + 4_000]
+        out[lo:lo + 4_000] = 1000 * np.minimum(point[a], point[b]).sum(axis=1, dtype=np.int64) // (n[a] + n[b])
+    return out
+
+
 def tree_join(s: CountTree, t: CountTree):
     """Row pairs of two trees that may link, in pieces; a tree with itself gives each
     pair once.  Pairs of boxes wait on a stack, so what is open at a time is bounded."""
@@ -375,8 +388,10 @@ def _tree_rows(batches):
             i, j = i[mine], j[mine]
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             if len(a):
-                a, b = np.unique(np.stack([a, b]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                (a, b), one = np.unique(np.stack([a, b]), axis=1, return_index=True)
+                i, j = i[one], j[one]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(nearness(point, n, i, j), pa.int32()),
+                                               pa.array(np.minimum(n[i], n[j]) <= FINE_FROM)], names=["a", "b", "near", "tried"])
 
         for k in range(1, LEAF):  # lists of one leaf, all at once
             i = at[small & (at - first + k < size)]
@@ -456,9 +471,22 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("h", "node", F.col("n").cast("long").alias("n"), "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
     rows = rows.join(points.select("node", "point").join(lists, "node"), "node").repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "node")
-    pairs = rows.mapInArrow(_tree_rows, "a long, b long").distinct()
+    pairs = work.cut(rows.mapInArrow(_tree_rows, "a long, b long, near int, tried boolean").distinct(), "tree-pairs")
+    for turn in range(STARS):
+        best = work.cut(_closest(pairs, comp), "closest")
+        asked = best.count()
+        if pairs.count() <= 2 * asked:  # most groups have one pair: all at once
+            work.drop(best)
+            break
+        new = verified(work, best, points, text, reps)
+        n, comp = new.count(), _joined(work, comp, new)
+        left = work.cut(_apart(pairs.join(best, ["a", "b"], "left_anti"), comp), "tree-pairs")
+        work.drop(pairs, best)
+        pairs = left
+        if n * ENOUGH < asked:
+            break
     comp = _joined(work, comp, verified(work, pairs, points, text, reps))
-    work.drop(rest, points, reps)
+    work.drop(rest, points, reps, pairs)
     return named, comp
 
 
@@ -480,11 +508,23 @@ def _star(lists: DataFrame, *order) -> DataFrame:
     return both.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
+def _grouped(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs with the groups of both nodes; a node without one is a group."""
+    for side in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left") \
+            .withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side))
+    return pairs
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose nodes are not in one group yet."""
-    for side in ("a", "b"):
-        pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
-    return pairs.filter("comp_a IS NULL OR comp_b IS NULL OR comp_a <> comp_b").select("a", "b")
+    return _grouped(pairs, comp).filter("comp_a <> comp_b").select(*pairs.columns)
+
+
+def _closest(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Of the pairs between any two groups the one with the highest bound."""
+    best = F.max(F.struct("near", "a", "b", "tried")).alias("p")
+    return _grouped(pairs, comp).groupBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).agg(best).select("p.*")
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -509,9 +549,14 @@ def _asked_texts(text: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def verified(work: Work, pairs: DataFrame, points: DataFrame, text: DataFrame, reps: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs(a, b)``: first by their points, then by the full sets."""
+    """The linked ones of ``pairs(a, b)``: first by their points, then by the full sets.
+    Pairs that a column ``tried`` marks have passed the points."""
     met = work.cut(pairs, "met")
-    pairs = work.cut(bounded(met, points), "pairs")
+    if "tried" in met.columns:
+        pairs = met.filter("tried").select("a", "b").unionByName(bounded(met.filter("NOT tried"), points))
+    else:
+        pairs = bounded(met, points)
+    pairs = work.cut(pairs, "pairs")
     work.drop(met)
     asked = work.cut(reps.join(_ends(pairs).distinct(), "node", "left_semi"), "asked")
     sets = _asked_texts(text, asked).mapInArrow(_hash_rows, "node long, hashes array<long>")

@@ -113,6 +113,22 @@ def test_ngram_leaves_no_working_tables(spark, make_docs):
     assert left and left <= {"sets", "groups", "edges"}
 
 
+def test_ngram_groups_meet_by_their_closest_pairs(make_docs, monkeypatch):
+    """Two large groups that leaders did not join: not each pair between them is verified."""
+    star, verified, asked = ngram_join._star, ngram_join.verified, []
+
+    def counted(work, pairs, *rest):
+        asked.append(pairs.count())
+        return verified(work, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_star", lambda lists, *order: star(lists, *order).filter("(a < 0) = (b < 0)"))
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(base[:2 * i] + [f"x{i}"] + base[2 * i + 1:])) for i in range(80)]
+    assert {r.component_id for r in ngram_join.near_copies(make_docs(rows)).collect()} == {0}
+    assert sum(asked) < 1000, asked
+
+
 def test_ngram_family_of_near_copies(make_docs):
     """A base of which hundreds of copies differ in a word or two, in long lists."""
     rng = random.Random(5)
