@@ -60,21 +60,26 @@ def _opening(pattern: str) -> str:
     return re.match(r"\(\?sU\)\^(\\\(|[A-Za-z]*)", pattern).group(1).replace("\\", "")
 
 
+def _head(pattern: str) -> str:
+    """A rule without its last group, which takes all the rest of any text."""
+    return pattern.removesuffix("(.*)")
+
+
 def _rule_type(text: Column) -> Column:
     """Name of the first matching rule (CASE stops at the first hit); a pattern is only
     tried on text that begins with its opening."""
     out = None
     for name, pat, _, _ in CLASSIFY_RULES:
-        hit = text.startswith(_opening(pat)) & text.rlike(pat) if _opening(pat) else text.rlike(pat)
+        hit = text.startswith(_opening(pat)) & text.rlike(_head(pat)) if _opening(pat) else text.rlike(_head(pat))
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out
 
 
 def _rule_group(text: Column, rule: Column, group: int) -> Column:
-    """Group ``group`` of the matched rule's pattern (one regex per row)."""
+    """Group ``group`` of the matched rule's head (one regex per row)."""
     out = None
     for name, pat, _, _ in CLASSIFY_RULES:
-        e = F.regexp_extract(text, pat, group)
+        e = F.regexp_extract(text, _head(pat), group)
         out = F.when(rule == name, e) if out is None else out.when(rule == name, e)
     return out
 
@@ -88,9 +93,10 @@ def classify_rows(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumn("_text", strip_ws(F.col("c2")))
     rows = rows.withColumn("_rule", _rule_type(F.col("_text")))
-    # group 1 of a rule holds no white space; group 2 is a column before it is stripped
-    rows = rows.withColumn("_g1", _rule_group(F.col("_text"), F.col("_rule"), 1)) \
-               .withColumn("_g2", F.explode(F.array(_rule_group(F.col("_text"), F.col("_rule"), 2)))) \
+    # the head of the row once, as a column: group 1 is read from it, group 2 is all after it
+    rows = rows.withColumn("_g0", F.explode(F.array(_rule_group(F.col("_text"), F.col("_rule"), 0)))) \
+               .withColumn("_g1", _rule_group(F.col("_g0"), F.col("_rule"), 1)) \
+               .withColumn("_g2", F.substr(F.col("_text"), F.length("_g0") + 1)) \
                .withColumn("_g2", strip_ws(F.col("_g2")))
     rows = rows.withColumn(
         "section_type",
@@ -115,4 +121,4 @@ def classify_rows(rows: DataFrame) -> DataFrame:
                 .withColumn("rank", rank)
                 .withColumn("node_title", title)
                 .withColumn("node_text", own_text)
-                .drop("_text", "_rule", "_g1", "_g2"))
+                .drop("_text", "_rule", "_g0", "_g1", "_g2"))

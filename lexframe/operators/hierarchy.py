@@ -60,13 +60,13 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate
     names more columns the caller does not need (e.g. ``node_text``).
     """
     st = F.col("section_type")
-    specs = [Running(f"_last{r}", _node(F.col("rank") == r)) for r in range(1, MAX_RANK)]
+    specs = [Running(f"_last{r}", _node(F.col("rank") == r), late=True) for r in range(1, MAX_RANK)]
     event = (F.when(st.isin("section", "article"),
                     F.struct(F.col("row_no").alias("s"), F.col("raw_ref").alias("r")))
               .when(st.isin("part", "schedule"),
                     F.struct(F.col("row_no").alias("s"), F.lit(None).cast("string").alias("r"))))
-    specs.append(Running("_cur", event))
-    specs.append(Running("_grp", F.when(st.isNotNull(), F.col("row_no")), inclusive=True))
+    specs.append(Running("_cur", event, late=True))
+    specs.append(Running("_grp", F.when(st.isNotNull(), F.col("row_no")), inclusive=True, late=True))
     if gate:
         # first enacting row strictly before: max of -row_no
         specs.append(Running("_negfirst", F.when(is_enacting(F.col("c2")), -F.col("row_no"))))
@@ -85,7 +85,7 @@ def scan_nodes(classified: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, gate
 
 def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
                    with_breadcrumb: bool = False, gate: bool = True, with_text: bool = True,
-                   text_chars: int | None = None) -> DataFrame:
+                   text_chars: int | None = None, with_title: bool = True) -> DataFrame:
     """Statute rows ``(law_id, row_no, c1, c2)`` -> one row per node
     (``SECTION_COLUMNS``).
 
@@ -97,7 +97,8 @@ def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     ``with_text=False`` gives the structure only (no ``text_content``): the
     row text is dropped before the first checkpoint and the per-node text
     aggregate (a shuffle of the whole corpus) is skipped, since every node
-    row is its own group.  ``text_chars`` gives that many first characters of
+    row is its own group; ``with_title=False`` drops the titles (no
+    ``section_title``) there too.  ``text_chars`` gives that many first characters of
     ``text_content``: each row's text is cut to as many before the first
     checkpoint (the start of a joined text needs no more of any piece).
     """
@@ -105,8 +106,8 @@ def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     classified = classify_rows(chunked(rows, ["law_id"], "row_no", chunk_rows))
     if text_chars is not None:
         classified = classified.withColumn("node_text", F.left("node_text", F.lit(text_chars)))
-    scanned = scan_nodes(classified, chunk_rows, gate, partitioned=True,
-                         drop=() if with_text else ("node_text",)).filter(F.col("_gated"))
+    unread = (() if with_text else ("node_text",)) + (() if with_title else ("node_title",))
+    scanned = scan_nodes(classified, chunk_rows, gate, partitioned=True, drop=unread).filter(F.col("_gated"))
     cur = F.col("_cur.r")
     # WIN1: parent = latest last-of-rank below the node's rank
     parent = None
@@ -120,7 +121,7 @@ def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
         F.col("row_no").cast("bigint").alias("seq"),
         st.alias("section_type"),
         own_ref.alias("section_ref"),
-        F.col("node_title").alias("section_title"),
+        *([F.col("node_title").alias("section_title")] if with_title else []),
         F.col("_parent.s").cast("bigint").alias("parent_seq"),
         _display_ref(F.col("_parent"), cur).alias("parent_ref"),
     ]
@@ -142,9 +143,9 @@ def build_sections(rows: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     # WIN2: 1-based position among siblings (top-level nodes share key -1)
     nodes = nodes.withColumn("_pkey", F.coalesce(F.col("parent_seq"), F.lit(-1).cast("bigint")))
     nodes = running(nodes, ["law_id", "_pkey"], "seq",
-                    [Running("position", F.lit(1).cast("bigint"), "sum", inclusive=True)], chunk_rows,
+                    [Running("position", F.lit(1).cast("bigint"), "sum", inclusive=True, late=True)], chunk_rows,
                     materialize=True)
-    cols = [c for c in SECTION_COLUMNS if with_text or c != "text_content"]
+    cols = [c for c in SECTION_COLUMNS if (with_text or c != "text_content") and (with_title or c != "section_title")]
     cols += ["breadcrumb"] if with_breadcrumb else []
     return nodes.select(*cols)
 

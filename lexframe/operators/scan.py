@@ -34,12 +34,19 @@ class Running:
     """One running aggregate: ``op`` of ``expr`` over earlier rows.
 
     ``inclusive`` adds the current row to the frame.  ``op`` is ``max`` or
-    ``sum``; ``sum`` results are never NULL (0 when nothing is summed).
+    ``sum``; ``sum`` results are never NULL (0 when nothing is summed).  A ``late``
+    expression is cheap and reads kept columns only: it is evaluated on the stored
+    rows, so its values are not shuffled or checkpointed.
     """
     name: str
     expr: Column
     op: str = "max"
     inclusive: bool = False
+    late: bool = False
+
+    @property
+    def value(self) -> Column:
+        return self.expr if self.late else F.col(f"_v_{self.name}")
 
 
 def _agg(op: str, c: Column) -> Column:
@@ -87,7 +94,8 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
     cols = [c for c in df.columns if c != chunk and c not in drop]
     base = df if partitioned else df.withColumn(chunk, F.floor(F.col(order) / F.lit(chunk_rows)).cast("bigint"))
     for s in specs:
-        base = base.withColumn(f"_v_{s.name}", s.expr)
+        if not s.late:
+            base = base.withColumn(f"_v_{s.name}", s.expr)
     base = base.drop(*drop)
     part = base if partitioned else base.repartition(*keys, chunk)
     if materialize:
@@ -96,7 +104,7 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
 
     # (1) chunk summaries from the shuffled rows (already clustered)
     summary = part.groupBy(*keys, chunk).agg(
-        *[_agg(s.op, F.col(f"_v_{s.name}")).alias(f"_s_{s.name}") for s in specs])
+        *[_agg(s.op, s.value).alias(f"_s_{s.name}") for s in specs])
     # (2) exclusive prefix over earlier chunks of the same key (one row per chunk)
     wk = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     prefix = summary.select(
@@ -107,7 +115,7 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
     for s in specs:
         w = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(
             Window.unboundedPreceding, 0 if s.inclusive else -1)
-        local = _agg(s.op, F.col(f"_v_{s.name}")).over(w)
+        local = _agg(s.op, s.value).over(w)
         carried = F.col(f"_p_{s.name}")
         if s.op == "max":
             val = F.greatest(local, carried)

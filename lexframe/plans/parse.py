@@ -11,12 +11,13 @@ from .registry import register
 from .sqlviews import CLASSIFIED, GATED, STATUTE_ROWS, sections_sql, with_
 
 
-def sections(spark, sf, with_breadcrumb=False, with_text=True, text_chars=None):
+def sections(spark, sf, with_breadcrumb=False, with_text=True, text_chars=None, with_title=True):
     """The section table; ``with_text=False`` for structure-only queries
     (the corpus text is then never materialized or shuffled), ``text_chars``
-    for those that need the start of each text only."""
+    for those that need the start of each text only, ``with_title=False`` for
+    those that read no titles."""
     rows = td.statute_rows(spark, sf)
-    return build_sections(rows, with_breadcrumb=with_breadcrumb, with_text=with_text, text_chars=text_chars)
+    return build_sections(rows, with_breadcrumb=with_breadcrumb, with_text=with_text, text_chars=text_chars, with_title=with_title)
 
 
 @register("enactment_gate", with_(STATUTE_ROWS, GATED) + """
@@ -79,7 +80,7 @@ def q_section_rows(spark, sf):
 SELECT law_id, seq, section_type, section_ref, position, parent_seq, parent_ref FROM sections""")
 def q_section_tree(spark, sf):
     """WIN1/WIN2/JN2: structure only (no text)."""
-    return sections(spark, sf, with_text=False).select("law_id", "seq", "section_type", "section_ref", "position",
+    return sections(spark, sf, with_text=False, with_title=False).select("law_id", "seq", "section_type", "section_ref", "position",
                                       "parent_seq", "parent_ref")
 
 
@@ -87,7 +88,7 @@ def q_section_tree(spark, sf):
 SELECT law_id, seq, section_ref, parent_ref FROM sections WHERE section_type = 'subsection'""")
 def q_compound_ref(spark, sf):
     """SCL19/WIN3: subsection refs ``{section}({n})``."""
-    s = sections(spark, sf, with_text=False)
+    s = sections(spark, sf, with_text=False, with_title=False)
     return s.filter(F.col("section_type") == "subsection").select("law_id", "seq", "section_ref", "parent_ref")
 
 
@@ -98,7 +99,7 @@ SELECT s.law_id, s.seq, s.parent_ref, s.parent_seq, l.parent_by_ref
 FROM sections s LEFT JOIN last_ref l ON l.law_id = s.law_id AND l.section_ref = s.parent_ref""")
 def q_parent_by_ref(spark, sf):
     """JN1/AGG3: parent id by ref text, last row with that ref wins."""
-    return parent_by_ref(sections(spark, sf, with_text=False)).select("law_id", "seq", "parent_ref", "parent_seq",
+    return parent_by_ref(sections(spark, sf, with_text=False, with_title=False)).select("law_id", "seq", "parent_ref", "parent_seq",
                                                      "parent_by_ref")
 
 
@@ -114,7 +115,7 @@ SELECT law_id, node AS seq, CAST(count(*) - 1 AS BIGINT) AS depth,
 FROM anc GROUP BY law_id, node""").replace("WITH ", "WITH RECURSIVE ", 1))
 def q_breadcrumb(spark, sf):
     """WIN10: ancestor refs of every node, outermost first."""
-    s = sections(spark, sf, with_breadcrumb=True, with_text=False)
+    s = sections(spark, sf, with_breadcrumb=True, with_text=False, with_title=False)
     depth = F.when(F.col("breadcrumb") == "", F.lit(0)).otherwise(
         F.size(F.split(F.col("breadcrumb"), " > "))).cast("bigint")
     return s.select("law_id", "seq", depth.alias("depth"), "breadcrumb")
@@ -163,7 +164,7 @@ FROM sections WHERE section_type IN ('part', 'schedule', 'chapter')
 GROUP BY law_id, section_type, section_ref HAVING count(*) > 1""")
 def q_dup_refs(spark, sf):
     """AGG6: duplicate heading refs within an act (data-quality check)."""
-    return dup_refs(sections(spark, sf, with_text=False), types=("part", "schedule", "chapter"))
+    return dup_refs(sections(spark, sf, with_text=False, with_title=False), types=("part", "schedule", "chapter"))
 
 
 @register("bad_types", sections_sql() + """
@@ -173,4 +174,4 @@ SELECT section_type, count(*) AS n,
 FROM sections GROUP BY section_type""")
 def q_bad_types(spark, sf):
     """Set membership of node types (anti-join on the valid list), as counts."""
-    return bad_types(sections(spark, sf, with_text=False))
+    return bad_types(sections(spark, sf, with_text=False, with_title=False))

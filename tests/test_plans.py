@@ -74,3 +74,40 @@ def test_rules_are_tried_on_their_openings_only(spark):
     want = {t: next((n for n, p, _, _ in CLASSIFY_RULES if re.match(p.replace("(?sU)", "(?s)"), t)), None) for t in lines}
     assert {r.t: r.r for r in df.collect()} == want
     assert [_opening(p) for _, p, _, _ in CLASSIFY_RULES] == ["PART", "SCHEDULE", "CHAPTER", "Article", "", "(", "("]
+
+
+def test_section_scans_store_only_what_is_read(spark, monkeypatch):
+    """Running values that kept columns give, and titles nobody reads, are not checkpointed."""
+    from lexframe.operators.hierarchy import build_sections
+    lines = ["BE IT ENACTED", "PART 1 One", "1.— a", "more", "(2) b", "(a) c", "(i) d", "SCHEDULE 2 ", "(3) e", "Article 9 nine", "(1)", "CHAPTER 2 f"]
+    rows = spark.createDataFrame([(law, i, "t", t) for law in (1, 2) for i, t in enumerate(lines)], "law_id long, row_no long, c1 string, c2 string")
+    whole = build_sections(rows).collect()
+    stored, kind = [], type(rows)
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, eager=True: stored.append(self.columns) or real(self, eager))
+    out = build_sections(rows, with_text=False, with_title=False)
+    cols = [c for c in whole[0].__fields__ if c not in ("section_title", "text_content")]
+    assert out.columns == cols
+    assert {tuple(r) for r in out.collect()} == {tuple(r[c] for c in cols) for r in whole}
+    assert len(stored) == 2 and {c for s in stored for c in s if c.startswith("_v_")} == {"_v__negfirst"}
+    assert not {"node_title", "node_text", "section_title"} & {c for s in stored for c in s}
+
+
+def test_rule_groups_are_those_of_the_whole_pattern(spark):
+    import re
+
+    from lexframe.functions.patterns import CLASSIFY_RULES
+    from lexframe.operators.classify import classify_rows
+    lines = ["PART 1 x y", "PART 1", "SCHEDULE Ab, (c)", "CHAPTER 2\nnext\nline", "Article 19z z", "3.—text . more", "3 – 4", "(1) x", "(12)", "(a) 😀 x", "(iv)é",
+             "1. ", "plain"]
+    out = classify_rows(spark.createDataFrame([(1, i, None, t) for i, t in enumerate(lines)], "law_id long, row_no long, c1 string, c2 string"))
+    got = {r.c2: (r.raw_ref, r.node_title, r.node_text) for r in out.collect()}
+    for t in lines:
+        hit = next(((n, m, ref) for n, p, ref, _ in CLASSIFY_RULES if (m := re.match(p.replace("(?sU)", "(?s)"), t.strip()))), None)
+        if hit is None:
+            assert got[t] == (None, None, t)
+        else:
+            name, m, ref = hit
+            rest = m[2].strip()
+            headed = name in ("part", "schedule", "chapter", "article")
+            assert got[t] == (ref.format(m[1]), rest if headed else "", "" if headed else rest), t
