@@ -48,7 +48,7 @@ def act_titles(rows: DataFrame, key: str = "law_id", order: str = "row_no") -> D
     combined map-side); returns ``(law_id, detected_title)``, NULL when none.
     """
     c2 = F.col("c2")
-    cand = F.when(is_upper(c2) & c2.contains(TITLE_KEYWORD), F.struct(F.col(order).alias("o"), c2.alias("t")))
+    cand = F.when(c2.contains(TITLE_KEYWORD) & is_upper(c2), F.struct(F.col(order).alias("o"), c2.alias("t")))
     stop = F.when(F.upper(c2).contains(TITLE_STOP_WORD), F.col(order))
     agg = rows.groupBy(key).agg(F.min(cand).alias("_cand"), F.min(stop).alias("_stop"))
     found = F.col("_cand").isNotNull() & (F.col("_stop").isNull() | (F.col("_cand.o") < F.col("_stop")))
