@@ -59,6 +59,8 @@ FINE_FROM = 1024
 LISTS = 512
 #: leaders are tried until a turn finds less than this part of the links
 ENOUGH = 20
+#: pairs of two groups on average that are verified all at once
+FEW = 4
 #: postings taken at a time
 ROWS = 1 << 14
 
@@ -475,7 +477,7 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for turn in range(STARS):
         best = work.cut(_closest(pairs, comp), "closest")
         asked = best.count()
-        if pairs.count() <= 2 * asked:  # most groups have one pair: all at once
+        if pairs.count() <= FEW * asked:
             work.drop(best)
             break
         new = verified(work, best, points, text, reps)
