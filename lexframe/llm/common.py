@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 CHUNK_BYTES = 1 << 20
 SALTS = 16
+#: tasks that gather a bitmap, which has a fixed size
+WORD_TASKS = 24
 WS = " \t\n\x0b\x0c\r"
 
 
@@ -70,44 +72,38 @@ class Work:
 
 
 def components(work: Work, edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, comp)`` with the
-    smallest node of each component, by alternating large-star and small-star
-    rounds.  Each round is two salted joins on the node, so a hub with a third
-    of all edges is spread over ``SALTS`` tasks."""
-    e = work.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _mark(e)
-    while True:
+    """Connected components of ``edges(a, b)`` as ``(node, comp)``: each node of a component
+    but its smallest one, and that one, by alternating large-star and small-star rounds.
+    Each round is two salted joins on the node, so a hub with a third of all edges is
+    spread over ``SALTS`` tasks."""
+    e, stored = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), []
+    while not stored or not _settled(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(both, both, False)
-        small = _star(large, large, True)
-        nxt = work.cut(small, "edges")
-        mark = _mark(nxt)
-        work.drop(e)
-        e = nxt
-        if mark == seen or mark[0] == 0:
-            break
-        seen = mark
+        e = work.cut(_star(large, large, True).distinct(), "edges")
+        work.drop(*stored)
+        stored = [e]
     out = e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return out.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    out._stored_at = e._stored_at
+    return out
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node hangs on one node that hangs on none."""
+    ends = edges.select(F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.lit(n).alias("hung")) for c, n in (("a", 1), ("b", 0))))).alias("e"))
+    per = ends.groupBy("e.node").agg(F.sum("e.hung").alias("hung"), F.count("*").alias("ends"))
+    return per.filter("hung > 0 AND ends > 1").agg(F.count("*")).first()[0] == 0
 
 
 def _star(nbr: DataFrame, rows: DataFrame, small: bool) -> DataFrame:
     """Large star: each neighbour ``b > a`` of ``a`` is hung on ``a``'s smallest
-    neighbour.  Small star: each ``b < a`` and ``a`` itself."""
+    neighbour.  Small star: each ``b < a`` and ``a`` itself, which goes with the row of
+    the smallest one.  At most one row for each of ``rows``."""
     least = nbr.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     spread = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    if small:
-        salted = salted.filter("b < a")
-        out = salted.join(spread, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        out = out.unionByName(least.filter("m < a").select("a", F.col("m").alias("b")))
-    else:
-        out = salted.filter("b > a").join(spread, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.filter("a <> b").distinct()
+    salted = rows.filter("b < a" if small else "b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    hung = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")) if small else F.col("b")
+    return salted.join(spread, ["a", "salt"]).select(hung.alias("a"), F.col("m").alias("b"))
 
 
 # ---- bytes of texts in numpy ------------------------------------------------
@@ -247,7 +243,7 @@ def maybe_among(rows: DataFrame, key, values: DataFrame, column: str, bits: int
     """The rows whose 64-bit hash ``key`` may be among ``values``: all that are, and a
     few that are not.  The broadcast side has at most ``2**bits / 64`` words."""
     slot = key.bitwiseAND(F.lit((1 << bits) - 1))
-    words = bitmap_words(values, column, bits).select(F.col("w").alias("_w"), F.col("v").alias("_v"))
+    words = bitmap_words(values, column, bits).coalesce(WORD_TASKS).select(F.col("w").alias("_w"), F.col("v").alias("_v"))
     out = rows.join(F.broadcast(words), F.shiftright(slot, 6) == F.col("_w"))
     bit = F.call_function("shiftrightunsigned", F.col("_v"), slot.bitwiseAND(F.lit(63)).cast("int"))
     return out.filter(bit.bitwiseAND(F.lit(1)) == 1).drop("_w", "_v")

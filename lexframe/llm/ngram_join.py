@@ -31,6 +31,8 @@ component; extra columns are not read.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,7 +59,9 @@ MOST = 65_535
 FINE_FROM = 1024
 #: a set in more lists than this does not tell its pairs their first common list
 LISTS = 512
-#: leaders are tried until a turn finds less than this part of the links
+#: leaders are tried until a turn finds less than this part of the links; the next one finds far fewer
+LAST = 5
+#: less than this part of the links is few
 ENOUGH = 20
 #: pairs of two groups on average that are verified all at once
 FEW = 4
@@ -430,7 +434,8 @@ def _tree_rows(batches):
 
 
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, th, n, node)`` of every row, ``th`` a hash of its text, and ``(node, comp)`` of the linked nodes."""
+    """``(doc_id, th, n, node)`` of every row, ``th`` a hash of its text, and ``(node, comp)`` of the linked
+    nodes but the one that names their group."""
     work = Work(docs.sparkSession, "ngrams")
     kind = dict(docs.dtypes)["doc_id"]
     text = docs.select("doc_id", "text")
@@ -450,19 +455,23 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     points = work.cut(points.join(reps, "node").select("node", "n", "point", "fine").dropDuplicates(["node"]), "points")
     # every list, then the long ones again: a list of two is done after the first turn
     new = verified(work, _star(shared, F.xxhash64("node")), points, text, reps)
-    links, comp = new.count(), _joined(work, None, new)
+    links, comp, waiting = new.count(), _joined(work, None, new), []
     more = shared.groupBy("h").agg(F.count("*").alias("size")).filter("size > 2")
     rest = work.cut(shared.join(more, "h"), "long-lists")
     work.drop(shared)
     for turn in range(1, STARS):
         size = comp.groupBy("comp").agg(F.count("*").alias("members"))
-        members = F.coalesce("members", F.lit(1))
-        known = rest.filter(F.col("size") > LEAF).join(comp, "node", "left").join(size, "comp", "left")
+        members = F.coalesce("members", F.lit(0))
+        known = rest.filter(F.col("size") > LEAF).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(size, "comp", "left")
         star = _apart(_star(known, -members, F.xxhash64("node", F.lit(turn))), comp)
         new = verified(work, star, points, text, reps)
-        n, comp = new.count(), _joined(work, comp, new)
+        n = new.count()
         links += n
-        if n * ENOUGH < links:  # other leaders may still find some; the trees find all
+        if n * ENOUGH < links:  # so few wait for the next links
+            waiting = [new]
+        else:
+            comp = _joined(work, comp, new)
+        if n * LAST < links:  # other leaders may still find some; the trees find all
             break
     rows = rest.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     many = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
@@ -473,33 +482,40 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("h", "node", F.col("n").cast("long").alias("n"), "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
     rows = rows.join(points.select("node", "point").join(lists, "node"), "node").repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "node")
-    pairs = work.cut(rows.mapInArrow(_tree_rows, "a long, b long, near int, tried boolean").distinct(), "tree-pairs")
+    found = rows.mapInArrow(_tree_rows, "a long, b long, near int, tried boolean").distinct()
+    pairs = work.cut(_grouped(found, comp), "tree-pairs")
     for turn in range(STARS):
-        best = work.cut(_closest(pairs, comp), "closest")
+        best = work.cut(_closest(pairs), "closest")
         asked = best.count()
         if pairs.count() <= FEW * asked:
             work.drop(best)
             break
-        new = verified(work, best, points, text, reps)
-        n, comp = new.count(), _joined(work, comp, new)
-        left = work.cut(_apart(pairs.join(best, ["a", "b"], "left_anti"), comp), "tree-pairs")
+        new = verified(work, best.select("a", "b", "near", "tried"), points, text, reps)
+        n = new.count()
+        waiting.append(new)
+        left = work.cut(_unsettled(pairs, best, new), "tree-pairs")
         work.drop(pairs, best)
         pairs = left
-        if n * ENOUGH < asked:
+        if n * ENOUGH < asked or pairs.count() <= FEW * (asked - n):
             break
-    comp = _joined(work, comp, verified(work, pairs, points, text, reps))
+        comp, waiting = _joined(work, comp, *waiting), []
+        left = work.cut(_grouped(pairs.select("a", "b", "near", "tried"), comp).filter("comp_a <> comp_b"), "tree-pairs")
+        work.drop(pairs)
+        pairs = left
+    new = verified(work, pairs.select("a", "b", "near", "tried"), points, text, reps)
+    comp = _joined(work, comp, *waiting, new)
     work.drop(rest, points, reps, pairs)
     return named, comp
 
 
-def _joined(work: Work, comp: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The groups ``comp(node, comp)`` joined by ``links``; both tables go."""
-    if comp is not None and links.isEmpty():
-        work.drop(links)
+def _joined(work: Work, comp: DataFrame | None, *links: DataFrame) -> DataFrame:
+    """The groups ``comp(node, comp)`` joined by ``links``; all these tables go."""
+    if comp is not None and all(x.isEmpty() for x in links):
+        work.drop(*links)
         return comp
-    edges = links if comp is None else links.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-    out = work.cut(components(work, edges), "groups")
-    work.drop(links, *([] if comp is None else [comp]))
+    edges = [x.select("a", "b") for x in links] + ([] if comp is None else [comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))])
+    out = components(work, reduce(DataFrame.unionByName, edges))
+    work.drop(*links, *([] if comp is None else [comp]))
     return out
 
 
@@ -523,10 +539,19 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return _grouped(pairs, comp).filter("comp_a <> comp_b").select(*pairs.columns)
 
 
-def _closest(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+def _closest(pairs: DataFrame) -> DataFrame:
     """Of the pairs between any two groups the one with the highest bound."""
-    best = F.max(F.struct("near", "a", "b", "tried")).alias("p")
-    return _grouped(pairs, comp).groupBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).agg(best).select("p.*")
+    best = F.max(F.struct("near", "a", "b", "tried", "comp_a", "comp_b")).alias("p")
+    return pairs.groupBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).agg(best).select("p.*")
+
+
+def _unsettled(pairs: DataFrame, best: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs that were not tried as ``best``, of groups that none of ``links`` joins."""
+    tried = best.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left") \
+        .select(F.least("comp_a", "comp_b").alias("lo"), F.greatest("comp_a", "comp_b").alias("hi"), "a", "b", "linked")
+    on = (F.least("comp_a", "comp_b") == F.col("lo")) & (F.greatest("comp_a", "comp_b") == F.col("hi"))
+    settled = F.col("linked") | ((pairs["a"] == F.col("x")) & (pairs["b"] == F.col("y")))
+    return pairs.join(tried.withColumnsRenamed({"a": "x", "b": "y"}), on & settled, "left_anti")
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexframe.llm import bpe, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
+from lexframe.llm import bpe, common, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
 from lexframe.llm.common import Powers, chunks
 
 from . import brute
@@ -129,6 +129,17 @@ def test_ngram_groups_meet_by_their_closest_pairs(make_docs, monkeypatch):
     assert sum(asked) < 1000, asked
 
 
+@pytest.mark.parametrize("edges, rounds", [([(50, i) for i in range(100) if i != 50], 1), ([(5, 3), (3, 5), (5, 3), (3, -9), (7, 7)], 1), ([(i, i + 1) for i in range(12)], 9)])
+def test_components_end_when_each_node_hangs_on_its_least(spark, monkeypatch, edges, rounds):
+    """No round of shuffles runs to confirm the last one."""
+    cut, cuts = common.Work.cut, []
+    monkeypatch.setattr(common.Work, "cut", lambda *a: cuts.append(a[2]) or cut(*a))
+    got = [tuple(r) for r in common.components(common.Work(spark, "stars"), spark.createDataFrame(edges, "a long, b long")).collect()]
+    ends = {x for a, b in edges if a != b for x in (a, b)}
+    assert sorted(got) == sorted((x, min(ends)) for x in ends if x != min(ends))
+    assert len(cuts) <= rounds
+
+
 def test_ngram_family_of_near_copies(make_docs):
     """A base of which hundreds of copies differ in a word or two, in long lists."""
     rng = random.Random(5)
